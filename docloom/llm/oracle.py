@@ -26,5 +26,32 @@ from d left join gone using (doc_id) left join kept using (doc_id)
 """
 
 
+OP7 = f"""
+with recursive d as (
+  select doc_id, {_SPACE_WORDS.format("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} as w from documents
+),
+s as (
+  select doc_id, case when len(w) >= 2
+    then list_distinct(list_transform(generate_series(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1]))
+    when len(w) = 1 then [w[1]] else [] end as sh
+  from d
+),
+g as (select doc_id, len(sh) as n, unnest(sh) as x from s),
+links as (
+  select a.doc_id as a, b.doc_id as b from g a join g b on a.x = b.x and a.doc_id < b.doc_id
+  group by a.doc_id, b.doc_id, a.n, b.n having 100 * count(*) >= 80 * (a.n + b.n - count(*))
+),
+e as (select a, b from links union select b, a from links),
+r as (
+  select doc_id as node, doc_id as reach from d
+  union
+  select e.b, r.reach from r join e on r.node = e.a
+),
+c as (select node, min(reach) as component_id from r group by node)
+select s.doc_id, len(sh)::bigint as n_shingles, component_id, s.doc_id = component_id as kept
+from s join c on s.doc_id = c.node
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op10_substring_dedup": OP10}
+    return {"op7_minhash_near_dedup": OP7, "op10_substring_dedup": OP10}

@@ -26,6 +26,31 @@ from d left join gone using (doc_id) left join kept using (doc_id)
 """
 
 
+OP1 = f"""
+with d as (select doc_id, {_ALNUM_WORDS.format('text')} as w from documents),
+b as (select item_id, {_ALNUM_WORDS.format('text')} as w from benchmark),
+bw as (
+  select item_id, least(len(w), 10) as k, array_to_string(list_slice(w, i, i + least(len(w), 10) - 1), ' ') as x
+  from (select item_id, w, unnest(generate_series(1, greatest(len(w) - 9, 1))) as i from b where len(w) > 0)
+),
+win as (select distinct k, x from bw),
+dw as (
+  select doc_id, i, k, array_to_string(list_slice(w, i, i + k - 1), ' ') as x
+  from (select doc_id, w, k, unnest(generate_series(1, len(w) - k + 1)) as i
+        from d, (select distinct k from bw) where len(w) >= k)
+),
+occ as (select doc_id, i, dw.k, dw.x from dw join win on dw.k = win.k and dw.x = win.x),
+hit as (select doc_id, count(distinct p) as n_hit from (select doc_id, i + unnest(generate_series(0, k - 1)) as p from occ) group by doc_id),
+its as (
+  select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as items from (
+    select distinct occ.doc_id, cast(bw.item_id as varchar) as item from occ join bw on occ.k = bw.k and occ.x = bw.x
+  ) group by doc_id
+)
+select d.doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
+  sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join hit using (doc_id) left join its using (doc_id)
+"""
+
 OP7 = f"""
 with recursive d as (
   select doc_id, {_SPACE_WORDS.format("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} as w from documents
@@ -54,4 +79,4 @@ from s join c on s.doc_id = c.node
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_minhash_near_dedup": OP7, "op10_substring_dedup": OP10}
+    return {"op1_benchmark_decontamination": OP1, "op7_minhash_near_dedup": OP7, "op10_substring_dedup": OP10}

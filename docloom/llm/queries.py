@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import decontamination as _decontamination
 from . import near_dup as _near
 from . import substring_dedup as _substring
 
@@ -15,6 +16,20 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    out = _decontamination.contamination(_documents(spark, sf_dir), benchmark, window=10)
+    hit = _decontamination.n_hit()
+    return out.select(
+        "doc_id",
+        "n_words",
+        hit.alias("n_hit"),
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (hit > 0).alias("contaminated"),
+    )
+
+
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _near.near_duplicates(_documents(spark, sf_dir), shingle=2, percent=80)
 
@@ -26,6 +41,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_benchmark_decontamination": op1_benchmark_decontamination,
         "op7_minhash_near_dedup": op7_minhash_near_dedup,
         "op10_substring_dedup": op10_substring_dedup,
     }

@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import bpe as _bpe
 from . import decontamination as _decontamination
 from . import near_dup as _near
+from . import packing as _packing
 from . import substring_dedup as _substring
 
 
@@ -30,6 +32,14 @@ def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     )
 
 
+def op5_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _bpe.bpe_round_trip(_documents(spark, sf_dir))
+
+
+def op6_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _packing.pack_tokens(_documents(spark, sf_dir), width=2048)
+
+
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _near.near_duplicates(_documents(spark, sf_dir), shingle=2, percent=80)
 
@@ -42,6 +52,8 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_benchmark_decontamination": op1_benchmark_decontamination,
+        "op5_bpe_encode_decode": op5_bpe_encode_decode,
+        "op6_token_packing": op6_token_packing,
         "op7_minhash_near_dedup": op7_minhash_near_dedup,
         "op10_substring_dedup": op10_substring_dedup,
     }

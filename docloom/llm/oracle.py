@@ -51,6 +51,64 @@ select d.doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit,
 from d left join hit using (doc_id) left join its using (doc_id)
 """
 
+OP2 = rf"""
+with d as (select doc_id, coalesce(text, '') as text, {_SPACE_WORDS.format('text')} as w from documents),
+l as (
+  select doc_id, w, text, len(w) as n, len(array_to_string(w, '')) as word_chars,
+    list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as ls
+  from d
+),
+win as (
+  select doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] as x
+  from (select doc_id, w, unnest(generate_series(1, n - 2)) as i from l where n >= 3)
+),
+rep as (
+  select doc_id, count(distinct p) as n_repeat_words from (
+    select doc_id, i + unnest(generate_series(0, 2)) as p
+    from (select doc_id, i, count(*) over (partition by doc_id, x) as c from win) where c > 1
+  ) group by doc_id
+),
+s as (
+  select l.doc_id, n::bigint as n_words, word_chars::bigint as word_chars,
+    len(regexp_extract_all(text, '[#*$%&|<>]'))::bigint as n_symbols,
+    (len(ls) - len(list_distinct(ls)))::bigint as n_dup_lines,
+    coalesce(n_repeat_words, 0)::bigint as n_repeat_words, len(ls) as n_lines, text,
+    len(list_filter(w, lambda x: regexp_matches(x, '\p{{L}}'))) as letter_words
+  from l left join rep using (doc_id)
+),
+f as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from s)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  not (base_failed
+    or 10 * n_symbols > n_words
+    or word_chars not between 3 * n_words and 10 * n_words
+    or 5 * letter_words < 4 * n_words
+    or len(regexp_extract_all(text, '[A-Z]')) > 0.5 * len(text)
+    or len(regexp_extract_all(text, '(?:\.\.\.|…)[\x20\t\r]*(?:\n|$)')) > 0.3 * n_lines
+    or len(regexp_extract_all(text, '(?:^|\n)[\x20\t]*[-•*]')) > 0.9 * n_lines
+    or 2 * n_dup_lines > n_lines) as kept
+from f
+"""
+
+OP3 = """
+with d as (select doc_id, source, text, string_split(text, chr(10)) as ls from documents),
+t as (select source, count(*) as pages from documents group by source having count(*) >= 20),
+c as (
+  select source, line, count(*) as n from (
+    select distinct doc_id, source, unnest(list_transform(ls, lambda x: trim(x, chr(32) || chr(9) || chr(11) || chr(12) || chr(13)))) as line from d
+  ) where line <> '' group by source, line
+),
+b as (select source, list(line) as bad from c join t using (source) where 100 * n > 10 * pages group by source),
+k as (
+  select doc_id, list_filter(ls, lambda x: trim(x, chr(32) || chr(9) || chr(11) || chr(12) || chr(13)) <> '') as full_,
+    list_filter(ls, lambda x: not list_contains(coalesce(bad, []), trim(x, chr(32) || chr(9) || chr(11) || chr(12) || chr(13)))) as kept
+  from d left join b using (source)
+)
+select doc_id, len(full_)::bigint as n_lines,
+  (len(full_) - len(list_filter(kept, lambda x: trim(x, chr(32) || chr(9) || chr(11) || chr(12) || chr(13)) <> '')))::bigint as n_dropped,
+  sha256(array_to_string(kept, chr(10))) as kept_sha256
+from k
+"""
+
 OP7 = f"""
 with recursive d as (
   select doc_id, {_SPACE_WORDS.format("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} as w from documents
@@ -79,4 +137,4 @@ from s join c on s.doc_id = c.node
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_benchmark_decontamination": OP1, "op7_minhash_near_dedup": OP7, "op10_substring_dedup": OP10}
+    return {"op1_benchmark_decontamination": OP1, "op2_quality_rules": OP2, "op3_line_dedup": OP3, "op7_minhash_near_dedup": OP7, "op10_substring_dedup": OP10}

@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from . import bpe as _bpe
 from . import decontamination as _decontamination
+from . import line_dedup as _lines
 from . import near_dup as _near
 from . import packing as _packing
+from . import quality as _quality
 from . import substring_dedup as _substring
 
 
@@ -32,6 +34,16 @@ def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     )
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _quality.quality_report(_documents(spark, sf_dir)).drop("rejected_by")
+
+
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out, (n_lines, n_dropped) = _lines.line_dedup(_documents(spark, sf_dir).select("doc_id", "source", "text"))
+    sha = F.sha2(F.coalesce("text", F.lit("")), 256)
+    return out.select("doc_id", F.col(n_lines).alias("n_lines"), F.col(n_dropped).alias("n_dropped"), sha.alias("kept_sha256"))
+
+
 def op5_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _bpe.bpe_round_trip(_documents(spark, sf_dir))
 
@@ -52,6 +64,8 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_benchmark_decontamination": op1_benchmark_decontamination,
+        "op2_quality_rules": op2_quality_rules,
+        "op3_line_dedup": op3_line_dedup,
         "op5_bpe_encode_decode": op5_bpe_encode_decode,
         "op6_token_packing": op6_token_packing,
         "op7_minhash_near_dedup": op7_minhash_near_dedup,

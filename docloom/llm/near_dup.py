@@ -6,11 +6,12 @@ by the larger register, so a long text is sketched in pieces. Bands of ``rows``
 that a pair at similarity 0.8 shares none of the 28 bands of 4 registers is below 1e-6.
 
 1. Documents with equal sets form classes; only each class' smallest doc_id goes on.
-2. Each bucket's smallest document is paired with all its others: a number of pairs linear in the bucket. Pairs whose
-   joint likelihood over the registers contradicts the threshold go; the rest are verified on full shingle sets.
-3. Where a bucket still holds several components, the members outside its largest component are paired with all
-   members of other components, estimated and verified likewise. Now each bucket's pairs are tested or already
-   connected, so no link between different texts is lost, and copies are never expanded into all pairs.
+2. Each bucket's most central document is paired with all its others: a number of pairs linear in the bucket. Pairs
+   whose joint likelihood over the registers contradicts the threshold go; the rest are verified on full shingle sets.
+3. Where a bucket still holds several components, the members outside its largest component are paired with those
+   members of other components that they can be linked with by an exact bound, estimated and verified likewise. Now
+   each bucket's pairs are tested, impossible or already connected, so no link between different texts is lost, and
+   copies are never expanded into all pairs.
 4. Components of confirmed links, by star steps.
 """
 
@@ -198,6 +199,80 @@ def _confirmed(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, size: int
     )
 
 
+def _stars(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(a, b) pairs of each bucket's most central document with its others; (key, doc_id) of all such buckets.
+
+    The most central document is the one whose buckets hold the most members: in a group of near copies that is the
+    text the others differ least from.
+    """
+    bands = reps.select("doc_id", F.explode("keys").alias("key"))
+    full = bands.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    members = table(bands.join(full, "key"))
+    degree = members.groupBy("doc_id").agg(F.sum("n").alias("degree"))
+    ranked = members.join(degree, "doc_id").groupBy("key")
+    hubs = ranked.agg(F.max_by("doc_id", F.struct(F.col("degree"), -F.col("doc_id"))).alias("hub"))
+    pairs = members.join(hubs, "key").where("doc_id <> hub")
+    pairs = pairs.select(F.least("doc_id", "hub").alias("a"), F.greatest("doc_id", "hub").alias("b")).distinct()
+    return table(pairs), members.select("key", "doc_id")
+
+
+def _shared_sizes(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache = WordHash()
+        for batch in batches:
+            for part, texts in slices(batch):
+                sets = shingle_sets(texts, cache, size)
+                at = pa.array(np.repeat(np.arange(len(sets)), [len(x) for x in sets]))
+                items = pa.array(np.concatenate([x.view(np.int64) for x in sets]))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id").take(at), part.column("cluster").take(at), items], names=["doc_id", "cluster", "item"]
+                )
+
+    return run
+
+
+def _crossing(
+    members: DataFrame, label: DataFrame, star: DataFrame, docs: DataFrame, size: int, percent: int
+) -> DataFrame:
+    """(a, b): the pairs that may still join two components of one bucket.
+
+    In each bucket that holds several components, the members outside its largest one face all members of other
+    components. A pair is left out where it can't be a link: with n shingles each, of which only s occur in any other
+    document of the bucket's cluster, an intersection is at most m = min(s), a union at least n + n' - m. Most near
+    copies that miss the threshold against their bucket's hub do so by shingles of their own and go at once, before
+    they are paired.
+    """
+    placed = members.join(small(label.withColumnRenamed("node", "doc_id"), BROADCAST_ROWS), "doc_id", "left")
+    placed = placed.select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+    per = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
+    mixed = per.groupBy("key").agg(F.count(F.lit(1)).alias("kinds"), F.max_by("component", F.struct("n", "component")).alias("main"))
+    mixed = cut(mixed.where("kinds > 1").select("key", "main"))
+    open_ = table(placed.join(small(mixed, BROADCAST_ROWS), "key"))
+
+    # Shingles that each open document shares with any other of its cluster of buckets.
+    clusters = components(open_.select(F.col("doc_id").alias("b"), F.col("main").alias("a")).distinct())
+    clusters = cut(clusters.select(F.col("node").alias("doc_id"), F.col("component").alias("cluster")).distinct())
+    items = docs.join(small(clusters, BROADCAST_ROWS), "doc_id").select("doc_id", "cluster", "text")
+    items = items.mapInArrow(_shared_sizes(size), "doc_id long, cluster long, item long").distinct()
+    seen = items.groupBy("cluster", "item").agg(F.count(F.lit(1)).alias("df"), F.min("doc_id").alias("doc_id"))
+    alone = seen.where("df = 1").groupBy("doc_id").agg(F.count(F.lit(1)).alias("own"))
+    total = items.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    sizes = cut(total.join(alone, "doc_id", "left").select("doc_id", "n", (F.col("n") - F.coalesce("own", F.lit(0))).alias("s")))
+
+    possible = lambda m, total: 100 * m >= percent * (total - m)
+    open_ = table(open_.join(small(sizes, BROADCAST_ROWS), "doc_id"))
+    least = open_.groupBy("key").agg(F.min("n").alias("least"))
+    left = open_.where("component <> main").join(least, "key")
+    left = left.where(possible(F.col("s"), F.col("n") + F.greatest("least", "s")))
+    x = left.select("key", *[F.col(c).alias(f"{c}_x") for c in ("doc_id", "component", "n", "s")])
+    y = open_.select("key", "main", *[F.col(c).alias(f"{c}_y") for c in ("doc_id", "component", "n", "s")])
+    once = (F.col("component_y") == F.col("main")) | (F.col("doc_id_x") < F.col("doc_id_y"))
+    bound = possible(F.least("s_x", "s_y"), F.col("n_x") + F.col("n_y"))
+    pairs = x.join(y, (x.key == y.key) & (F.col("component_x") != F.col("component_y")) & once & bound)
+    pairs = pairs.select(F.least("doc_id_x", "doc_id_y").alias("a"), F.greatest("doc_id_x", "doc_id_y").alias("b")).distinct()
+    return table(pairs.join(star, ["a", "b"], "left_anti"))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of ``docs(doc_id, text)``; other columns are not read.
 
@@ -221,25 +296,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
         .dropDuplicates(["doc_id", "s1", "s2"])
         .select("doc_id", "n_shingles", "keys", "regs")
     )
-    bands = reps.select("doc_id", F.explode("keys").alias("key"))
-    full = bands.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).where("a < z")
-    members = table(bands.join(full, "key").select("key", "doc_id", "a"))
-    star = table(members.where("doc_id > a").select("a", F.col("doc_id").alias("b")).distinct())
+    star, members = _stars(reps)
     links = _confirmed(star, reps, docs, shingle, percent)
     label = cut(components(links))
-
-    # Members of buckets that still hold several components, against all members of the others there.
-    placed = members.join(small(label.withColumnRenamed("node", "doc_id"), BROADCAST_ROWS), "doc_id", "left")
-    placed = placed.select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-    sizes = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
-    mixed = sizes.groupBy("key").agg(F.count(F.lit(1)).alias("kinds"), F.max_by("component", F.struct("n", "component")).alias("main"))
-    mixed = cut(mixed.where("kinds > 1").select("key", "main"))
-    open_ = table(placed.join(small(mixed, BROADCAST_ROWS), "key"))
-    left = open_.where("component <> main").select("key", F.col("doc_id").alias("x"), F.col("component").alias("cx"))
-    right = open_.select("key", F.col("doc_id").alias("y"), F.col("component").alias("cy"), (F.col("component") == F.col("main")).alias("in_main"))
-    cross = left.join(right, "key").where("cx <> cy and (in_main or x < y)")
-    cross = cross.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    rest = _confirmed(table(cross.join(star, ["a", "b"], "left_anti")), reps, docs, shingle, percent)
+    rest = _confirmed(_crossing(members, label, star, docs, shingle, percent), reps, docs, shingle, percent)
     if not rest.isEmpty():
         label = cut(components(links.union(rest)))
     return (

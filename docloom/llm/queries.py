@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import bpe as _bpe
 from . import decontamination as _decontamination
+from . import license_scan as _licenses
 from . import line_dedup as _lines
 from . import near_dup as _near
 from . import packing as _packing
@@ -44,6 +45,22 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col(n_lines).alias("n_lines"), F.col(n_dropped).alias("n_dropped"), sha.alias("kept_sha256"))
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = _licenses.license_scan(_documents(spark, sf_dir))
+    labels = lambda *x: F.array_join(F.sort_array(F.array_distinct(F.concat(*x))), ",")
+    starts = F.col("base.start")
+    return out.select(
+        "doc_id",
+        "n_words",
+        F.size("base").cast("long").alias("n_base"),
+        F.array_min(starts).cast("long").alias("first_word"),
+        F.array_max(starts).cast("long").alias("last_word"),
+        labels("base.label").alias("base_labels"),
+        labels("base.label", "detections.label").alias("labels"),
+        F.coalesce(F.array_max("detections.confidence"), F.lit(0.0)).alias("score"),
+    )
+
+
 def op5_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _bpe.bpe_round_trip(_documents(spark, sf_dir))
 
@@ -66,6 +83,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_benchmark_decontamination": op1_benchmark_decontamination,
         "op2_quality_rules": op2_quality_rules,
         "op3_line_dedup": op3_line_dedup,
+        "op4_license_scan": op4_license_scan,
         "op5_bpe_encode_decode": op5_bpe_encode_decode,
         "op6_token_packing": op6_token_packing,
         "op7_minhash_near_dedup": op7_minhash_near_dedup,

@@ -13,6 +13,7 @@ from . import license_scan as _licenses
 from . import line_dedup as _lines
 from . import near_dup as _near
 from . import packing as _packing
+from . import pii as _pii
 from . import quality as _quality
 from . import substring_dedup as _substring
 
@@ -73,6 +74,13 @@ def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _near.near_duplicates(_documents(spark, sf_dir), shingle=2, percent=80)
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = _pii.personal_data(_documents(spark, sf_dir))
+    shown = lambda x: F.array_join(F.transform(x, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
+    return out.select("doc_id", *map(count, _pii.KINDS), F.sha2(shown("base"), 256).alias("base_sha256"), shown("spans").alias("spans"))
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = _substring.substring_dedup(_documents(spark, sf_dir))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -87,5 +95,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_bpe_encode_decode": op5_bpe_encode_decode,
         "op6_token_packing": op6_token_packing,
         "op7_minhash_near_dedup": op7_minhash_near_dedup,
+        "op8_pii": op8_pii,
         "op10_substring_dedup": op10_substring_dedup,
     }

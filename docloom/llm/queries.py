@@ -16,6 +16,7 @@ from . import packing as _packing
 from . import pii as _pii
 from . import quality as _quality
 from . import substring_dedup as _substring
+from . import toxicity as _toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,6 +82,10 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *map(count, _pii.KINDS), F.sha2(shown("base"), 256).alias("base_sha256"), shown("spans").alias("spans"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _toxicity.toxicity(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = _substring.substring_dedup(_documents(spark, sf_dir))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -96,5 +101,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_token_packing": op6_token_packing,
         "op7_minhash_near_dedup": op7_minhash_near_dedup,
         "op8_pii": op8_pii,
+        "op9_toxicity": op9_toxicity,
         "op10_substring_dedup": op10_substring_dedup,
     }

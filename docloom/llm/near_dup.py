@@ -313,3 +313,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
             (F.col("doc_id").isNull() | (F.col("doc_id") == F.coalesce("component", "rep"))).alias("kept"),
         )
     )
+
+
+def near_dedup(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` with one document of each component: that with its smallest doc_id. Columns as they are.
+
+    Rows without doc_id, and texts without words, stay; repeated rows of a doc_id stay or go together.
+    """
+    gone = near_duplicates(docs, shingle, percent).where("not kept").select(F.col("doc_id").alias("gone")).distinct()
+    gone = small(cut(gone), BROADCAST_ROWS)
+    return docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti")

@@ -9,9 +9,10 @@ that a pair at similarity 0.8 shares none of the 28 bands of 4 registers is belo
 2. Each bucket's most central document is paired with all its others: a number of pairs linear in the bucket. Pairs
    whose joint likelihood over the registers contradicts the threshold go; the rest are verified on full shingle sets.
 3. Where a bucket still holds several components, the members outside its largest component are paired with those
-   members of other components that they can be linked with by an exact bound, estimated and verified likewise. Now
-   each bucket's pairs are tested, impossible or already connected, so no link between different texts is lost, and
-   copies are never expanded into all pairs.
+   members of other components that they share a rare enough shingle with, by an exact bound on where the first common
+   shingle of two linked sets must stand; they are estimated and verified likewise. Now each bucket's pairs are tested,
+   impossible or already connected, so no link between different texts is lost, and copies are never expanded into all
+   pairs.
 4. Components of confirmed links, by star steps.
 """
 
@@ -216,7 +217,7 @@ def _stars(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
     return table(pairs), members.select("key", "doc_id")
 
 
-def _shared_sizes(size: int):
+def _items(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHash()
         for batch in batches:
@@ -232,15 +233,16 @@ def _shared_sizes(size: int):
 
 
 def _crossing(
-    members: DataFrame, label: DataFrame, star: DataFrame, docs: DataFrame, size: int, percent: int
+    members: DataFrame, label: DataFrame, star: DataFrame, reps: DataFrame, docs: DataFrame, size: int, percent: int
 ) -> DataFrame:
     """(a, b): the pairs that may still join two components of one bucket.
 
-    In each bucket that holds several components, the members outside its largest one face all members of other
-    components. A pair is left out where it can't be a link: with n shingles each, of which only s occur in any other
-    document of the bucket's cluster, an intersection is at most m = min(s), a union at least n + n' - m. Most near
-    copies that miss the threshold against their bucket's hub do so by shingles of their own and go at once, before
-    they are paired.
+    In each bucket that holds several components, the members outside its largest one face the members of other
+    components in its cluster of buckets. They meet over their rarest shingles: of two linked sets with n and m
+    shingles, at least ``need = percent (n + m) / (100 + percent)`` are common, so in any one order of a cluster's
+    shingles the first common one stands at most at place n - need of the one and m - need of the other. Rare shingles
+    come first, and those that no other document of the cluster has are only counted. Near copies that miss the
+    threshold against their bucket's hub do so by many rare shingles, so they meet hardly any document.
     """
     placed = members.join(small(label.withColumnRenamed("node", "doc_id"), BROADCAST_ROWS), "doc_id", "left")
     placed = placed.select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
@@ -249,26 +251,37 @@ def _crossing(
     mixed = cut(mixed.where("kinds > 1").select("key", "main"))
     open_ = table(placed.join(small(mixed, BROADCAST_ROWS), "key"))
 
-    # Shingles that each open document shares with any other of its cluster of buckets.
     clusters = components(open_.select(F.col("doc_id").alias("b"), F.col("main").alias("a")).distinct())
-    clusters = cut(clusters.select(F.col("node").alias("doc_id"), F.col("component").alias("cluster")).distinct())
-    items = docs.join(small(clusters, BROADCAST_ROWS), "doc_id").select("doc_id", "cluster", "text")
-    items = items.mapInArrow(_shared_sizes(size), "doc_id long, cluster long, item long").distinct()
-    seen = items.groupBy("cluster", "item").agg(F.count(F.lit(1)).alias("df"), F.min("doc_id").alias("doc_id"))
-    alone = seen.where("df = 1").groupBy("doc_id").agg(F.count(F.lit(1)).alias("own"))
-    total = items.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
-    sizes = cut(total.join(alone, "doc_id", "left").select("doc_id", "n", (F.col("n") - F.coalesce("own", F.lit(0))).alias("s")))
-
-    possible = lambda m, total: 100 * m >= percent * (total - m)
-    open_ = table(open_.join(small(sizes, BROADCAST_ROWS), "doc_id"))
-    least = open_.groupBy("key").agg(F.min("n").alias("least"))
-    left = open_.where("component <> main").join(least, "key")
-    left = left.where(possible(F.col("s"), F.col("n") + F.greatest("least", "s")))
-    x = left.select("key", *[F.col(c).alias(f"{c}_x") for c in ("doc_id", "component", "n", "s")])
-    y = open_.select("key", "main", *[F.col(c).alias(f"{c}_y") for c in ("doc_id", "component", "n", "s")])
-    once = (F.col("component_y") == F.col("main")) | (F.col("doc_id_x") < F.col("doc_id_y"))
-    bound = possible(F.least("s_x", "s_y"), F.col("n_x") + F.col("n_y"))
-    pairs = x.join(y, (x.key == y.key) & (F.col("component_x") != F.col("component_y")) & once & bound)
+    clusters = clusters.select(F.col("node").alias("doc_id"), F.col("component").alias("cluster")).distinct()
+    sides = open_.groupBy("doc_id").agg(F.max("component").alias("component"), F.max(F.col("component") != F.col("main")).alias("outside"))
+    sides = cut(sides.join(clusters, "doc_id").join(reps.select("doc_id", F.col("n_shingles").alias("n")), "doc_id"))
+
+    items = docs.join(small(sides.select("doc_id", "cluster"), BROADCAST_ROWS), "doc_id").select("doc_id", "cluster", "text")
+    items = items.mapInArrow(_items(size), "doc_id long, cluster long, item long")
+    seen = items.groupBy("cluster", "item").agg(F.count(F.lit(1)).alias("rows"), F.min("doc_id").alias("a"), F.max("doc_id").alias("b"))
+    shared = table(seen.where("a < b").select("cluster", "item", "rows"))
+    ranked = items.join(shared, ["cluster", "item"]).groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("rows", "item"))).alias("shared"))
+    ranked = ranked.join(small(sides, BROADCAST_ROWS), "doc_id")
+    own = F.col("n") - F.size("shared")
+    last = F.col("n") - F.ceil(F.col("n") * percent / 100)  # even a partner of the least size allows no later place
+    first = ranked.withColumn("own", own).where(F.col("own") <= last)
+    first = first.select(
+        "doc_id", "cluster", "component", "outside", "n", "own", F.posexplode(F.slice("shared", F.lit(1), (last - F.col("own") + 1).cast("int"))).alias("k", "x")
+    )
+    first = table(first.select("doc_id", "cluster", "component", "outside", "n", (F.col("own") + F.col("k")).alias("place"), F.col("x.item").alias("item")))
+    side = lambda df, x: df.select("cluster", "item", *[F.col(c).alias(f"{c}_{x}") for c in ("doc_id", "component", "outside", "n", "place")])
+    x, y = side(first.where("outside"), "x"), side(first, "y")
+    need = F.ceil((F.col("n_x") + F.col("n_y")) * percent / (100 + percent))
+    pairs = x.join(
+        y,
+        (x.cluster == y.cluster)
+        & (x.item == y.item)
+        & (F.col("component_x") != F.col("component_y"))
+        & (~F.col("outside_y") | (F.col("doc_id_x") < F.col("doc_id_y")))
+        & (100 * F.least("n_x", "n_y") >= percent * F.greatest("n_x", "n_y"))
+        & (F.col("n_x") - F.col("place_x") >= need)
+        & (F.col("n_y") - F.col("place_y") >= need),
+    )
     pairs = pairs.select(F.least("doc_id_x", "doc_id_y").alias("a"), F.greatest("doc_id_x", "doc_id_y").alias("b")).distinct()
     return table(pairs.join(star, ["a", "b"], "left_anti"))
 
@@ -299,7 +312,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     star, members = _stars(reps)
     links = _confirmed(star, reps, docs, shingle, percent)
     label = cut(components(links))
-    rest = _confirmed(_crossing(members, label, star, docs, shingle, percent), reps, docs, shingle, percent)
+    rest = _confirmed(_crossing(members, label, star, reps, docs, shingle, percent), reps, docs, shingle, percent)
     if not rest.isEmpty():
         label = cut(components(links.union(rest)))
     return (

@@ -10,10 +10,12 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .text import strip
 
-TABLE = "struct<headers:array<string>,rows:array<array<string>>>"
+_CELLS = T.ArrayType(T.StringType())
+TABLE = T.StructType([T.StructField("headers", _CELLS), T.StructField("rows", T.ArrayType(_CELLS))])
 
 
 def _cells(line: Column) -> Column:
@@ -118,13 +120,13 @@ def _read(html: str | None) -> list[dict]:
     return found
 
 
-@F.pandas_udf(f"array<{TABLE}>")
+@F.pandas_udf(T.ArrayType(TABLE))
 def html_tables(html: pd.Series) -> pd.Series:
     """The tables of two rows and more; only an HTML parser reads real markup, so this is an Arrow UDF."""
     return html.map(_read)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def unescape_all(text: pd.Series) -> pd.Series:
     """Every HTML entity decoded, the rare ones too."""
     import html

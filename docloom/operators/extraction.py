@@ -19,7 +19,7 @@ def labelled_value(text: Column, label: Column) -> Column:
     name = F.replace(label, F.lit("_"), F.lit(" "))
     quoted = F.regexp_replace(name, r"([\\.\[\]{}()*+?^$|])", r"\\$1")
     pattern = F.concat(F.lit(r"(?im)^\s*"), quoted, F.lit(r"\s*(?:[:#=|-]|\s{2,})\s*([^\n\r]{1,260})"))
-    direct = F.when(name != "", F.nullif(F.regexp_extract(text, pattern, F.lit(1)), F.lit("")))
+    direct = F.when(name != "", F.nullif(F.call_function("regexp_extract", text, pattern, F.lit(1)), F.lit("")))
     wanted = T.normalise(label)
     after = lambda line: T.strip(F.regexp_replace(line, r"^[^:#=|-]*[:#=|-]", ""))
     fit = F.filter(

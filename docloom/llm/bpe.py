@@ -22,6 +22,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from .scratch import text_batches
 from .text import slices
 
 #: Word encodings and pair verdicts that a task remembers before it starts anew.
@@ -246,7 +247,7 @@ def bpe_encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     ids. Rows without doc_id and repeated rows give a row each; further columns are not read; an empty table gives an
     empty result. Nothing is shuffled.
     """
-    rows = docs.select("doc_id", "text")
+    rows = text_batches(docs).select("doc_id", "text")
     kind = rows.schema["doc_id"].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary(path))
     return rows.mapInArrow(_encode(shared), f"doc_id {kind}, ids array<int>")
@@ -271,7 +272,7 @@ def bpe_round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     Edge cases as in ``bpe_encode``; ids and decoded text never leave the task.
     """
-    rows = docs.select("doc_id", "text")
+    rows = text_batches(docs).select("doc_id", "text")
     kind = rows.schema["doc_id"].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary(path))
     return rows.mapInArrow(

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .scratch import cut, fresh
+from .scratch import cut, fresh, text_batches
 from .text import slices, split_alnum
 
 #: Item words in one automaton, which a task builds for itself (a few hundred MB at most).
@@ -145,8 +145,11 @@ def _merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 _SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
 
-def _scan(shared, window: int, text_at: int):
-    """Adds n_words, spans and items to all columns, or merges into those that an earlier shard has added."""
+def _scan(shared, window: int, text_at: int, last=lambda part, texts, columns: columns):
+    """Adds n_words, spans and items to all columns, or merges into those that an earlier shard has added.
+
+    ``last`` makes the columns that leave the task from them.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = SuffixAutomaton([(name, words.split()) for name, words in shared.value[1]], window)
@@ -163,17 +166,15 @@ def _scan(shared, window: int, text_at: int):
                     s += [(x["start"], x["end"]) for x in old_spans]
                     spans.append([{"start": a, "end": b} for a, b in _merge(s)])
                     items.append(sorted({automaton.names[x] for x in k} | set(old_items)))
-                yield pa.RecordBatch.from_arrays(
-                    [*kept, pa.array(n_words, pa.int64()), pa.array(spans, _SPANS), pa.array(items, pa.list_(pa.string()))],
-                    names=[f"c{i}" for i in range(len(kept) + 3)],
-                )
+                out = last(kept, texts, [*kept, pa.array(n_words, pa.int64()), pa.array(spans, _SPANS), pa.array(items, pa.list_(pa.string()))])
+                yield pa.RecordBatch.from_arrays(out, names=[f"c{i}" for i in range(len(out))])
 
     return run
 
 
-def _with_hits(docs: DataFrame, benchmark: DataFrame, window: int) -> tuple[DataFrame, list[str]]:
-    """``docs`` and three more columns (n_words, spans, items), whose names are returned."""
-    spark = docs.sparkSession
+def _with_hits(docs: DataFrame, benchmark: DataFrame, window: int, last=None) -> tuple[DataFrame, list[str]]:
+    """``docs`` and three more columns (n_words, spans, items), whose names are returned; or what ``last`` makes of them."""
+    spark = text_batches(docs).sparkSession
     fold = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     items = benchmark.where("item_id is not null and text is not null").select(
         F.col("item_id").cast("string").alias("item"),
@@ -183,15 +184,18 @@ def _with_hits(docs: DataFrame, benchmark: DataFrame, window: int) -> tuple[Data
     total = items.agg(F.sum(F.size(F.split("words", " ")))).first()[0] or 0
     shards = -(-total // SHARD_WORDS) or 1
     items = items.withColumn("shard", F.pmod(F.xxhash64("item", "words"), F.lit(shards)))
-    added = fresh(docs, "n_words", "spans", "items")
-    schema = T.StructType(docs.schema.fields)
+    added, narrow = fresh(docs, "n_words", "spans", "items"), docs.schema
+    wide = T.StructType(narrow.fields)
     span = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
     for name, kind in zip(added, (T.LongType(), T.ArrayType(span), T.ArrayType(T.StringType())), strict=True):
-        schema = T.StructType([*schema.fields, T.StructField(name, kind)])
+        wide = T.StructType([*wide.fields, T.StructField(name, kind)])
     text_at = docs.columns.index("text")
     for shard in range(shards):
         held = [(r.item, r.words.encode()) for r in items.where(F.col("shard") == shard).collect()]
-        docs = docs.mapInArrow(_scan(spark.sparkContext.broadcast((shard, held)), window, text_at), schema)
+        shared = spark.sparkContext.broadcast((shard, held))
+        if last and shard == shards - 1:
+            return docs.mapInArrow(_scan(shared, window, text_at, last), narrow), added
+        docs = docs.mapInArrow(_scan(shared, window, text_at), wide)
     return docs, added
 
 
@@ -227,16 +231,16 @@ def _strip(text: bytes, spans: list[dict]) -> bytes:
 
 
 def _remove(max_coverage: float, text_at: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part, texts in slices(batch, batch.schema.names[text_at]):
-                n_words, spans = (part.column(part.num_columns - i).to_pylist() for i in (3, 2))
-                hit = [sum(x["end"] - x["start"] for x in s) for s in spans]
-                stay = [i for i, (h, n) in enumerate(zip(hit, n_words, strict=True)) if h <= max_coverage * n]
-                new = [_strip(texts[i], spans[i]) if spans[i] else texts[i] for i in stay]
-                columns = part.select(range(part.num_columns - 3)).take(pa.array(stay, pa.int64())).columns
-                columns[text_at] = pa.array([t.decode() if isinstance(t, bytes) else t for t in new], pa.string())
-                yield pa.RecordBatch.from_arrays(columns, names=[f"c{i}" for i in range(len(columns))])
+    """The rows with at most ``max_coverage`` of their words in spans, and their texts without these."""
+
+    def run(kept: list[pa.Array], texts: list[bytes | None], columns: list[pa.Array]) -> list[pa.Array]:
+        n_words, spans = columns[-3].to_pylist(), columns[-2].to_pylist()
+        hit = [sum(x["end"] - x["start"] for x in s) for s in spans]
+        stay = [i for i, (h, n) in enumerate(zip(hit, n_words, strict=True)) if h <= max_coverage * n]
+        new = [_strip(texts[i], spans[i]) if spans[i] else texts[i] for i in stay]
+        out = [c.take(pa.array(stay, pa.int64())) for c in kept]
+        out[text_at] = pa.array([t.decode() if isinstance(t, bytes) else t for t in new], pa.string())
+        return out
 
     return run
 
@@ -249,5 +253,4 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_c
     back as they are, and all columns but ``text`` are carried unchanged, whatever their names. Edge cases of items
     as in ``contamination``. No row is shuffled.
     """
-    found, added = _with_hits(docs, benchmark, window)
-    return found.mapInArrow(_remove(max_coverage, docs.columns.index("text")), docs.schema)
+    return _with_hits(docs, benchmark, window, _remove(max_coverage, docs.columns.index("text")))[0]

@@ -98,7 +98,7 @@ FAMILIES = (
     Family("openrail", "openrail", ("openrail", "creativeml openrail", "bigscience openrail"), ("openrail",)),
     Family("cecill", "cecill", ("cecill", "cecill (?:a|b|c)"), ("cecill",), ("1 0", "2 0", "2 1")),
     *(
-        Family(f"cc-{k.replace(' ', '-')}", w, names, (f"cc {k}",), ("1 0", "2 0", "2 5", "3 0", "4 0"))
+        Family(f"cc-{k.replace(' ', '-')}", w, names, (f"cc {k}",) if w == "cc" else (), ("1 0", "2 0", "2 5", "3 0", "4 0"))
         for k, long in (
             ("by", "attribution"),
             ("by sa", "attribution share ?alike"),

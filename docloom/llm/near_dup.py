@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .scratch import cut, small, table
+from .scratch import cut, small, table, text_batches
 from .text import WordHash, mix, slices, split_space_lower
 
 BANDS, ROWS = 28, 4
@@ -295,7 +295,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     linked with nothing: its component_id is null and it is kept. Rows with one doc_id are one document, and each is
     kept or not as that document. An empty table gives an empty result.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = text_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sketches = table(
         docs.mapInArrow(
             _sketch(shingle), "doc_id long, n_shingles long, s1 long, s2 long, keys array<long>, regs binary"

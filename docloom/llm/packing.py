@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import text_batches
 from .text import slices
 
 #: Text bytes whose pieces are packed together.
@@ -165,7 +166,7 @@ def pack_tokens(docs: DataFrame, width: int = 2048, path: str | None = None, eot
     Null and empty texts give no segment. A null doc_id and repeated rows are packed like others. Further columns are
     not read; an empty table gives no rows. The result is the same for any partitioning of ``docs``.
     """
-    rows = docs.select("doc_id", F.xxhash64("text").alias("fp"), "text").where("text <> ''")
+    rows = text_batches(docs).select("doc_id", F.xxhash64("text").alias("fp"), "text").where("text <> ''")
     kind = rows.schema["doc_id"].dataType.simpleString()
     total = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     shards = -(-total // SHARD_BYTES) or 1

@@ -36,12 +36,16 @@ def table(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, max_rows: int) -> DataFrame:
+def small(df: DataFrame, max_rows: int, array: str | None = None, max_items: int = 0) -> DataFrame:
     """Hint a broadcast of ``df`` if it is proven to have at most ``max_rows`` rows; else leave the join to a shuffle.
 
-    ``df`` should be cut or written already, as it is counted. The count stops past the bound.
+    With ``array``, the items of that column are counted too and may be ``max_items`` in all. ``df`` should be cut or
+    written already, as it is counted.
     """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+    if array is None:
+        return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+    rows, items = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size(array)), F.lit(0))).first()
+    return F.broadcast(df) if rows <= max_rows and items <= max_items else df
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:
@@ -53,3 +57,18 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
         taken.add(name.lower())
         out.append(name)
     return out
+
+
+#: Rows of text in one Arrow batch, where the session leaves Spark's default.
+BATCH_ROWS = "1000"
+
+
+def text_batches(df: DataFrame) -> DataFrame:
+    """``df``, in a session whose Arrow batches hold few enough rows of text for small executors.
+
+    Only Spark's default of 10,000 rows, meant for narrow rows, is replaced; a value that the session has set stays.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if df.sparkSession.conf.get(key) == "10000":
+        df.sparkSession.conf.set(key, BATCH_ROWS)
+    return df

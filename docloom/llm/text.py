@@ -9,9 +9,9 @@ import pyarrow as pa
 import xxhash
 
 #: Bytes of text handled at once in a task; a longer single text is a slice of its own.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 #: Word hashes remembered by a task before it starts anew.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 200_000
 
 _FOLD = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 

@@ -24,11 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import small, table
+from .scratch import small, table, text_batches
 from .text import Rolling, WordHash, slices, split_space
 
-#: Rows (one per document with spans) up to which the span table is broadcast rather than shuffled with the texts.
-BROADCAST_ROWS = 200_000
+#: Rows (one per document with spans) and spans (8 to 16 bytes each) up to which a span table is broadcast rather than
+#: shuffled with the texts.
+BROADCAST_ROWS, BROADCAST_SPANS = 200_000, 2_000_000
 
 
 def _sliding_min(x: np.ndarray, size: int) -> np.ndarray:
@@ -115,13 +116,29 @@ def _boundary_windows(window: int):
     return run
 
 
+def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each row's spans in order, overlapping and touching ones united."""
+    for batch in batches:
+        spans, merged = batch.column("spans"), []
+        ends_of = spans.flatten()
+        every = np.stack([ends_of.field(i).to_numpy(zero_copy_only=False) for i in (0, 1)])
+        for a, b in zip(spans.offsets.to_pylist(), spans.offsets.to_pylist()[1:], strict=False):
+            start, end = every[:, a - spans.offsets[0].as_py() : b - spans.offsets[0].as_py()]
+            order = np.argsort(start, kind="stable")
+            start, reach = start[order], np.maximum.accumulate(end[order])
+            first = np.flatnonzero(np.concatenate(([True], start[1:] > reach[:-1])))
+            last = np.append(first[1:], len(start)) - 1
+            merged.append([{"start": x, "end": y} for x, y in zip(start[first].tolist(), reach[last].tolist(), strict=True)])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(merged, batch.schema.field("spans").type)], schema=batch.schema)
+
+
 def duplicate_spans(docs: DataFrame, window: int = 50, gram: int = 16) -> DataFrame:
-    """(doc_id, fp, spans): for each document with any, the word spans [start, end) that an earlier document holds.
+    """(doc_id, fp, spans): for each document with any, the disjoint word spans [start, end) that earlier documents hold.
 
-    Spans of one document may overlap. ``fp`` is ``xxhash64(text)``; rows of one doc_id with other texts are apart.
+    ``fp`` is ``xxhash64(text)``; rows of one doc_id with other texts are apart.
     Rows without doc_id or text, or with fewer words than ``window``, take no part.
     """
-    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("fp")).where("doc_id is not null and text is not null")
+    keyed = text_batches(docs).select("doc_id", "text", F.xxhash64("text").alias("fp")).where("doc_id is not null and text is not null")
     kind = keyed.schema["doc_id"].dataType.simpleString()
     blocks = table(
         keyed.mapInArrow(
@@ -147,7 +164,7 @@ def duplicate_spans(docs: DataFrame, window: int = 50, gram: int = 16) -> DataFr
         .agg(F.collect_list(F.struct("start", "size", "anchor")).alias("blocks"))
     )
     windows = table(
-        keyed.join(small(at_boundary, BROADCAST_ROWS), ["doc_id", "fp"])
+        keyed.join(small(at_boundary, BROADCAST_ROWS, "blocks", BROADCAST_SPANS), ["doc_id", "fp"])
         .select("doc_id", "text", "fp", "blocks")
         .mapInArrow(_boundary_windows(window), f"doc_id {kind}, fp long, start int, anchor long, words long")
     )
@@ -160,11 +177,12 @@ def duplicate_spans(docs: DataFrame, window: int = 50, gram: int = 16) -> DataFr
     copied = hit.where("copied").select("doc_id", "fp", "start", (F.col("start") + F.col("size") + F.lit(window - 1)).alias("end"))
     found = windows.join(owners, ["anchor", "words"]).where("doc_id > first")
     found = found.select("doc_id", "fp", "start", (F.col("start") + F.lit(window)).alias("end"))
-    return (
+    spans = (
         copied.unionByName(found)
         .groupBy("doc_id", "fp")
         .agg(F.collect_set(F.struct("start", F.col("end").cast("int").alias("end"))).alias("spans"))
     )
+    return spans.mapInArrow(_merge, spans.schema)
 
 
 def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,7 +227,7 @@ def substring_dedup(docs: DataFrame, window: int = 50, gram: int = 16) -> DataFr
     keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("fp"))
     kind = keyed.schema["doc_id"].dataType.simpleString()
     return (
-        keyed.join(small(spans, BROADCAST_ROWS), ["doc_id", "fp"], "left")
+        keyed.join(small(spans, BROADCAST_ROWS, "spans", BROADCAST_SPANS), ["doc_id", "fp"], "left")
         .select("doc_id", "text", "spans")
         .mapInArrow(_apply, f"doc_id {kind}, n_words long, n_removed long, kept_text string")
     )

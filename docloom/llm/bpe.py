@@ -22,12 +22,16 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .scratch import text_batches
 from .text import slices
 
-#: Word encodings and pair verdicts that a task remembers before it starts anew.
-CACHE_WORDS = 300_000
-CACHE_PAIRS = 300_000
+#: Word encodings that a Python worker remembers in each of two generations, and pair verdicts before it starts anew.
+CACHE_WORDS = 200_000
+CACHE_PAIRS = 400_000
+#: Bytes of text whose words are encoded together: new words are proposed and verified all at once.
+SLICE_BYTES = 1 << 20
+#: Letters up to which a word is short.
+SHORT = 32
+_NEVER = 1 << 60
 
 
 def _byte_letters() -> list[str]:
@@ -52,7 +56,6 @@ class WordBpe:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.tokens: dict[int, str] = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.special.items()}
         split = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
-        self.names = {str(i): t for i, t in self.tokens.items()}
         self.pattern = regex.compile(split)
         # The same pattern in the faster engine, right wherever both know all letters and digits alike.
         self.plain = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
@@ -60,7 +63,9 @@ class WordBpe:
         self.letters = _byte_letters()
         self.longest = max(map(len, self.vocab))
         self.words: dict[str, str] = {}
+        self.older: dict[str, str] = {}
         self.pairs: dict[tuple[int, int], bool] = {}
+        self.texts = _Texts({str(i): t for i, t in self.tokens.items()})
 
     # -- text to words -------------------------------------------------------------------------------------------
 
@@ -81,9 +86,23 @@ class WordBpe:
         return "".join([letters[b] for b in word.encode()])
 
     def merged(self, symbols: list[str]) -> list[str]:
-        """The merge list run to its end: always the leftmost pair of lowest rank, from a heap over linked parts."""
+        """The merge list run to its end: always the leftmost pair of lowest rank.
+
+        A long word's pairs wait in a heap over linked parts; a short word's are looked through each time.
+        """
         parts, ranks = list(symbols), self.ranks
         n = len(parts)
+        if n <= SHORT:
+            waiting = [ranks.get(pair, _NEVER) for pair in zip(parts, parts[1:], strict=False)]
+            while waiting and (least := min(waiting)) < _NEVER:
+                i = waiting.index(least)
+                parts[i : i + 2] = [parts[i] + parts[i + 1]]
+                del waiting[i]
+                if i < len(waiting):
+                    waiting[i] = ranks.get((parts[i], parts[i + 1]), _NEVER)
+                if i:
+                    waiting[i - 1] = ranks.get((parts[i - 1], parts[i]), _NEVER)
+            return parts
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         heap = [(r, i, parts[i], parts[i + 1]) for i in range(n - 1) if (r := ranks.get((parts[i], parts[i + 1]))) is not None]
         heapify(heap)
@@ -137,8 +156,6 @@ class WordBpe:
 
     def learn(self, words: list[str]) -> None:
         """Encode words not seen yet, all at once."""
-        if len(self.words) + len(words) > CACHE_WORDS:
-            self.words.clear()
         if len(self.pairs) > CACHE_PAIRS:
             self.pairs.clear()
         symbols = [self._symbols(w) for w in words]
@@ -169,21 +186,36 @@ class WordBpe:
                 words += [" " + part] if i % 2 else self.split(part)
             pieces.append(words)
         known = self.words
-        for special, i in self.special.items():
-            known[" " + special] = str(i)
         fresh = {w for words in pieces for w in words if w not in known}
         if len(known) + len(fresh) > CACHE_WORDS:
-            known.clear()
-            fresh = {w for words in pieces for w in words if not w.startswith(" ")}
-        self.learn(list(fresh))
+            self.older, self.words = known, (known := {})
+            fresh = {w for words in pieces for w in words}
+        for w in fresh & self.older.keys():
+            known[w] = self.older[w]
         for special, i in self.special.items():
             known[" " + special] = str(i)
+        self.learn([w for w in fresh if w not in known])
         get = known.__getitem__
         return [list(map(get, words)) for words in pieces]
 
-    def decode(self, ids: str) -> str:
-        """The tokens of ids in decimals joined by one space: the file names no decoder, so tokens are joined alike."""
-        return " ".join(map(self.names.__getitem__, ids.split(" "))) if ids else ""
+    def decode(self, ids: list[str]) -> str:
+        """The tokens of ids joined by one space, as the file names no decoder; ids are decimals, one or more an item."""
+        return " ".join(map(self.texts.__getitem__, ids))
+
+
+class _Texts(dict):
+    """What ids in decimals, joined by one space, stand for; new joins are remembered up to a bound."""
+
+    def __init__(self, tokens: dict[str, str]):
+        super().__init__(tokens)
+        self._tokens = tokens
+
+    def __missing__(self, ids: str) -> str:
+        if len(self) > len(self._tokens) + CACHE_WORDS:
+            self.clear()
+            self.update(self._tokens)
+        self[ids] = text = " ".join(map(self._tokens.__getitem__, ids.split(" ")))
+        return text
 
 
 #: Case pairs that Unicode 16 and 17 added, beyond those of the Python at hand.
@@ -206,11 +238,23 @@ def vocabulary(path: str | None = None) -> str:
         return f.read()
 
 
+def _share(df: DataFrame, path: str | None):
+    """The vocabulary, broadcast in a holder in which each Python worker keeps its model from task to task."""
+    return df.sparkSession.sparkContext.broadcast({"spec": vocabulary(path)})
+
+
+def _model(shared) -> WordBpe:
+    held = shared.value
+    if "model" not in held:
+        held["model"] = WordBpe(json.loads(held["spec"]))
+    return held["model"]
+
+
 def _encode(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = WordBpe(json.loads(shared.value))
+        bpe = _model(shared)
         for batch in batches:
-            for part, texts in slices(batch):
+            for part, texts in slices(batch, size=SLICE_BYTES):
                 words = bpe.encode([t and t.decode() for t in texts])
                 ids = [np.array(" ".join(w).split(), dtype=np.int32) for w in words]
                 yield pa.RecordBatch.from_arrays(
@@ -222,17 +266,18 @@ def _encode(shared):
 
 def _digest(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = WordBpe(json.loads(shared.value))
+        bpe = _model(shared)
         sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
         for batch in batches:
-            for part, texts in slices(batch):
-                ids = [" ".join(w) for w in bpe.encode([t and t.decode() for t in texts])]
+            for part, texts in slices(batch, size=SLICE_BYTES):
+                words = bpe.encode([t and t.decode() for t in texts])
+                ids = [" ".join(w) for w in words]
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("doc_id"),
                         pa.array([x.count(" ") + 1 if x else 0 for x in ids], pa.int64()),
                         pa.array([sha(x) for x in ids]),
-                        pa.array([sha(bpe.decode(x)) for x in ids]),
+                        pa.array([sha(bpe.decode(w)) for w in words]),
                     ],
                     names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
                 )
@@ -247,20 +292,20 @@ def bpe_encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     ids. Rows without doc_id and repeated rows give a row each; further columns are not read; an empty table gives an
     empty result. Nothing is shuffled.
     """
-    rows = text_batches(docs).select("doc_id", "text")
+    rows = docs.select("doc_id", "text")
     kind = rows.schema["doc_id"].dataType.simpleString()
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary(path))
+    shared = _share(docs, path)
     return rows.mapInArrow(_encode(shared), f"doc_id {kind}, ids array<int>")
 
 
 def bpe_decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     """(doc_id, decoded) for each row of ``encoded(doc_id, ids)``; null or empty ids give an empty text."""
-    shared = encoded.sparkSession.sparkContext.broadcast(vocabulary(path))
+    shared = _share(encoded, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = WordBpe(json.loads(shared.value))
+        bpe = _model(shared)
         for batch in batches:
-            texts = [bpe.decode(" ".join(map(str, ids or ()))) for ids in batch.column("ids").to_pylist()]
+            texts = [bpe.decode(list(map(str, ids or ()))) for ids in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "decoded"])
 
     rows = encoded.select("doc_id", "ids")
@@ -272,9 +317,9 @@ def bpe_round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     Edge cases as in ``bpe_encode``; ids and decoded text never leave the task.
     """
-    rows = text_batches(docs).select("doc_id", "text")
+    rows = docs.select("doc_id", "text")
     kind = rows.schema["doc_id"].dataType.simpleString()
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary(path))
+    shared = _share(docs, path)
     return rows.mapInArrow(
         _digest(shared), f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"
     )

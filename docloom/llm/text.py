@@ -53,8 +53,8 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[tuple[pa.RecordBatch, list[bytes | None]]]:
-    """Parts of a batch of about SLICE_BYTES of text, each with its texts as bytes."""
+def slices(batch: pa.RecordBatch, column: str = "text", size: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes | None]]]:
+    """Parts of a batch of about ``size`` bytes of text, each with its texts as bytes."""
     lengths = batch.column(column).cast(pa.binary()).to_pylist() if batch.num_rows <= 64 else None
     if lengths is not None:
         sizes = [len(x) if x else 0 for x in lengths]
@@ -63,12 +63,12 @@ def slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[tuple[pa.Rec
 
         sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
     start, held = 0, 0
-    for i, size in enumerate(sizes):
-        if held and held + size > SLICE_BYTES:
+    for i, own in enumerate(sizes):
+        if held and held + own > size:
             part = batch.slice(start, i - start)
             yield part, part.column(column).cast(pa.binary()).to_pylist()
             start, held = i, 0
-        held += size
+        held += own
     if start < batch.num_rows:
         part = batch.slice(start)
         yield part, part.column(column).cast(pa.binary()).to_pylist()

@@ -1,26 +1,27 @@
 """Toxicity by two class-conditional Kneser-Ney word models.
 
-One interpolated bigram model is learnt from toxic and one from ordinary labelled texts. A text's score compares their
-log-likelihoods per word, less the same over the text's ordinary part (all but its most telling words), through a
+One interpolated bigram model is learnt from toxic and one from ordinary labelled texts. A text's score is the
+length-normalised log-likelihood ratio: the sum over all of its words, toxic ones included, by their number, through a
 logistic curve fitted on labelled texts that neither model has seen.
 
 Both models discount their counts and hand the freed mass down: bigram counts to the class' continuation counts (after
-how many distinct words a word stands in the class' texts, which copies of a passage don't raise), and these to *one
-shared* distribution of continuation counts over both classes, so a rare expression is judged by what both know of it. The ordinary class is larger: dealt into shares of the toxic class' size, each with a unigram model of its own, whose
-log-likelihoods are averaged, its contexts run out and its rare words err just as the toxic class' do, so that texts
-of frequent and of rare words start alike. The models keep the bigrams and words whose count in a class is over its
-discount and reaches FLOOR of its characters (a relative frequency, the same at every size of corpus); the mass of all
-others goes to the lower order, so each model still sums to one. A word takes two characters at least, so a model has at most 0.5 / FLOOR words and as
-many bigrams, whatever the corpus' size: that bounds what is broadcast.
+how many distinct words a word stands), and these to *one shared* distribution of continuation counts over both
+classes. A bigram counts once for each distinct text of a class, so copies don't count again; discounts are estimated
+from how many n-grams count once and twice. A smaller class has seen fewer of its rare words, so the larger is thinned
+to its size, whatever the ratio: an n-gram of c texts is expected in 1 - (1 - s) ** c of all samples of a share s.
+
+Each n-gram's ratio is the estimate's own by a weight of 1 - t / G, and the lower order's (no ratio, for a word) by the
+rest. G is the likelihood-ratio statistic of its texts against the classes' shares (for a bigram: its first word's),
+t = 2 ln(n-grams) about the most that chance brings about in so many. So a rare expression, or one that both classes know
+alike, moves no text, while all words and bigrams are counted, in Spark tables, at every size of corpus. The n-grams
+with a weight are broadcast behind a count; beyond the bound texts' n-grams meet them by a shuffle, with the same result.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,24 +29,20 @@ from pyspark.sql import functions as F
 from .scratch import small, table, text_batches
 from .text import WordHash, mix, slices, split_alnum
 
-#: Kept n-grams have a count of at least this share of their class' characters.
-FLOOR = 2e-6
-#: What is taken off a word's count of contexts, and off a bigram's count in the smaller class, in proportion in the other.
-DISCOUNT, PAIR_DISCOUNT = 0.75, 100.0
-#: The share of a text's words, by rising ratio, that are its ordinary part.
-ORDINARY_PART = 0.95
-#: Ordinary texts are dealt, by text, to as many shares as the class is larger than the toxic one, up to so many.
-MAX_SHARES = 24
+#: The discount where too few n-grams count once and twice to estimate it.
+DISCOUNT = 0.75
 #: The most nats that one word adds or takes.
 CLIP = 4.0
 #: Of the five parts by crc32(doc_id), part 0 is held out, part 4 fits the curve and the others teach the models.
 PARTS, HELD_OUT, CURVE = 5, 0, 4
 #: Cells of the ratio per word, from -LIMIT to LIMIT nats, in which the curve is fitted.
-CELLS, LIMIT = 4096, 1.0
+CELLS, LIMIT = 16384, 4.0
 #: Word pairs that a task sums up at once.
 FLUSH = 2_000_000
 #: Labels (16 bytes each) up to which they are broadcast; beyond, the labelled texts are shuffled once.
 BROADCAST_LABELS = 1_000_000
+#: N-grams with a ratio (16 bytes each) up to which they are broadcast; beyond, texts' n-grams are shuffled to them.
+BROADCAST_GRAMS = 1_000_000
 
 _BREAK = np.uint64(1)
 
@@ -65,37 +62,44 @@ def _hashes(texts: list[bytes | None], cache: WordHash) -> tuple[np.ndarray, np.
     return cache.of(flat), np.array(starts, dtype=np.int64)
 
 
-def _counted(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-    a, b, group = (np.concatenate(x) for x in zip(*held, strict=True))
+def _pair_key(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
-        key = mix(mix(a * np.uint64(0x9E3779B97F4A7C15) + b) + group)
-    _, first, n = np.unique(key, return_index=True, return_counts=True)
-    group = group[first].astype(np.int64)
-    toxic = np.where(group == 0, n, 0)
-    bits = np.where(group == 0, 0, np.int64(1) << (group - 1).clip(0))
-    return pa.RecordBatch.from_arrays(
-        [pa.array(_short(a[first])), pa.array(b[first].view(np.int64)), pa.array(toxic), pa.array(n - toxic), pa.array(bits)],
-        names=["a", "b", "toxic", "ordinary", "shares"],
-    )
+        return mix(a * np.uint64(0x9E3779B97F4A7C15) + b)
+
+
+def _firsts(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One index for each distinct (key, doc), and how often it is there."""
+    with np.errstate(over="ignore"):
+        both = mix(key + doc.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+    _, first, n = np.unique(both, return_index=True, return_counts=True)
+    return first, n
 
 
-def _short(h: np.ndarray) -> np.ndarray:
-    """The 32 bits by which a word is known as a context."""
-    return (h >> np.uint64(32)).astype(np.uint32).view(np.int32)
+def _counted(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+    a, b, toxic = (np.concatenate(x) for x in zip(*held, strict=True))
+    _, first, row = np.unique(_pair_key(a, b), return_index=True, return_inverse=True)
+    n, n_toxic = np.bincount(row), np.bincount(row, weights=toxic).astype(np.int64)
+    order = np.lexsort((b[first], a[first]))  # runs of one first word compress well
+    a, b, n, n_toxic = a[first][order], b[first][order], n[order], n_toxic[order]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(n_toxic), pa.array(n - n_toxic)], names=["a", "b", "toxic", "ordinary"]
+    )
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b, toxic, ordinary, shares): counts of word b after word a, and a bit for each ordinary share."""
+    """(a, b, toxic, ordinary): in how many rows of each class word b stands after word a; after a break: at all."""
     cache, held, size = WordHash(), [], 0
     for batch in batches:
         for part, texts in slices(batch):
             h, starts = _hashes(texts, cache)
-            labels, shares = (np.array(part.column(c).to_pylist(), dtype=np.int64) for c in ("toxic", "share"))
+            labels = np.array(part.column("toxic").to_pylist(), dtype=np.int64)
             doc = np.repeat(np.arange(len(texts)), np.diff(np.append(starts, len(h))))[1:]
             inside = h[1:] != _BREAK
-            group = np.where(labels > 0, 0, shares + 1).astype(np.uint64)[doc]
-            held.append((h[:-1][inside], h[1:][inside], group[inside]))
-            size += len(held[-1][0])
+            a, b, doc = h[:-1][inside], h[1:][inside], doc[inside]
+            a, b, doc = np.concatenate([np.full(len(b), _BREAK), a[a != _BREAK]]), np.concatenate([b, b[a != _BREAK]]), np.concatenate([doc, doc[a != _BREAK]])
+            first, _ = _firsts(_pair_key(a, b), doc)
+            held.append((a[first], b[first], labels[doc[first]]))
+            size += len(first)
             if size >= FLUSH:
                 yield _counted(held)
                 held, size = [], 0
@@ -103,99 +107,64 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _counted(held)
 
 
-class ClassModels:
-    """Both classes' kept n-grams as sorted arrays, with the log-likelihood ratio of each ready to be looked up."""
-
-    def __init__(self, words: pd.DataFrame, pairs: pd.DataFrame, totals: dict[str, tuple[list[int], float]]):
-        words = words.sort_values("word", ignore_index=True)
-        self.words = words["word"].to_numpy(np.int64)
-        n = len(self.words)
-        contexts = np.array([sum(x) + sum(y) for x, y in zip(words["in_toxic"], words["in_ordinary"], strict=True)], dtype=float)
-        share = contexts / max(contexts.sum(), 1.0)
-        rows = {s: i for i, s in enumerate(_short(self.words.view(np.uint64)).tolist())}
-        pairs = pairs[pairs["a"].isin(rows)]
-        a = np.array([rows[s] for s in pairs["a"].tolist()], dtype=np.int64)
-        b = np.searchsorted(self.words, pairs["b"].to_numpy(np.int64))
-        order = np.argsort(a.astype(np.int64) * n + b, kind="stable")
-        a, b = a[order], b[order]
-        self.n, self.pairs = n, a.astype(np.int64) * n + b
-        self.one, self.two, self.back = np.zeros(n), np.zeros(len(a)), np.zeros(n + 1)
-        self.other = 0.0
-        for sign, kind in ((1, "toxic"), (-1, "ordinary")):
-            total, off_pair = totals[kind]
-            inside = np.array(words[f"in_{kind}"].to_list(), dtype=float).reshape(n, len(total))
-            total = np.maximum(np.array(total, dtype=float), 1.0)
-            kept = np.maximum(inside - DISCOUNT, 0) / total
-            free = 1 - kept.sum(axis=0)
-            one = np.log(kept + free * share[:, None] + 1e-12).mean(axis=1)
-            count = words[kind].to_numpy(float)
-            pair = np.maximum(pairs[kind].to_numpy(float)[order] - off_pair, 0) / np.maximum(count[a], 1.0)
-            rest = np.maximum(1 - np.bincount(a, weights=pair, minlength=n), 1e-3)
-            self.one += sign * one
-            self.two += sign * np.log(pair + rest[a] * np.exp(one[b]))
-            self.back[:n] += sign * np.log(rest)
-            self.other += sign * np.log(np.maximum(free, 1e-6)).mean()
-
-    def ratios(self, texts: list[bytes | None], cache: dict) -> np.ndarray:
-        """Each text's log-likelihood under the toxic model less that under the ordinary one, per word; 0 if empty.
-
-        The same per word of the text's ordinary part is taken off: the shares of a language or subject in the two
-        classes move all of a text's words alike and tell nothing about it.
-        """
-        flat, sizes = [], []
-        for text in texts:
-            own = split_alnum(text)
-            sizes.append(len(own) + 1)
-            flat.append(b"\n")
-            flat += own
-        ids = np.fromiter(map(cache.__getitem__, flat), dtype=np.int64, count=len(flat))
-        before, now = ids[:-1], ids[1:]
-        known = now >= 0
-        value = np.where(known, self.one[now] if self.n else 0.0, self.other)
-        value = value + np.where(before >= 0, self.back[before], 0.0)
-        if len(self.pairs):
-            key = before * self.n + now
-            at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
-            both = (before >= 0) & known & (self.pairs[at] == key)
-            value = np.where(both, self.two[at], value)
-        value = np.clip(value, -CLIP, CLIP)
-        n, starts = np.array(sizes) - 1, np.cumsum([0, *sizes[:-1]])
-        owner = np.repeat(np.arange(len(texts)), n + 1)
-        value = np.append(-np.inf, value)
-        value[starts] = -np.inf  # the breaks come first in each text's order
-        value = value[np.lexsort((value, owner))]
-        value[starts] = 0.0
-        low = np.maximum((ORDINARY_PART * n).astype(np.int64), np.minimum(n, 1))
-        sums = np.append(0.0, np.cumsum(value))
-        every = (sums[starts + n + 1] - sums[starts]) / np.maximum(n, 1)
-        return every - (sums[starts + low + 1] - sums[starts]) / np.maximum(low, 1)
-
-
-class _Rows(dict):
-    """word -> its row in the models, -1 for others, remembered up to a bound."""
-
-    def __init__(self, words: np.ndarray):
-        super().__init__({b"\n": -1})
-        self._rows, self._hash = {int(w): i for i, w in enumerate(words)}, WordHash()
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 300_000:
-            self.clear()
-            self[b"\n"] = -1
-        h = self._hash[word]
-        self[word] = value = self._rows.get(h - (1 << 64) if h >> 63 else h, -1) if word != b"\n" else -1
-        return value
+def evidence(toxic: np.ndarray, ordinary: np.ndarray, share: np.ndarray | float) -> np.ndarray:
+    """The likelihood-ratio statistic of the counts, where ``share`` of both is expected to be toxic."""
+    both = toxic + ordinary
 
+    def term(n: np.ndarray, p: np.ndarray | float) -> np.ndarray:
+        return np.where(n > 0, n * np.log(np.maximum(n, 1e-300) / np.maximum(both * p, 1e-300)), 0.0)
+
+    return 2 * (term(toxic, share) + term(ordinary, 1 - share))
+
+
+def _log_kept(n: np.ndarray, off: float, rest: np.ndarray, whole: bool) -> np.ndarray:
+    """log of the discounted count and the rest handed down; if not ``whole``, its mean over Poisson counts of mean n."""
+    if whole:
+        return np.log(np.maximum(n - off, 0) + rest + 1e-12)
+    few = n <= 40
+    out = np.log(np.maximum(n - off, 1e-12) + rest)
+    chance, total = np.exp(-n[few]), np.zeros(few.sum())
+    for x in range(110):
+        total += chance * np.log(max(x - off, 0) + rest[few] + 1e-12)
+        chance = chance * n[few] / (x + 1)
+    out[few] = total
+    return out
+
+
+def _word_values(d: dict):
+    """Each word with its log-probability in both models and its ratio."""
 
-def _score(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        models = ClassModels(*shared.value)
-        cache = _Rows(models.words)
         for batch in batches:
-            for part, texts in slices(batch):
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array(models.ratios(texts, cache))], names=["doc_id", "extra", "ratio"]
-                )
+            x, y, in_x, in_y = (batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in ("in_toxic", "in_ordinary", "texts_toxic", "texts_ordinary"))
+            shared = (x + y) / max(d["in_toxic"] + d["in_ordinary"], 1e-9)
+            logs = [
+                _log_kept(n, d["off_word"], d["off_word"] * d[f"seen_{k}"] * shared, d[f"s_{k}"] == 1) - np.log(max(d[f"in_{k}"], 1e-9))
+                for k, n in (("toxic", x), ("ordinary", y))
+            ]
+            g = evidence(in_x, in_y, d["texts_toxic"] / max(d["texts_toxic"] + d["texts_ordinary"], 1e-9))
+            ratio = np.maximum(1 - d["t_word"] / np.maximum(g, 1e-9), 0) * np.clip(logs[0] - logs[1], -CLIP, CLIP)
+            yield pa.RecordBatch.from_arrays([batch.column("b"), *map(pa.array, (*logs, ratio))], names=["b", "log_toxic", "log_ordinary", "ratio"])
+
+    return run
+
+
+def _pair_values(d: dict):
+    """What each bigram adds to its second word's ratio."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            v = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in batch.schema.names}
+            logs = []
+            for k in ("toxic", "ordinary"):
+                s, n, all_ = d[f"s_{k}"], v[k].astype(float), v[f"all_{k}"].astype(float)
+                p = np.exp(v[f"log_{k}"])
+                kept = s * n - d["off_pair"] * (1 - (1 - s) ** n)
+                logs.append(np.log(np.where(all_ > 0, (kept + d["off_pair"] * v[f"kinds_{k}"] * p) / np.maximum(s * all_, 1e-12), p) + 1e-12))
+            own = np.clip(logs[0] - logs[1], -CLIP, CLIP)
+            more = (1 - d["t_pair"] / np.maximum(v["g"], 1e-9)) * (own - v["ratio"])
+            key = _pair_key(v["a"].astype(np.int64).view(np.uint64), v["b"].astype(np.int64).view(np.uint64))
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(more)], names=["gram", "value"])
 
     return run
 
@@ -207,41 +176,138 @@ def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").where("doc_id is not null").join(marks, "doc_id").withColumn("part", part_of(F.col("doc_id")))
 
 
-def train(rows: DataFrame, floor: float = FLOOR) -> tuple[pd.DataFrame, pd.DataFrame, dict]:
-    """The kept words and bigrams with their counts by class, from ``rows(text, toxic)``, and the classes' totals.
+def _discount(once: float, twice: float) -> float:
+    return min(max(once / (once + 2 * twice), 0.05), 0.95) if once and twice else DISCOUNT
+
+
+def _evidence(toxic: Column, ordinary: Column, share: Column) -> Column:
+    term = lambda n, p: F.when(n > 0, n * F.log(n / ((toxic + ordinary) * p))).otherwise(0.0)
+    return 2 * (term(toxic, share) + term(ordinary, 1 - share))
 
-    All counts cover all rows. What comes to the driver is bounded by ``floor``, not by the rows.
+
+def train(rows: DataFrame) -> DataFrame:
+    """(gram, value): what each word, and each bigram beyond its second word, adds to a text's ratio, where not 0.
+
+    Learnt from ``rows(text, toxic)``. All words and bigrams of all rows are counted; only totals reach the driver.
     """
     kinds = ("toxic", "ordinary")
+    rows = table(rows.select("text", F.when(F.col("toxic") > 0, 1).otherwise(0).alias("toxic")).where("text is not null").dropDuplicates())
     size = lambda k: F.coalesce(F.sum(F.when(F.col("toxic") == k, F.octet_length("text"))), F.lit(0)).cast("long")
     letters = rows.agg(size(1).alias("toxic"), size(0).alias("ordinary")).first().asDict()
-    shares = min(max(round(letters["ordinary"] / max(letters["toxic"], 1)), 1), MAX_SHARES)
-    smaller = max(min(letters.values()), 1)
-    off_pair = {k: PAIR_DISCOUNT * max(letters[k], 1) / smaller for k in kinds}
-    high_pair = [(F.col(k) > off_pair[k]) & (F.col(k) >= floor * letters[k]) for k in kinds]
-
-    share = F.pmod(F.xxhash64("text"), F.lit(shares)).alias("share")
-    pairs = rows.select("text", "toxic", share).mapInArrow(_count, "a int, b long, toxic long, ordinary long, shares long")
-    pairs = pairs.groupBy("a", "b").agg(*[F.sum(k).alias(k) for k in kinds], F.bit_or("shares").alias("shares"))
-    of_share = [F.sum(F.shiftright("shares", i).bitwiseAND(F.lit(1))) for i in range(shares)]
-    words = table(
-        pairs.groupBy(F.col("b").alias("word")).agg(
-            F.array(F.count_if(F.col("toxic") > 0)).alias("in_toxic"),
-            F.array(*of_share).alias("in_ordinary"),
-            *[F.sum(k).alias(k) for k in kinds],
-            F.collect_list(F.when(high_pair[0] | high_pair[1], F.struct("a", *kinds))).alias("pairs"),
-        )
-    )
-    each = [F.coalesce(F.sum(F.get(f"in_{k}", F.lit(i))), F.lit(0)) for k, n in zip(kinds, (1, shares), strict=True) for i in range(n)]
-    total = list(words.agg(*[x.alias(f"n{i}") for i, x in enumerate(each)]).first())
-    summed = lambda k: F.aggregate(f"in_{k}", F.lit(0).cast("long"), lambda acc, n: acc + n)
-    enough = [(F.array_max(f"in_{k}") > DISCOUNT) & (summed(k) >= floor * letters[k]) for k in kinds]
-    kept = words.where(enough[0] | enough[1])
-    kept_pairs = kept.select(F.col("word").alias("b"), F.explode("pairs").alias("p")).select("p.a", "b", *[f"p.{k}" for k in kinds]).toPandas()
-    return kept.drop("pairs").toPandas(), kept_pairs, {"toxic": (total[:1], off_pair["toxic"]), "ordinary": (total[1:], off_pair["ordinary"])}
+    smaller = min(kinds, key=letters.get)
+    d = {f"s_{k}": min(letters[smaller] / max(letters[k], 1), 1.0) if k != smaller else 1.0 for k in kinds}
+
+    pairs = rows.mapInArrow(_count, "a long, b long, toxic long, ordinary long").groupBy("a", "b").agg(*[F.sum(k).alias(k) for k in kinds])
+    here = {k: 1 - F.pow(F.lit(1 - d[f"s_{k}"]), F.col(k)) if d[f"s_{k}"] < 1 else (F.col(k) > 0).cast("double") for k in kinds}
+    no, nil, own = F.lit(0).cast("long"), F.lit(0.0), F.col(smaller)
+    sums = [*[f"{x}_{k}" for x in ("in", "texts", "all", "kinds") for k in kinds], "once", "twice", "n_pairs"]
+
+    def line(first: Column, word: str, values: list[Column]) -> Column:
+        return F.struct(first.alias("a"), F.col(word).alias("b"), *[v.alias(n) for v, n in zip(values, sums, strict=True)])
+
+    nobody, counts, thin = F.lit(None).cast("long"), [F.col(k) for k in kinds], [here[k] for k in kinds]
+    alone = line(nobody, "b", [nil, nil, *counts, no, no, nil, nil, no, no, no])
+    second = line(nobody, "b", [*thin, no, no, no, no, nil, nil, (own == 1).cast("long"), (own == 2).cast("long"), F.lit(1).cast("long")])
+    first = line(nobody, "a", [nil, nil, no, no, *counts, *thin, no, no, no])
+    # A bigram of one text is never evidence beyond its words, as no first word stands in more texts than there are bigrams.
+    both = line(F.col("a"), "b", [nil, nil, *counts, no, no, nil, nil, no, no, no])
+    pair = F.array(second, first, F.when(F.col("toxic") + F.col("ordinary") > 1, both))
+    out = F.when(F.col("a") == int(_BREAK), F.array(alone)).otherwise(pair)
+    grams = pairs.select(F.explode(F.filter(out, lambda x: x.isNotNull())).alias("x")).select("x.*")
+    grams = table(grams.groupBy("a", "b").agg(*[F.sum(c).alias(c) for c in sums]))
+    words = grams.where("a is null and texts_toxic + texts_ordinary > 0")
+
+    def seen(k: str) -> Column:
+        return F.sum((F.col(f"in_{k}") > 0).cast("double") if d[f"s_{k}"] == 1 else 1 - F.exp(-F.col(f"in_{k}"))).alias(f"seen_{k}")
+
+    count_is = lambda n: F.count_if(F.col(f"in_{smaller}") == n).alias(f"word_{n}")
+    total = [F.sum(c).alias(c) for c in (*[f"{x}_{k}" for x in ("in", "texts") for k in kinds], "once", "twice", "n_pairs")]
+    found = words.agg(*total, *[seen(k) for k in kinds], count_is(1), count_is(2), F.count(F.lit(1)).alias("n_words")).first().asDict()
+    d |= {k: float(x or 0) for k, x in found.items()}
+    d |= {"off_word": _discount(d["word_1"], d["word_2"]), "off_pair": _discount(d["once"], d["twice"])}
+    d |= {"t_word": 2 * np.log(max(d["n_words"], 2)), "t_pair": 2 * np.log(max(d["n_pairs"], 2))}
+
+    sides = words.select("b", "in_toxic", "in_ordinary", "texts_toxic", "texts_ordinary")
+    values = sides.mapInArrow(_word_values(d), "b long, log_toxic double, log_ordinary double, ratio double")
+    contexts = grams.where("a is null and all_toxic + all_ordinary > 1").select(F.col("b").alias("a"), *[f"{x}_{k}" for x in ("all", "kinds") for k in kinds])
+    told = grams.where("a is not null").select("a", "b", F.col("texts_toxic").alias("toxic"), F.col("texts_ordinary").alias("ordinary")).join(contexts, "a")
+    share = F.col("all_toxic") / (F.col("all_toxic") + F.col("all_ordinary"))
+    told = told.withColumn("g", _evidence(F.col("toxic"), F.col("ordinary"), share)).where(F.col("g") > d["t_pair"])
+    told = small(table(told), BROADCAST_GRAMS).join(values, "b")
+    more = told.mapInArrow(_pair_values(d), "gram long, value double")
+    return table(values.select(F.col("b").alias("gram"), F.col("ratio").alias("value")).union(more).where("value <> 0"))
+
+
+def _text_grams(texts: list[bytes | None], cache: WordHash) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The words' hashes with each word's text, the keys of the pairs that end in each (0 for none), and texts' sizes."""
+    h, starts = _hashes(texts, cache)
+    n = np.diff(np.append(starts, len(h))) - 1
+    inside = np.ones(len(h), dtype=bool)
+    inside[starts] = False
+    pair = np.zeros(len(h), dtype=np.uint64)
+    pair[1:] = np.where(h[:-1] == _BREAK, np.uint64(0), _pair_key(h[:-1], h[1:]))
+    return h[inside], pair[inside], np.repeat(np.arange(len(texts)), n), n
+
+
+class Ratios:
+    """The grams' values as sorted arrays."""
+
+    def __init__(self, gram: np.ndarray, value: np.ndarray):
+        order = np.argsort(gram.view(np.uint64), kind="stable")
+        self.gram, self.value = gram.view(np.uint64)[order], value[order]
+
+    def at(self, keys: np.ndarray) -> np.ndarray:
+        if not len(self.gram):
+            return np.zeros(len(keys))
+        at = np.minimum(np.searchsorted(self.gram, keys), len(self.gram) - 1)
+        return np.where(self.gram[at] == keys, self.value[at], 0.0)
+
+    def of(self, texts: list[bytes | None], cache: WordHash) -> np.ndarray:
+        """Each text's log-likelihood under the toxic model less that under the ordinary one, per word; 0 if empty."""
+        words, pairs, owner, n = _text_grams(texts, cache)
+        return np.bincount(owner, weights=self.at(words) + self.at(pairs), minlength=len(texts)) / np.maximum(n, 1)
+
+
+def _score(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        models, cache = Ratios(*shared.value), WordHash()
+        for batch in batches:
+            for part, texts in slices(batch):
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(models.of(texts, cache))], names=["doc_id", "extra", "ratio"])
+
+    return run
 
 
-def fit_curve(cells: np.ndarray, y: np.ndarray, n: np.ndarray, ridge: float = 1e-3) -> tuple[float, float]:
+def _spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, gram, part): the share that each distinct gram has in each text's words."""
+    cache = WordHash()
+    for batch in batches:
+        for part, texts in slices(batch):
+            words, pairs, owner, n = _text_grams(texts, cache)
+            key = part.column("key").to_numpy(zero_copy_only=False)
+            gram, owner = np.concatenate([words, pairs]), np.concatenate([owner, owner])
+            first, times = _firsts(gram, owner)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(key[owner[first]]), pa.array(gram[first].view(np.int64)), pa.array(times / n[owner[first]])], names=["key", "gram", "part"]
+            )
+
+
+def _ratios(rows: DataFrame, grams: DataFrame, shared) -> DataFrame:
+    """(doc_id, extra, ratio) of ``rows(doc_id, extra, text)``; without ``shared`` the grams are joined by a shuffle."""
+    rows = rows.select("doc_id", F.col("extra").cast("int").alias("extra"), "text")
+    if shared is not None:
+        kind = rows.schema["doc_id"].dataType.simpleString()
+        return rows.mapInArrow(_score(shared), f"doc_id {kind}, extra int, ratio double")
+    rows = rows.withColumn("key", F.xxhash64("text"))
+    told = rows.select("key", "text").where("text <> ''").mapInArrow(_spell, "key long, gram long, part double").join(grams, "gram")
+    # Texts in several rows count once for each: the sum is of one row's grams, so it is divided by the rows there are.
+    told = told.groupBy("key").agg(F.sum(F.col("part") * F.col("value")).alias("sum"))
+    times = rows.groupBy("key").agg(F.count(F.lit(1)).alias("rows"))
+    sums = told.join(times, "key").select("key", (F.col("sum") / F.col("rows")).alias("ratio"))
+    return rows.drop("text").join(sums, "key", "left").select("doc_id", "extra", F.coalesce("ratio", F.lit(0.0)).alias("ratio"))
+
+
+def fit_curve(cells: np.ndarray, y: np.ndarray, n: np.ndarray, ridge: float = 1e-5) -> tuple[float, float]:
     """(slope, offset) of the logistic curve of label y, n times each, over cells, by Newton's method."""
     scale = np.sqrt(np.average((cells - np.average(cells, weights=n)) ** 2, weights=n)) or 1.0
     x = np.stack([cells / scale, np.ones_like(cells)])
@@ -257,7 +323,7 @@ def fit_curve(cells: np.ndarray, y: np.ndarray, n: np.ndarray, ridge: float = 1e
     return max(w[0], 0.0) / scale, w[1]
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, floor: float = FLOOR) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, held_out, score, predicted) for each row of ``docs(doc_id, text)``.
 
     score is in 0 to 1, predicted whether it is at least 0.5. Nothing but the words of a text enters its score. A null
@@ -267,9 +333,13 @@ def toxicity(docs: DataFrame, labels: DataFrame, floor: float = FLOOR) -> DataFr
     """
     spark = text_batches(docs).sparkSession
     rows = labelled(docs, labels).where(F.col("part") != HELD_OUT)
-    shared = spark.sparkContext.broadcast(train(rows.where(F.col("part") != CURVE), floor))
+    grams = train(rows.where(F.col("part") != CURVE))
+    shared = None
+    if grams.limit(BROADCAST_GRAMS + 1).count() <= BROADCAST_GRAMS:
+        told = grams.toPandas()
+        shared = spark.sparkContext.broadcast((told["gram"].to_numpy("int64"), told["value"].to_numpy("float64")))
     curve = rows.where(F.col("part") == CURVE).select("doc_id", F.col("toxic").alias("extra"), "text")
-    ratio = _ratios(curve, shared)
+    ratio = _ratios(curve, grams, shared)
     cell = F.floor((F.greatest(F.lit(-LIMIT), F.least(F.lit(LIMIT), F.col("ratio"))) + LIMIT) * (CELLS / (2 * LIMIT)))
     found = ratio.groupBy(cell.alias("cell"), F.col("extra").alias("y")).agg(F.count(F.lit(1)).alias("n")).toPandas()
     if found["y"].nunique() == 2:
@@ -277,12 +347,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, floor: float = FLOOR) -> DataFr
     else:
         share = float((found["y"] * found["n"]).sum() / found["n"].sum()) if len(found) else 0.0
         slope, offset = 0.0, float(np.log(max(share, 1e-9) / max(1 - share, 1e-9)))
-    every = _ratios(docs.select("doc_id", F.lit(0).alias("extra"), "text"), shared)
+    every = _ratios(docs.select("doc_id", F.lit(0).alias("extra"), "text"), grams, shared)
     score = 1 / (1 + F.exp(-(F.lit(float(slope)) * F.col("ratio") + F.lit(float(offset)))))
     every = every.select("doc_id", F.coalesce(part_of(F.col("doc_id")) == HELD_OUT, F.lit(False)).alias("held_out"), score.alias("score"))
     return every.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
-
-
-def _ratios(rows: DataFrame, shared) -> DataFrame:
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.select("doc_id", F.col("extra").cast("int"), "text").mapInArrow(_score(shared), f"doc_id {kind}, extra int, ratio double")

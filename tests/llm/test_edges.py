@@ -270,6 +270,50 @@ def test_toxicity_learns(spark):
     assert a == b
 
 
+def _mixed(n, every, words, plant, vocabulary=300, seed=3):
+    """(rows, labels): n texts of usual words; plant(rng, words) changes one in ``every``, which is toxic."""
+    rng = np.random.default_rng(seed)
+    rows, labels = [], []
+    for d in range(n):
+        own = [f"w{i}" for i in rng.integers(0, vocabulary, words)]
+        if d % every == 0:
+            plant(rng, own)
+        rows.append((d, " ".join(own)))
+        labels.append((d, int(d % every == 0)))
+    return rows, labels
+
+
+def _toxicity(spark, rows, labels):
+    return toxicity.toxicity(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+
+
+def _plant_slurs(rng, own):
+    for i in (5, 30, 50):
+        own[i] = ("vile", "nasty", "awful")[rng.integers(0, 3)]
+
+
+def test_toxicity_keeps_words_of_few_contexts(spark):
+    """80 toxic words that only stand after two others, in 1.6 MB a class."""
+
+    def plant(rng, own):
+        for i in (5, 30, 50):
+            own[i : i + 2] = [("w1", "w2")[rng.integers(0, 2)], f"slur{rng.integers(0, 80)}"]
+
+    rows, labels = _mixed(7000, 2, 100, plant, vocabulary=3000)
+    held = [(r.predicted, labels[r.doc_id][1]) for r in _toxicity(spark, rows, labels).collect() if r.held_out]
+    assert len(held) > 1000 and np.mean([p == t for p, t in held]) > 0.95
+
+
+def test_toxicity_by_joined_words_gives_the_same(edge, spark, monkeypatch):
+    rows, labels = _mixed(300, 3, 60, _plant_slurs)
+    docs = edge(*[t for _, t in rows], rows[0][1], "vile", "vile vile w1")
+    marks = spark.createDataFrame([(100 + d, t) for d, t in labels], "doc_id long, toxic int")
+    run = lambda: sorted((str(r.doc_id), r.held_out, round(r.score, 9), r.predicted) for r in toxicity.toxicity(docs, marks).collect())
+    one = run()
+    monkeypatch.setattr(toxicity, "BROADCAST_GRAMS", -1)
+    assert run() == one and len({x[2] for x in one}) > 10
+
+
 def test_toxicity_edges(edge, none, spark):
     labels = spark.createDataFrame([(4, 1), (5, 0), (6, 0), (None, 1), (7, None), (100, 1)], "doc_id long, toxic int")
     docs = edge(LONG, PROSE)

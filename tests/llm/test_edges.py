@@ -304,6 +304,19 @@ def test_toxicity_keeps_words_of_few_contexts(spark):
     assert len(held) > 1000 and np.mean([p == t for p, t in held]) > 0.95
 
 
+def test_toxicity_rises_with_toxic_words(spark):
+    rows, labels = _mixed(900, 3, 60, _plant_slurs)
+    rng, rare = np.random.default_rng(5), []
+    for percent in (0, 5, 20, 70, 100):
+        words = [f"w{i}" for i in rng.integers(0, 300, 200)]
+        words[: 2 * percent] = [("vile", "nasty", "awful")[i] for i in rng.integers(0, 3, 2 * percent)]
+        rare.append((10_000 + percent, " ".join(rng.permutation(words))))
+    found = by_id(_toxicity(spark, rows + rare + [(20_000, "vile"), (20_001, "w7"), (20_002, "")], labels))
+    ratio = [found[10_000 + p] for p in (0, 5, 20, 70, 100)]
+    assert [r.predicted for r in ratio] == [0, 1, 1, 1, 1] and all(a.score <= b.score for a, b in zip(ratio, ratio[1:]))
+    assert found[20_000].predicted == 1 and found[20_000].score >= found[10_005].score and found[20_001].predicted == found[20_002].predicted == 0
+
+
 def test_toxicity_by_joined_words_gives_the_same(edge, spark, monkeypatch):
     rows, labels = _mixed(300, 3, 60, _plant_slurs)
     docs = edge(*[t for _, t in rows], rows[0][1], "vile", "vile vile w1")

@@ -38,7 +38,9 @@ PARTS, HELD_OUT, CURVE = 5, 0, 4
 #: Cells of the ratio per word, from -LIMIT to LIMIT nats, in which the curve is fitted.
 CELLS, LIMIT = 16384, 4.0
 #: Word pairs that a task sums up at once.
-FLUSH = 2_000_000
+FLUSH = 1_000_000
+#: Word pairs in one Arrow batch from there.
+OUT_ROWS = 100_000
 #: Labels (16 bytes each) up to which they are broadcast; beyond, the labelled texts are shuffled once.
 BROADCAST_LABELS = 1_000_000
 #: N-grams with a ratio (16 bytes each) up to which they are broadcast; beyond, texts' n-grams are shuffled to them.
@@ -75,15 +77,16 @@ def _firsts(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first, n
 
 
-def _counted(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+def _counted(held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
     a, b, toxic = (np.concatenate(x) for x in zip(*held, strict=True))
     _, first, row = np.unique(_pair_key(a, b), return_index=True, return_inverse=True)
     n, n_toxic = np.bincount(row), np.bincount(row, weights=toxic).astype(np.int64)
     order = np.lexsort((b[first], a[first]))  # runs of one first word compress well
     a, b, n, n_toxic = a[first][order], b[first][order], n[order], n_toxic[order]
-    return pa.RecordBatch.from_arrays(
-        [pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(n_toxic), pa.array(n - n_toxic)], names=["a", "b", "toxic", "ordinary"]
-    )
+    arrays = [pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(n_toxic), pa.array(n - n_toxic)]
+    every = pa.RecordBatch.from_arrays(arrays, names=["a", "b", "toxic", "ordinary"])
+    for at in range(0, every.num_rows, OUT_ROWS):
+        yield every.slice(at, OUT_ROWS)
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,10 +104,10 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held.append((a[first], b[first], labels[doc[first]]))
             size += len(first)
             if size >= FLUSH:
-                yield _counted(held)
+                yield from _counted(held)
                 held, size = [], 0
     if size:
-        yield _counted(held)
+        yield from _counted(held)
 
 
 def evidence(toxic: np.ndarray, ordinary: np.ndarray, share: np.ndarray | float) -> np.ndarray:
@@ -180,6 +183,13 @@ def _discount(once: float, twice: float) -> float:
     return min(max(once / (once + 2 * twice), 0.05), 0.95) if once and twice else DISCOUNT
 
 
+def _distinct(rows: DataFrame) -> DataFrame:
+    """Distinct rows of ``rows(text, toxic)``. Only texts that share a hash are shuffled."""
+    rows = rows.withColumn("key", F.xxhash64("text", "toxic"))
+    again = small(table(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")), BROADCAST_LABELS)
+    return rows.join(again, "key", "left_anti").union(rows.join(again, "key", "left_semi").dropDuplicates()).drop("key")
+
+
 def _evidence(toxic: Column, ordinary: Column, share: Column) -> Column:
     term = lambda n, p: F.when(n > 0, n * F.log(n / ((toxic + ordinary) * p))).otherwise(0.0)
     return 2 * (term(toxic, share) + term(ordinary, 1 - share))
@@ -191,7 +201,7 @@ def train(rows: DataFrame) -> DataFrame:
     Learnt from ``rows(text, toxic)``. All words and bigrams of all rows are counted; only totals reach the driver.
     """
     kinds = ("toxic", "ordinary")
-    rows = table(rows.select("text", F.when(F.col("toxic") > 0, 1).otherwise(0).alias("toxic")).where("text is not null").dropDuplicates())
+    rows = _distinct(rows.select("text", F.when(F.col("toxic") > 0, 1).otherwise(0).alias("toxic")).where("text is not null"))
     size = lambda k: F.coalesce(F.sum(F.when(F.col("toxic") == k, F.octet_length("text"))), F.lit(0)).cast("long")
     letters = rows.agg(size(1).alias("toxic"), size(0).alias("ordinary")).first().asDict()
     smaller = min(kinds, key=letters.get)

@@ -317,6 +317,27 @@ def test_toxicity_rises_with_toxic_words(spark):
     assert found[20_000].predicted == 1 and found[20_000].score >= found[10_005].score and found[20_001].predicted == found[20_002].predicted == 0
 
 
+def test_toxicity_learns_phrases_of_usual_words(spark):
+    """Words that are as frequent in both classes, beside each other in toxic texts only, in fewer than 100 texts each."""
+    phrases = [(f"w{i}", f"w{i + 1}") for i in range(0, 6, 2)]
+
+    def plant(rng, own):
+        for i in (5, 30, 50):
+            own[i : i + 2] = phrases[rng.integers(0, 3)]
+
+    rows, labels = _mixed(400, 2, 60, plant)
+    rng = np.random.default_rng(6)
+    for d, toxic in labels:
+        if not toxic:
+            words = rows[d][1].split()
+            for i in (5, 20, 40):
+                one = phrases[rng.integers(0, 3)]
+                words[i], words[i + 3] = one
+            rows[d] = (d, " ".join(words))
+    held = [(r.predicted, labels[r.doc_id][1]) for r in _toxicity(spark, rows, labels).collect() if r.held_out]
+    assert len(held) > 50 and np.mean([p == t for p, t in held]) > 0.9
+
+
 def test_toxicity_by_joined_words_gives_the_same(edge, spark, monkeypatch):
     rows, labels = _mixed(300, 3, 60, _plant_slurs)
     docs = edge(*[t for _, t in rows], rows[0][1], "vile", "vile vile w1")

@@ -338,6 +338,13 @@ def test_toxicity_learns_phrases_of_usual_words(spark):
     assert len(held) > 50 and np.mean([p == t for p, t in held]) > 0.9
 
 
+def test_toxicity_unknown_words_lean_to_no_class(spark):
+    """However much smaller the toxic class is."""
+    rows, labels = _mixed(1500, 60, 60, _plant_slurs)
+    found = by_id(_toxicity(spark, [*rows, (5000, "never seen before"), (5001, "")], labels))
+    assert found[5000].score == found[5001].score and found[0].predicted == found[60].predicted == 1
+
+
 def test_toxicity_by_joined_words_gives_the_same(edge, spark, monkeypatch):
     rows, labels = _mixed(300, 3, 60, _plant_slurs)
     docs = edge(*[t for _, t in rows], rows[0][1], "vile", "vile vile w1")

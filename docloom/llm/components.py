@@ -5,34 +5,41 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import cut
+from .scratch import cut, hot_limit
+
+
+def _with_least(edges: DataFrame, least: DataFrame, limit: int) -> DataFrame:
+    """``edges(u, v)`` with m of ``least(u, m, n)``. Nodes of more than ``limit`` edges are broadcast, so none is hot."""
+    hubs = F.broadcast(least.where(F.col("n") > limit).select("u", "m"))
+    rest = least.where(F.col("n") <= limit).select("u", "m")
+    return edges.join(hubs, "u").unionByName(edges.join(hubs, "u", "left_anti").join(rest, "u"))
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
     """(node, component): the smallest node reachable from each node of the undirected ``edges(a, b)``.
 
-    Nodes without edges don't appear; loops and repeated edges do no harm. Each step is a minimum by node, which Spark
-    aggregates before its shuffle, and a join of the edges with those minima, so a hub is never gathered in one place.
-    The number of steps grows with the logarithm of the longest path. Only two sums a round reach the driver.
+    Nodes without edges don't appear; loops, repeated edges and null ends do no harm. Each step is a minimum by node,
+    which Spark aggregates before its shuffle, and a join of the edges with those minima; the minima of hubs, few by
+    their definition, are broadcast, so no hub's edges meet in one task. The number of steps grows with the logarithm of
+    the longest path; a graph that isn't done after ``max_rounds`` raises an error. Only sums reach the driver.
     """
     now = cut(edges.where(f"{a} <> {b}").select(F.least(a, b).alias("v"), F.greatest(a, b).alias("u")).distinct())
     state = None
     for _ in range(max_rounds):
-        # Large star: every larger neighbour of u is linked with u's smallest neighbour.
-        both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("m").alias("v"), F.col("v").alias("u")).distinct()
-        # Small star: u and its smaller neighbours are linked with the smallest of them.
-        floor = large.groupBy("u").agg(F.min("v").alias("m"))
-        moved = large.join(floor, "u")
-        small = moved.where("v <> m").select(F.col("m").alias("v"), F.col("v").alias("u")).union(
-            floor.select(F.col("m").alias("v"), "u")
-        )
-        now = cut(small.distinct())
         seen = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if seen == state:
             break
-        state = seen
+        state, limit = seen, hot_limit(2 * seen[0])
+        # Large star: every larger neighbour of u is linked with u's smallest neighbour.
+        both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = cut(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count(F.lit(1)).alias("n")))
+        large = cut(_with_least(both.where("v > u"), least, limit).select(F.col("m").alias("v"), F.col("v").alias("u")).distinct())
+        # Small star: u and its smaller neighbours are linked with the smallest of them.
+        floor = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+        moved = _with_least(large, floor, limit).where("v <> m").select(F.col("m").alias("v"), F.col("v").alias("u"))
+        now = cut(moved.union(floor.select(F.col("m").alias("v"), "u")).distinct())
+    else:
+        raise RuntimeError(f"components are not stable after {max_rounds} rounds")
     return now.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component")).union(
         now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     )

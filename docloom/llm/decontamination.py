@@ -6,8 +6,9 @@ at each word; a stretch of ``window`` words, or a whole shorter item, is an occu
 vocabulary, and neighbours that no item holds side by side, reset the match, so only runs between such resets are
 streamed at all.
 
-The items' words are broadcast in shards of at most SHARD_WORDS words; a larger benchmark gives several automata, each
-run over the documents in turn, and a document carries its spans from one to the next.
+The items' words are broadcast in shards of about SHARD_WORDS words; a larger benchmark gives several automata, one after
+the other: a document carries its spans from one to the next through a scratch table, so that neither the driver nor a
+task ever holds more than one shard.
 """
 
 from __future__ import annotations
@@ -21,26 +22,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .scratch import cut, fresh, text_batches
+from .scratch import cut, fresh, table, text_batches
+from .suffix import Suffixes
 from .text import slices, split_alnum
 
 #: Item words in one automaton, which a task builds for itself (a few hundred MB at most).
 SHARD_WORDS = 200_000
 
 
-class SuffixAutomaton:
+class SuffixAutomaton(Suffixes):
     """Generalised suffix automaton of word-id sequences, and which items' windows end in each state."""
 
     def __init__(self, items: list[tuple[str, list[bytes]]], window: int):
+        super().__init__()
         self.window, self.ids, self.names = window, {}, [name for name, _ in items]
-        self.step, self.link, self.size = [{}], [-1], [0]
         rows = [[self.ids.setdefault(w, len(self.ids)) for w in words] for _, words in items]
         ends: dict[int, set[int]] = {}
         self.whole: dict[int, list[tuple[int, int]]] = {}
         for row in rows:
-            self._last = 0
-            for c in row:
-                self._last = self._extend(c)
+            self.add(row)
         for k, row in enumerate(rows):
             state, length = 0, 0
             for i, c in enumerate(row):
@@ -55,41 +55,6 @@ class SuffixAutomaton:
         self.pairs = np.array(sorted(pairs), dtype=np.int64)
         self.shortest = min([window, *(n for x in self.whole.values() for n, _ in x)])
 
-    def _extend(self, c: int) -> int:
-        step, link, size, last = self.step, self.link, self.size, self._last
-        if c in step[last]:
-            q = step[last][c]
-            return q if size[q] == size[last] + 1 else self._clone(last, c, q)
-        new = len(size)
-        step.append({}), link.append(0), size.append(size[last] + 1)
-        p = last
-        while p != -1 and c not in step[p]:
-            step[p][c] = new
-            p = link[p]
-        if p != -1:
-            q = step[p][c]
-            link[new] = q if size[q] == size[p] + 1 else self._clone(p, c, q)
-        return new
-
-    def _clone(self, p: int, c: int, q: int) -> int:
-        step, link, size = self.step, self.link, self.size
-        twin = len(size)
-        step.append(dict(step[q])), link.append(link[q]), size.append(size[p] + 1)
-        while p != -1 and step[p].get(c) == q:
-            step[p][c] = twin
-            p = link[p]
-        link[q] = twin
-        return twin
-
-    def advance(self, state: int, length: int, c: int) -> tuple[int, int]:
-        """The longest known stretch that ends with word c, after (state, length)."""
-        while state and c not in self.step[state]:
-            state = self.link[state]
-            length = self.size[state]
-        if c in self.step[state]:
-            return self.step[state][c], length + 1
-        return 0, 0
-
     def cover(self, state: int, length: int) -> int:
         """The state of the last ``length`` words of a match of at least that length."""
         while self.size[self.link[state]] >= length:
@@ -196,6 +161,9 @@ def _with_hits(docs: DataFrame, benchmark: DataFrame, window: int, last=None) ->
         if last and shard == shards - 1:
             return docs.mapInArrow(_scan(shared, window, text_at, last), narrow), added
         docs = docs.mapInArrow(_scan(shared, window, text_at), wide)
+        if shard < shards - 1:
+            docs = table(docs)
+            shared.unpersist()
     return docs, added
 
 

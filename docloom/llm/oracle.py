@@ -89,22 +89,23 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 from f
 """
 
-OP3 = """
-with d as (select doc_id, source, text, string_split(text, chr(10)) as ls from documents),
-t as (select source, count(*) as pages from documents group by source having count(*) >= 20),
+_TRIM = "trim({0}, chr(32) || chr(9) || chr(11) || chr(12) || chr(13))"
+OP3 = rf"""
+with p as (select page_id, regexp_replace(lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#:]+)', 1)), '^www\.', '') as host,
+  regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script.*?</script\s*>|<style.*?</style\s*>|<!--.*?-->', ' ', 'g'),
+    '(?i)</?(?:p|div|li|ul|ol|tr|table|h[1-6]|nav|article|header|footer|section|aside|br|title|head|body|html)\b[^>]*>', chr(10), 'g'), '<[^>]+>', '', 'g') as text from pages),
+d as (select page_id, host, text, string_split(text, chr(10)) as ls from p),
+t as (select host, count(distinct text) as pages from d group by host),
 c as (
-  select source, line, count(*) as n from (
-    select distinct doc_id, source, unnest(list_transform(ls, lambda x: trim(x, chr(32) || chr(9) || chr(11) || chr(12) || chr(13)))) as line from d
-  ) where line <> '' group by source, line
+  select host, line, count(*) as n from (select distinct host, text, unnest(list_transform(ls, lambda x: {_TRIM.format('x')})) as line from d)
+  where line <> '' group by host, line
 ),
-b as (select source, list(line) as bad from c join t using (source) where 100 * n > 10 * pages group by source),
+b as (select host, list(line) as bad from c join t using (host) where n >= 3 and 100 * n > 10 * pages group by host),
 k as (
-  select doc_id, list_filter(ls, lambda x: trim(x, chr(32) || chr(9) || chr(11) || chr(12) || chr(13)) <> '') as full_,
-    list_filter(ls, lambda x: not list_contains(coalesce(bad, []), trim(x, chr(32) || chr(9) || chr(11) || chr(12) || chr(13)))) as kept
-  from d left join b using (source)
+  select page_id, list_filter(ls, lambda x: {_TRIM.format('x')} <> '') as full_, list_filter(ls, lambda x: not list_contains(coalesce(bad, []), {_TRIM.format('x')})) as kept
+  from d left join b using (host)
 )
-select doc_id, len(full_)::bigint as n_lines,
-  (len(full_) - len(list_filter(kept, lambda x: trim(x, chr(32) || chr(9) || chr(11) || chr(12) || chr(13)) <> '')))::bigint as n_dropped,
+select page_id, len(full_)::bigint as n_lines, (len(full_) - len(list_filter(kept, lambda x: {_TRIM.format('x')} <> '')))::bigint as n_dropped,
   sha256(array_to_string(kept, chr(10))) as kept_sha256
 from k
 """

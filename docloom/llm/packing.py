@@ -9,6 +9,7 @@ first, each go to the open row with the least capacity that still suffices, foun
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,6 +22,8 @@ from .text import slices
 
 #: Text bytes whose pieces are packed together.
 SHARD_BYTES = 8 << 20
+#: A run of white space over so many characters is tokenised in parts, which the tokenizer's recursion can hold.
+BLANK_RUN = 10_000
 #: The pattern that splits text before the merges of the default ranks.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -35,6 +38,22 @@ def ranks(path: str | None = None) -> bytes:
         return f.read()
 
 
+_LONG_BLANKS = re.compile(rf"\s{{{BLANK_RUN}}}")
+
+
+def parts(text: str) -> list[str]:
+    """The text, cut after each BLANK_RUN characters of one run of white space."""
+    if len(text) <= BLANK_RUN or not _LONG_BLANKS.search(text):
+        return [text]
+    ends = [m.end() for m in _LONG_BLANKS.finditer(text)]
+    return [text[a:b] for a, b in zip([0, *ends], [*ends, len(text)], strict=True) if a < b]
+
+
+def id_type(table: dict[bytes, int], eot: int) -> str:
+    """The narrowest type that holds every id."""
+    return "<u2" if max(eot, *table.values()) < 1 << 16 else "<u4"
+
+
 class CapacityTree:
     """Counts of open rows by capacity left, in a segment tree; finds the least capacity of at least n."""
 
@@ -92,6 +111,7 @@ def _pieces(shared, width: int, shards: int, eot: int):
 
         table = {base64.b64decode(t): int(i) for t, i in (line.split() for line in shared.value.splitlines() if line)}
         encoding = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=table, special_tokens={})
+        narrow = id_type(table, eot)
         for batch in batches:
             for part, texts in slices(batch):
                 doc, shard, piece, size, ids, fp = [], [], [], [], [], []
@@ -100,10 +120,10 @@ def _pieces(shared, width: int, shards: int, eot: int):
                 for i, text in enumerate(texts):
                     if not text:
                         continue
-                    all_ids = np.array([*encoding.encode_ordinary(text.decode()), eot], dtype="<u4")
+                    all_ids = np.array([*(i for p in parts(text.decode()) for i in encoding.encode_ordinary(p)), eot], dtype="<u4")
                     for k, at in enumerate(range(0, len(all_ids), width)):
                         cut = all_ids[at : at + width]
-                        doc.append(i), piece.append(k), size.append(len(cut)), ids.append(cut.astype("<u2" if eot < 65_536 else "<u4").tobytes())
+                        doc.append(i), piece.append(k), size.append(len(cut)), ids.append(cut.astype(narrow).tobytes())
                         shard.append(xxhash.xxh3_64_intdigest(f"{names[i]}/{prints[i]}/{k}") % shards)
                         fp.append(prints[i])
                 yield pa.RecordBatch.from_arrays(
@@ -127,14 +147,13 @@ def _pack(width: int, eot: int):
         sizes = table.column("size").to_pylist()
         rows = best_fit_decreasing(sizes, width)
         ids, docs, pieces = table.column("ids").to_pylist(), table.column("doc_id"), table.column("piece").to_pylist()
-        narrow = "<u2" if eot < 65_536 else "<u4"
         matrix, places, ends = [], [], []
         for row in rows:
             line, place = np.full(width, eot, dtype="<u4"), np.zeros(width, dtype="<u4")
             at, cumulative = 0, [0]
             for i in row:
                 n = sizes[i]
-                line[at : at + n] = np.frombuffer(ids[i], dtype=narrow)
+                line[at : at + n] = np.frombuffer(ids[i], dtype="<u2" if len(ids[i]) == 2 * n else "<u4")
                 place[at : at + n] = np.arange(n)
                 at += n
                 cumulative.append(at)
@@ -163,7 +182,7 @@ def pack_tokens(docs: DataFrame, width: int = 2048, path: str | None = None, eot
     ids and position_ids are little-endian unsigned 32-bit rows of ``width`` values, filled up with ``eot`` and 0
     after n_tokens. Segment k of a row holds piece ``pieces[k]`` of document ``doc_ids[k]`` at ``cu_seqlens[k]`` to
     ``cu_seqlens[k + 1]``, its positions counted from 0. A document's pieces in order give its ids and one ``eot``.
-    Null and empty texts give no segment. A null doc_id and repeated rows are packed like others. Further columns are
+    Null and empty texts give no segment. Runs of white space are tokenised in parts of BLANK_RUN characters. A null doc_id and repeated rows are packed like others. Further columns are
     not read; an empty table gives no rows. The result is the same for any partitioning of ``docs``.
     """
     rows = text_batches(docs).select("doc_id", F.xxhash64("text").alias("fp"), "text").where("text <> ''")

@@ -42,9 +42,10 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out, (n_lines, n_dropped) = _lines.line_dedup(_documents(spark, sf_dir).select("doc_id", "source", "text"))
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", _lines.lines_of_html(F.col("html")).alias("text"))
+    out, (n_lines, n_dropped) = _lines.line_dedup(pages, _lines.host_of(F.col("url")))
     sha = F.sha2(F.coalesce("text", F.lit("")), 256)
-    return out.select("doc_id", F.col(n_lines).alias("n_lines"), F.col(n_dropped).alias("n_dropped"), sha.alias("kept_sha256"))
+    return out.select("page_id", F.col(n_lines).alias("n_lines"), F.col(n_dropped).alias("n_dropped"), sha.alias("kept_sha256"))
 
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,7 +80,7 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = _pii.personal_data(_documents(spark, sf_dir))
     shown = lambda x: F.array_join(F.transform(x, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
-    return out.select("doc_id", *map(count, _pii.KINDS), F.sha2(shown("base"), 256).alias("base_sha256"), shown("spans").alias("spans"))
+    return out.select("doc_id", *map(count, _pii.KINDS), F.sha2(shown("base"), 256).alias("base_sha256"), shown("spans").alias("spans"), F.size("spans").cast("long").alias("n_spans"))
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

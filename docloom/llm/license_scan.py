@@ -1,22 +1,22 @@
 """License scans: ordered signature rules over normalised words, in built-in column expressions only.
 
-A rule is a regex over a text's lower-cased words joined by single spaces. The rules are generated from families
-(names, identifiers, versions) and templates (identifier tag, grant, versioned name, name), several hundred in all.
-Three gates keep them cheap: a text without any of the scan's root words is not even normalised; a family whose
-keyword the words lack runs none of its rules; and only then is a rule's regex applied. What the rules detect is
-resolved in one sweep by place: a detection inside another's interval is suppressed, of equal intervals the rule that
-comes first stays, and of two that overlap in part the one of better priority.
+A rule is a regex over a text's lower-cased words joined by single spaces; ``license_rules`` holds the signatures, written
+by hand. A rule's keywords are its gate: what every match of it holds. Rules of the same keywords are tried together, and
+only on texts that hold them, so most texts cost one search for each keyword. What the rules detect is resolved in one
+sweep by place: a detection inside another's interval is suppressed, of equal intervals the rule of better priority, or
+that comes first, stays, and of two that overlap in part the one of better priority.
 """
 
 from __future__ import annotations
 
 import json
 from collections.abc import Callable, Sequence
-from dataclasses import asdict, dataclass
+from dataclasses import asdict
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .license_rules import Rule, rules as signatures
 from .quality import let
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -26,150 +26,6 @@ _NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 BASE = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 
 
-@dataclass(frozen=True)
-class Family:
-    """A license: its label, the word that gates its rules, regexes of its names and identifiers, and its versions."""
-
-    label: str
-    keyword: str
-    names: tuple[str, ...]
-    ids: tuple[str, ...] = ()
-    versions: tuple[str, ...] = ()
-
-
-@dataclass(frozen=True)
-class Rule:
-    """A signature: smaller priorities win; ``confidence`` is what a detection adds to a text's score."""
-
-    label: str
-    keyword: str
-    pattern: str
-    priority: int
-    confidence: float
-
-
-FAMILIES = (
-    Family("mit", "mit", ("mit", "mit x11", "mit expat"), ("mit",)),
-    Family("apache", "apache", ("apache", "apache software", "asl"), ("apache",), ("1 0", "1 1", "2", "2 0")),
-    Family("gpl", "gpl", ("gpl", "gnu gpl"), ("gpl", "gplv"), ("1", "2", "3", "1 0", "2 0", "3 0")),
-    Family("gpl", "general", ("gnu general public", "general public"), (), ("1", "2", "3", "2 0", "3 0")),
-    Family("lgpl", "lgpl", ("lgpl", "gnu lgpl"), ("lgpl", "lgplv"), ("2", "2 1", "3", "2 0", "3 0")),
-    Family("lgpl", "general", ("gnu lesser general public", "lesser general public", "library general public"), (), ("2", "2 1", "3")),
-    Family("agpl", "agpl", ("agpl", "gnu agpl"), ("agpl", "agplv"), ("1", "3", "3 0")),
-    Family("agpl", "affero", ("gnu affero general public", "affero general public"), (), ("1", "3")),
-    Family("fdl", "free", ("gnu free documentation", "free documentation"), (), ("1 1", "1 2", "1 3")),
-    Family("bsd", "bsd", ("bsd", "new bsd", "modified bsd", "simplified bsd", "(?:0|2|3|4) clause bsd", "bsd (?:0|1|2|3|4) clause"), ("bsd (?:0|1|2|3|4) clause",)),
-    Family("mpl", "mozilla", ("mozilla public",), (), ("1 0", "1 1", "2", "2 0")),
-    Family("mpl", "mpl", ("mpl",), ("mpl", "mplv"), ("1 0", "1 1", "2", "2 0")),
-    Family("epl", "eclipse", ("eclipse public",), (), ("1 0", "2 0")),
-    Family("epl", "epl", ("epl",), ("epl",), ("1 0", "2 0")),
-    Family("cddl", "cddl", ("cddl",), ("cddl",), ("1 0", "1 1")),
-    Family("cddl", "development", ("common development and distribution",), (), ("1 0", "1 1")),
-    Family("cpl", "common", ("common public",), (), ("1 0",)),
-    Family("eupl", "eupl", ("eupl",), ("eupl",), ("1 0", "1 1", "1 2")),
-    Family("eupl", "european", ("european union public",), (), ("1 0", "1 1", "1 2")),
-    Family("isc", "isc", ("isc",), ("isc",)),
-    Family("zlib", "zlib", ("zlib", "zlib libpng"), ("zlib",)),
-    Family("boost", "boost", ("boost software",), (), ("1 0",)),
-    Family("boost", "bsl", (), ("bsl",), ("1 0",)),
-    Family("artistic", "artistic", ("artistic", "perl artistic"), ("artistic",), ("1 0", "2 0")),
-    Family("python", "psf", ("psf",), ("psf",), ("2 0",)),
-    Family("python", "python", ("python software foundation", "python"), ("python",), ("2", "2 0")),
-    Family("php", "php", ("php",), ("php",), ("3 0", "3 01")),
-    Family("ruby", "ruby", ("ruby",), ("ruby",)),
-    Family("openssl", "openssl", ("openssl",), ("openssl",)),
-    Family("unlicense", "unlicense", ("unlicense",), ("unlicense",)),
-    Family("wtfpl", "wtfpl", ("wtfpl",), ("wtfpl",), ("2",)),
-    Family("ofl", "ofl", ("sil ofl", "ofl"), ("ofl",), ("1 0", "1 1")),
-    Family("ofl", "open", ("sil open font", "open font"), (), ("1 0", "1 1")),
-    Family("osl", "open", ("open software",), (), ("1 0", "2 0", "2 1", "3 0")),
-    Family("odbl", "open", ("open database", "open data commons open database"), (), ("1 0",)),
-    Family("odbl", "odbl", ("odbl",), ("odbl",), ("1 0",)),
-    Family("ms-pl", "microsoft", ("microsoft public",)),
-    Family("ms-rl", "microsoft", ("microsoft reciprocal",)),
-    Family("sspl", "server", ("server side public",), (), ("1",)),
-    Family("sspl", "sspl", ("sspl",), ("sspl",), ("1 0",)),
-    Family("busl", "business", ("business source",), (), ("1 0", "1 1")),
-    Family("elastic", "elastic", ("elastic",), ("elastic",), ("1", "2", "2 0")),
-    Family("vim", "vim", ("vim",), ("vim",)),
-    Family("ncsa", "ncsa", ("ncsa", "university of illinois ncsa", "ncsa open source"), ("ncsa",)),
-    Family("zpl", "zope", ("zope public",), (), ("1 1", "2 0", "2 1")),
-    Family("llama", "llama", ("llama (?:2|3|3 1) community", "llama community"), ()),
-    Family("openrail", "openrail", ("openrail", "creativeml openrail", "bigscience openrail"), ("openrail",)),
-    Family("cecill", "cecill", ("cecill", "cecill (?:a|b|c)"), ("cecill",), ("1 0", "2 0", "2 1")),
-    *(
-        Family(f"cc-{k.replace(' ', '-')}", w, names, (f"cc {k}",) if w == "cc" else (), ("1 0", "2 0", "2 5", "3 0", "4 0"))
-        for k, long in (
-            ("by", "attribution"),
-            ("by sa", "attribution share ?alike"),
-            ("by nd", "attribution no ?deriv(?:ative)?s"),
-            ("by nc", "attribution non ?commercial"),
-            ("by nc sa", "attribution non ?commercial share ?alike"),
-            ("by nc nd", "attribution non ?commercial no ?deriv(?:ative)?s"),
-        )
-        for w, names in (("cc", (f"cc {k}",)), ("creative", (f"creative commons {long}",)))
-    ),
-    Family("cc0", "cc0", ("cc0", "creative commons cc0", "creative commons zero"), ("cc0",), ("1 0",)),
-)
-
-#: Whole signatures that are no family's: (label, keyword, pattern, confidence).
-TEXTS = (
-    ("mit", "permission", "permission is hereby granted free of charge to any person obtaining a copy", 1.0),
-    ("bsd", "redistribution", "redistribution and use in source and binary forms with or without modification", 1.0),
-    ("isc", "permission", "permission to use copy modify and or distribute this software for any purpose with or without fee", 1.0),
-    ("zlib", "implied", "this software is provided as is without any express or implied warranty", 0.6),
-    ("unlicense", "unencumbered", "this is free and unencumbered software released into the public domain", 1.0),
-    ("public-domain", "domain", "(?:dedicated|released|placed) (?:to|into|in) the public domain", 0.9),
-    ("public-domain", "domain", "public domain (?:dedication|work|software)", 0.7),
-    ("proprietary", "reserved", "all rights reserved", 0.6),
-    ("proprietary", "confidential", "proprietary and confidential", 0.7),
-    ("proprietary", "reproduction", "(?:no|unauthorized) (?:part|reproduction|copying) [^ ]+ (?:prohibited|forbidden)", 0.6),
-    ("proprietary", "permission", "without (?:the )?(?:prior )?(?:express )?(?:written )?permission", 0.5),
-    ("commercial", "commercial", "commercial licen[cs]e(?: agreement)?", 0.6),
-    ("evaluation", "evaluation", "(?:evaluation|trial) licen[cs]e", 0.6),
-    ("unknown", "licen", "licen[cs]ed under", 0.3),
-    ("unknown", "licen", "under (?:the )?terms of (?:the|this) licen[cs]e", 0.3),
-)
-
-
-def _versions(family: Family) -> list[str]:
-    return list(dict.fromkeys(family.versions))
-
-
-#: Families whose identifier and version are a signature without the word license.
-BARE = {"apache", "gpl", "lgpl", "agpl", "mpl", "bsd", "epl", "cddl", "eupl"} | {f.label for f in FAMILIES if f.label.startswith("cc-")}
-
-
-def build_rules(families: Sequence[Family] = FAMILIES) -> list[Rule]:
-    """The ordered rules: every family by every template, versioned signatures before bare ones."""
-    licence, version, tail = "licen[cs]e", "(?:v|ver|version|)", "(?: or later| only|)"
-    rules: list[Rule] = []
-    for f in families:
-        for v in _versions(f):
-            for i in f.ids:
-                glued = i.endswith("v")
-                rules.append(Rule(f.label, f.keyword, f"spdx {licence} identifier {i}{'' if glued else ' '}{v}{tail}", 0, 1.0))
-                if f.label in BARE:
-                    rules.append(Rule(f.label, f.keyword, f"{i}{'' if glued else ' '}{v}{tail}", 3, 0.8))
-            for n in f.names:
-                rules.append(Rule(f.label, f.keyword, f"(?:{n}) {licence} {version} ?{v}{tail}", 1, 0.95))
-        for i in f.ids:
-            rules.append(Rule(f.label, f.keyword, f"spdx {licence} identifier {i}", 1, 1.0))
-        for n in f.names:
-            grant = f"(?:licen[cs]ed|released|distributed|available|published|provided) under (?:the )?(?:terms of the )?(?:{n})"
-            rules.append(Rule(f.label, f.keyword, f"{grant}(?: {licence})?", 2, 0.9))
-            rules.append(Rule(f.label, f.keyword, f"(?:{n}) {licence}", 4, 0.8))
-    rules += [Rule(label, keyword, pattern, 5 if c > 0.3 else 9, c) for label, keyword, pattern, c in TEXTS]
-    return list(dict.fromkeys(rules))
-
-
-#: A text whose normalised words hold none of these has no detection of BASE or the built rules.
-ROOTS = (
-    *(" licens", " licenc", " spdx ", " permission ", " redistribution ", " without any express ", " unencumbered "),
-    *(" domain ", " reserved ", " confidential ", " prohibited ", " forbidden "),
-    *(" gpl", " lgpl", " agpl", " mpl", " bsd ", " apache ", " epl ", " cddl ", " eupl ", " cc "),
-)
-
 
 def normalised(text: Column) -> Column:
     """Lower-cased words (A-Z only), each after one space, and a closing space; null gives one space."""
@@ -205,25 +61,30 @@ _FOUND = "struct<start:int,minus_end:int,priority:int,rule:int,label:string,conf
 
 
 def detections(words: Column, rules: Sequence[Rule]) -> Column:
-    """All detections of the rules whose keyword stands in the words, by start, longest first, then rule."""
+    """All detections of the rules whose keywords stand in the words, by start, longest first, then priority and rule."""
     groups: dict[str, list[tuple[int, Rule]]] = {}
     for i, r in enumerate(rules):
-        groups.setdefault(r.keyword, []).append((i, r))
-    table = [{"keyword": k, "rules": [{"rule": i, **asdict(r)} for i, r in g]} for k, g in groups.items()]
+        groups.setdefault(r.keywords, []).append((i, r))
+    table = [{"gate": g[0][1].gate(), "rules": [{"rule": i, **asdict(r)} for i, r in g]} for g in groups.values()]
     rule = "struct<rule:int,label:string,pattern:string,priority:int,confidence:double>"
-    rows = F.from_json(F.lit(json.dumps(table)), f"array<struct<keyword:string,rules:array<{rule}>>>")
+    rows = F.from_json(F.lit(json.dumps(table)), f"array<struct<gate:array<array<string>>,rules:array<{rule}>>>")
     one = lambda r: F.transform(
         places(words, r["pattern"]),
         lambda p: F.struct(
             p["start"].alias("start"), (-p["end"]).alias("minus_end"), r["priority"].alias("priority"), r["rule"].alias("rule"), r["label"].alias("label"), r["confidence"].alias("confidence")
         ),
     )
-    open_ = F.flatten(F.transform(F.filter(rows, lambda g: F.contains(words, g["keyword"])), lambda g: g["rules"]))
+    holds = lambda g: F.forall(g["gate"], lambda any_: F.exists(any_, lambda k: F.contains(words, k)))
+    open_ = F.flatten(F.transform(F.filter(rows, holds), lambda g: g["rules"]))
     return F.array_sort(F.flatten(F.transform(open_, one)))
 
 
 def resolved(found: Column) -> Column:
-    """The detections left after suppression, in order."""
+    """The detections left after suppression, in order.
+
+    From left to right: one that ends no later than what has been reached is inside another; one that begins before the
+    end of the last kept one takes its place if it has better priority, else it goes.
+    """
 
     def step(acc: Column, x: Column) -> Column:
         last = F.get(acc["out"], F.size(acc["out"]) - 1)
@@ -239,22 +100,18 @@ def resolved(found: Column) -> Column:
     return F.coalesce(F.aggregate(safe, zero, step)["out"], F.array().cast(f"array<{_FOUND}>"))
 
 
-def license_scan(docs: DataFrame, rules: Sequence[Rule] | None = None, roots: Sequence[str] = ROOTS) -> DataFrame:
+def license_scan(docs: DataFrame, rules: Sequence[Rule] | None = None) -> DataFrame:
     """One row for each of ``docs(doc_id, text)``: doc_id, n_words, base, detections.
 
     ``base`` are the places of BASE's phrases, array<struct<start, end, label>> by word; ``detections`` those of the
     rules after suppression, array<struct<start, end, label, rule, confidence>>. Null, empty and unlicensed texts
     have empty arrays; repeated rows and rows without doc_id give a row each; further columns are not read; an empty
-    table gives an empty result. Nothing is shuffled. Every text with a place must hold one of ``roots``.
+    table gives an empty result. Nothing is shuffled.
     """
-    rules = build_rules() if rules is None else list(rules)
+    rules = signatures() if rules is None else list(rules)
     bare = F.array().cast("array<struct<start:int,end:int,label:string>>")
     rows = docs.select("doc_id", normalised(F.col("text")).alias("words"))
-    open_ = F.lit(False)
-    for root in roots:
-        open_ = open_ | F.contains("words", F.lit(root))
     n_words = F.when(F.col("words") == "  ", F.lit(0)).otherwise(_spaces(F.col("words")) - 1).cast("long")
-    rows = rows.select("doc_id", n_words.alias("n_words"), F.when(open_, F.col("words")).alias("words"))
 
     def labelled(phrase: str, label: str) -> Callable[[Column], Column]:
         here = lambda w: F.transform(
@@ -264,16 +121,10 @@ def license_scan(docs: DataFrame, rules: Sequence[Rule] | None = None, roots: Se
 
     w = F.col("words")
     base = F.array_sort(F.concat(*[labelled(p, label)(w) for p, label in BASE]))
-    found = resolved(detections(w, rules))
     shown = F.transform(
-        found,
+        resolved(detections(w, rules)),
         lambda x: F.struct(
             x["start"].alias("start"), (-x["minus_end"]).alias("end"), x["label"].alias("label"), x["rule"].alias("rule"), x["confidence"].alias("confidence")
         ),
     )
-    return rows.select(
-        "doc_id",
-        "n_words",
-        F.when(w.isNull(), bare).otherwise(base).alias("base"),
-        F.when(w.isNull(), F.array().cast("array<struct<start:int,end:int,label:string,rule:int,confidence:double>>")).otherwise(shown).alias("detections"),
-    )
+    return rows.select("doc_id", n_words.alias("n_words"), base.alias("base"), shown.alias("detections"))

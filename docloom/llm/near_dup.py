@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .scratch import cut, small, table, text_batches
+from .scratch import cut, salted_join, small, table, text_batches
 from .text import WordHash, mix, slices, split_space_lower
 
 BANDS, ROWS = 28, 4
@@ -183,21 +183,19 @@ def _verify(size: int, percent: int):
 
 
 def _confirmed(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Those of ``pairs(a, b)`` that are links: by likelihood first, then on full sets."""
+    """Those of ``pairs(a, b)`` that are links: by likelihood first, then on full sets. A hub's pairs are dealt over tasks."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
     side = lambda x: sketches.select(F.col("doc_id").alias(x), F.col("n_shingles").alias(f"n{x}"), F.col("regs").alias(f"r{x}"))
+    text = lambda df, x: df.select(F.col("doc_id").alias(x), F.col("text").alias(f"text_{x}"))
     ok = f"100 * least(na, nb) >= {percent} * greatest(na, nb)"
-    likely = table(
-        pairs.join(side("a"), "a").join(side("b"), "b").where(ok).mapInArrow(_estimate(percent / 100), "a long, b long")
-    )
+    both = salted_join(salted_join(pairs, side("a"), ["a"], F.col("b")), side("b"), ["b"], F.col("a"))
+    likely = table(both.where(ok).mapInArrow(_estimate(percent / 100), f"a {kind}, b {kind}"))
     needed = cut(likely.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
     texts = docs.join(small(needed, BROADCAST_ROWS), "doc_id", "left_semi")
-    return cut(
-        likely.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-        .join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-        .select("a", "b", "text_a", "text_b")
-        .mapInArrow(_verify(size, percent), "a long, b long")
-        .distinct()
-    )
+    counts = {x: cut(likely.groupBy(x).agg(F.count(F.lit(1)).alias("n"))) for x in ("a", "b")}
+    spelt = salted_join(likely, text(texts, "b"), ["b"], F.col("a"), counts=counts["b"])
+    spelt = salted_join(spelt, text(texts, "a"), ["a"], F.col("b"), counts=counts["a"])
+    return cut(spelt.select("a", "b", "text_a", "text_b").mapInArrow(_verify(size, percent), f"a {kind}, b {kind}").distinct())
 
 
 def _stars(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -207,12 +205,12 @@ def _stars(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
     text the others differ least from.
     """
     bands = reps.select("doc_id", F.explode("keys").alias("key"))
-    full = bands.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = table(bands.join(full, "key"))
+    full = table(bands.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    members = table(salted_join(bands, full, ["key"], F.col("doc_id"), counts=full))
     degree = members.groupBy("doc_id").agg(F.sum("n").alias("degree"))
     ranked = members.join(degree, "doc_id").groupBy("key")
-    hubs = ranked.agg(F.max_by("doc_id", F.struct(F.col("degree"), -F.col("doc_id"))).alias("hub"))
-    pairs = members.join(hubs, "key").where("doc_id <> hub")
+    hubs = ranked.agg(F.min_by("doc_id", F.struct(-F.col("degree"), F.col("doc_id"))).alias("hub"))
+    pairs = salted_join(members.drop("n"), hubs, ["key"], F.col("doc_id"), counts=full).where("doc_id <> hub")
     pairs = pairs.select(F.least("doc_id", "hub").alias("a"), F.greatest("doc_id", "hub").alias("b")).distinct()
     return table(pairs), members.select("key", "doc_id")
 
@@ -247,9 +245,9 @@ def _crossing(
     placed = members.join(small(label.withColumnRenamed("node", "doc_id"), BROADCAST_ROWS), "doc_id", "left")
     placed = placed.select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
     per = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
-    mixed = per.groupBy("key").agg(F.count(F.lit(1)).alias("kinds"), F.max_by("component", F.struct("n", "component")).alias("main"))
-    mixed = cut(mixed.where("kinds > 1").select("key", "main"))
-    open_ = table(placed.join(small(mixed, BROADCAST_ROWS), "key"))
+    mixed = per.groupBy("key").agg(F.count(F.lit(1)).alias("kinds"), F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("n"))
+    mixed = cut(mixed.where("kinds > 1").select("key", "main", "n"))
+    open_ = table(salted_join(placed, mixed.drop("n"), ["key"], F.col("doc_id"), counts=mixed.select("key", "n")))
 
     clusters = components(open_.select(F.col("doc_id").alias("b"), F.col("main").alias("a")).distinct())
     clusters = clusters.select(F.col("node").alias("doc_id"), F.col("component").alias("cluster")).distinct()
@@ -257,10 +255,12 @@ def _crossing(
     sides = cut(sides.join(clusters, "doc_id").join(reps.select("doc_id", F.col("n_shingles").alias("n")), "doc_id"))
 
     items = docs.join(small(sides.select("doc_id", "cluster"), BROADCAST_ROWS), "doc_id").select("doc_id", "cluster", "text")
-    items = items.mapInArrow(_items(size), "doc_id long, cluster long, item long")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    items = items.mapInArrow(_items(size), f"doc_id {kind}, cluster {kind}, item long")
     seen = items.groupBy("cluster", "item").agg(F.count(F.lit(1)).alias("rows"), F.min("doc_id").alias("a"), F.max("doc_id").alias("b"))
     shared = table(seen.where("a < b").select("cluster", "item", "rows"))
-    ranked = items.join(shared, ["cluster", "item"]).groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("rows", "item"))).alias("shared"))
+    counts = shared.select("cluster", "item", F.col("rows").alias("n"))
+    ranked = salted_join(items, shared, ["cluster", "item"], F.col("doc_id"), counts=counts).groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("rows", "item"))).alias("shared"))
     ranked = ranked.join(small(sides, BROADCAST_ROWS), "doc_id")
     own = F.col("n") - F.size("shared")
     last = F.col("n") - F.ceil(F.col("n") * percent / 100)  # even a partner of the least size allows no later place
@@ -293,12 +293,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     percent * union``; component_id is the smallest doc_id reachable over links, kept marks it. A text with fewer
     words is one shingle; one without words, or null, has none and is linked with nothing. A row without doc_id is
     linked with nothing: its component_id is null and it is kept. Rows with one doc_id are one document, and each is
-    kept or not as that document. An empty table gives an empty result.
+    kept or not as that document. An empty table gives an empty result. doc_id may be of any type that has an order.
     """
-    docs = text_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = text_batches(docs).select("doc_id", "text")
+    kind = docs.schema["doc_id"].dataType.simpleString()
     sketches = table(
         docs.mapInArrow(
-            _sketch(shingle), "doc_id long, n_shingles long, s1 long, s2 long, keys array<long>, regs binary"
+            _sketch(shingle), f"doc_id {kind}, n_shingles long, s1 long, s2 long, keys array<long>, regs binary"
         )
     )
     some = sketches.where("doc_id is not null and n_shingles > 0")

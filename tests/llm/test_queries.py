@@ -135,10 +135,10 @@ def quality_ok(text):
 
 def without_boilerplate(docs):
     bare = lambda x: x.strip(" \t\r\x0b\x0c")
-    pages, carried = Counter(s for _, s in docs.values()), Counter()
-    for text, source in docs.values():
+    pages, carried = Counter(s for _, s in set(docs.values())), Counter()
+    for text, source in set(docs.values()):
         carried.update({(source, bare(x)) for x in text.split("\n") if bare(x)})
-    bad = {k for k, n in carried.items() if pages[k[0]] >= 20 and 100 * n > 10 * pages[k[0]]}
+    bad = {k for k, n in carried.items() if n >= 3 and 100 * n > 10 * pages[k[0]]}
     return {d: ("\n".join(x for x in t.split("\n") if (s, bare(x)) not in bad), s) for d, (t, s) in docs.items()}
 
 

@@ -12,32 +12,37 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .text import strip
+from .text import let, strip
 
 _CELLS = T.ArrayType(T.StringType())
 TABLE = T.StructType([T.StructField("headers", _CELLS), T.StructField("rows", T.ArrayType(_CELLS))])
 
 
 def _cells(line: Column) -> Column:
-    inner = F.regexp_replace(strip(line), r"^\|+|\|+$", "")
+    inner = F.btrim(strip(line), F.lit("|"))
     return F.transform(F.split(inner, r"\|"), strip)
 
 
 def _of_lines(lines: Column) -> Column:
     """A table of pipe rows: separator rows away, rows padded to the widest, blank headers named, blank rows away."""
-    rows = F.filter(F.transform(lines, _cells), lambda r: ~F.forall(r, lambda c: c.rlike(r"^:?-{3,}:?$")))
-    width = F.array_max(F.transform(rows, F.size))
-    pad = lambda r: F.concat(r, F.array_repeat(F.lit(""), width - F.size(r)))
-    padded = F.transform(rows, pad)
-    head = F.transform(F.get(padded, F.lit(0)), lambda c, i: F.when(c == "", F.concat(F.lit("column_"), (i + 1).cast("string"))).otherwise(c))
-    body = F.filter(F.slice(padded, F.lit(2), F.greatest(F.size(padded) - 1, F.lit(0))), lambda r: F.exists(r, lambda c: c != ""))
-    return F.when((F.size(rows) >= 2) & (F.size(body) > 0), F.struct(head.alias("headers"), body.alias("rows")))
+    kept = F.filter(F.transform(lines, _cells), lambda r: ~F.forall(r, lambda c: c.rlike(r"^:?-{3,}:?$")))
+
+    def padded(rows: Column) -> Column:
+        fill = lambda width: F.transform(rows, lambda r: F.concat(r, F.array_repeat(F.lit(""), width - F.size(r))))
+        return let(F.array_max(F.transform(rows, F.size)), fill)
+
+    def of(rows: Column) -> Column:
+        head = F.transform(F.get(rows, F.lit(0)), lambda c, i: F.when(c == "", F.concat(F.lit("column_"), (i + 1).cast("string"))).otherwise(c))
+        body = F.filter(F.slice(rows, F.lit(2), F.greatest(F.size(rows) - 1, F.lit(0))), lambda r: F.exists(r, lambda c: c != ""))
+        return let(body, lambda x: F.when((F.size(rows) >= 2) & (F.size(x) > 0), F.struct(head.alias("headers"), x.alias("rows"))))
+
+    return let(let(kept, padded), of)
 
 
 def pipe_tables(text: Column) -> Column:
     """array of the tables in a text's runs of lines that begin and end with a bar, in order."""
     line = r"[ \t]*\|[^\n]*\|[ \t\r]*"
-    runs = F.regexp_extract_all(F.concat(F.lit("\n"), text, F.lit("\n")), F.lit(rf"(?:(?<=\n){line}(?:\n|$))+"), F.lit(0))
+    runs = F.regexp_extract_all(F.concat(F.lit("\n"), text, F.lit("\n")), F.lit(rf"(?:(?<=\n){line}(?:\n|$))++"), F.lit(0))
     parsed = F.transform(runs, lambda r: _of_lines(F.filter(F.split(r, "\n"), lambda x: strip(x) != "")))
     return F.filter(parsed, lambda t: t.isNotNull())
 
@@ -66,8 +71,8 @@ def row_to_markdown(headers: Column, row: Column) -> Column:
 
 def best_table(tables: Column) -> Column:
     """The table with the most rows, the first of several."""
-    most = F.array_max(F.transform(tables, lambda t: F.size(t["rows"])))
-    return F.get(F.filter(tables, lambda t: F.size(t["rows"]) == most), F.lit(0))
+    ranked = F.transform(tables, lambda t, i: F.struct(F.size(t["rows"]).alias("n"), (-i).alias("i"), t.alias("t")))
+    return F.array_max(ranked)["t"]
 
 
 def empty_cell_ratio(table: Column) -> Column:

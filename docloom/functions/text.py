@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -43,16 +43,31 @@ SUFFIX_KINDS = {
 }
 COVER_NOISE = (
     r"(?im)^(rating\s+rationale|credit\s+rating\s+rationale|financial\s+institution\s+ratings?|"
-    r"credit\s+rating\s+report|table\s+of\s+contents|page\s+\d+)\s*!*\s*$"
+    r"credit\s+rating\s+report|table\s+of\s+contents|page\s+\d+)[^\S\n\r]*+(?:!++[^\S\n\r]*+)?$"
 )
 RATING_AGENCY = r"(?i)(RAM\s+Rating|Malaysian\s+Rating|MARC|S&P|Moody|Fitch|Standard\s+&\s+Poor)"
 
 PAGE_MARKER = r"(?i)<!--\s*page:\s*(\d+)\s*-->"
+# The markup that cleaning takes away, and lines that are no value.
+TABLE_TAGS = r"(?i)</?(?:table|thead|tbody|tr|th|td)[^>]*>"
+LINE_TAGS, ANY_TAG = r"(?i)<br\s*/?>|</p>", r"<[^>]+>"
+MARKDOWN_IMAGE, MARKDOWN_LINK, EMPHASIS = r"!\[.*?\]\(.*?\)", r"\[([^\]]+)\]\([^)]+\)", r"\*{1,3}([^*]+?)\*{1,3}"
+RULE_LINE, MARKUP_LINE = r"^[\s!#\-*=+|_~`>.<{}\[\]()]{2,}$", r"^(#+\s|!{1,}\[)"
+IMAGE_URL = r"(?i)https?://\S+\.(jpg|jpeg|png|gif|svg|webp)\S*"
+# Rating symbols, and words that head the pages of a report instead of naming anything.
+RATING = r"\b(?:[ABC]{1,3}[1-3]?[+-]?|P[1-3])(?:/[A-Za-z0-9+-]+)*(?=[\s,.;|]|$)"
+
+_WHITE = " \t\n\x0b\f\r"
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with value computed once: what a lambda only refers to is computed anew for each of its items."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def strip(x: Column) -> Column:
-    """All white space off both ends; SQL's trim takes only spaces."""
-    return F.regexp_replace(x, r"^\s+|\s+$", "")
+    """All white space off both ends; SQL's trim takes only spaces. Linear, unlike a pattern with a tail of blanks."""
+    return F.btrim(x, F.lit(_WHITE))
 
 
 def strip_chars(x: Column, chars: str) -> Column:
@@ -122,17 +137,15 @@ def unescape(x: Column) -> Column:
 
 def strip_html(x: Column) -> Column:
     """Table tags to spaces, breaks and paragraph ends to line ends, other tags away, entities decoded."""
-    x = F.regexp_replace(x, r"(?i)</?(?:table|thead|tbody|tr|th|td)[^>]*>", " ")
-    x = F.regexp_replace(x, r"(?i)<br\s*/?>|</p>", "\n")
-    return unescape(F.regexp_replace(x, r"<[^>]+>", ""))
+    x = F.regexp_replace(F.regexp_replace(x, TABLE_TAGS, " "), LINE_TAGS, "\n")
+    return unescape(F.regexp_replace(x, ANY_TAG, ""))
 
 
 def clean_value(x: Column) -> Column:
     """Without tags, images and emphasis; links to their labels; null if nothing is left."""
     x = strip_html(x)
-    x = F.regexp_replace(x, r"!\[.*?\]\(.*?\)", "")
-    x = F.regexp_replace(x, r"\[([^\]]+)\]\([^)]+\)", "$1")
-    x = F.regexp_replace(x, r"\*{1,3}([^*]+?)\*{1,3}", "$1")
+    x = F.regexp_replace(F.regexp_replace(x, MARKDOWN_IMAGE, ""), MARKDOWN_LINK, "$1")
+    x = F.regexp_replace(x, EMPHASIS, "$1")
     return F.nullif(strip_chars(squeeze(x), "| -"), F.lit(""))
 
 
@@ -140,10 +153,10 @@ def is_cover_noise(x: Column) -> Column:
     s = strip(x)
     return (
         (s == "")
-        | s.rlike(r"^[\s!#\-*=+|_~`>.<{}\[\]()]{2,}$")
+        | s.rlike(RULE_LINE)
         | s.rlike(COVER_NOISE)
         | (s.endswith("!") & (F.regexp_count(s, F.lit("!")) >= 2))
-        | s.rlike(r"^(#+\s|!{1,}\[)")
+        | s.rlike(MARKUP_LINE)
     )
 
 
@@ -153,7 +166,7 @@ def sanitise(x: Column, field_path: Column) -> Column:
     image = path.rlike("(image|figure|chart|visual|logo|photo)")
     cleaned = clean_value(x)
     agency = cleaned.rlike(RATING_AGENCY) & path.rlike("title|reportname|documentname") & ~path.rlike(RATING_AGENCY)
-    bare = strip(F.regexp_replace(cleaned, r"(?i)https?://\S+\.(jpg|jpeg|png|gif|svg|webp)\S*", ""))
+    bare = strip(F.regexp_replace(cleaned, IMAGE_URL, ""))
     plain = F.when(is_cover_noise(cleaned) | agency, F.lit(None)).otherwise(F.nullif(bare, F.lit("")))
     return F.when(image, F.nullif(strip(x), F.lit(""))).otherwise(plain)
 
@@ -171,6 +184,18 @@ def safe_key(x: Column) -> Column:
     return F.when(clean == "", F.lit("value")).otherwise(clean)
 
 
+def safe_name(x: Column) -> Column:
+    """A file name of letters, digits, dots, dashes and underscores."""
+    clean = strip_chars(F.regexp_replace(strip(x), r"[^A-Za-z0-9._-]+", "_"), "._")
+    return F.when(clean == "", F.lit("file")).otherwise(clean)
+
+
+def unique_identifiers(names: Column) -> Column:
+    """array<string> with repeats told apart: the second of a name ends in _2, the third in _3."""
+    before = lambda n, i: F.size(F.filter(F.slice(names, F.lit(1), i), lambda m: m == n))
+    return F.transform(names, lambda n, i: F.when(before(n, i) > 0, F.concat(n, F.lit("_"), (before(n, i) + 1).cast("string"))).otherwise(n))
+
+
 def safe_identifier(x: Column) -> Column:
     clean = strip_chars(F.regexp_replace(strip(x), r"\W+", "_"), "_")
     clean = F.when(clean == "", F.lit("field")).otherwise(clean)
@@ -219,6 +244,19 @@ def suffix(name: Column) -> Column:
     return F.lower(F.regexp_extract(name, r"\.([A-Za-z0-9]+)$", 1))
 
 
+#: The media type of each suffix that has one here.
+MIME_TYPES = {
+    "pdf": "application/pdf", "png": "image/png", "jpg": "image/jpeg", "jpeg": "image/jpeg", "webp": "image/webp", "bmp": "image/bmp",
+    "tif": "image/tiff", "tiff": "image/tiff", "doc": "application/msword", "txt": "text/plain", "md": "text/markdown", "csv": "text/csv",
+    "docx": "application/vnd.openxmlformats-officedocument.wordprocessingml.document", "tsv": "text/tab-separated-values", "json": "application/json",
+}
+
+
+def mime_type(name: Column) -> Column:
+    known = F.create_map(*[F.lit(x) for pair in MIME_TYPES.items() for x in pair])
+    return F.coalesce(F.try_element_at(known, suffix(name)), F.lit("application/octet-stream"))
+
+
 def input_type(name: Column) -> Column:
     out = None
     for kind, suffixes in SUFFIX_KINDS.items():

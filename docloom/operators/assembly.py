@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import coerce as C
 from ..functions import geometry as G
 from ..functions import text as T
+from .retrieval import literal
 
 #: Rows taken from one table and from all of a field's tables; items and headings in a model's context.
 TABLE_ROWS, FIELD_ROWS, CONTEXT_ITEMS = 80, 500, 80
@@ -55,7 +56,7 @@ def list_items(text: Column, label: Column) -> Column:
     from .extraction import labelled_value
 
     direct = C.to_list(labelled_value(text, label))
-    bullets = F.transform(F.regexp_extract_all(text, F.lit(r"(?m)^\s*(?:[-*•]|\d{1,3}[.)])\s+(.+)$"), F.lit(1)), T.strip)
+    bullets = F.transform(F.regexp_extract_all(text, F.lit(r"(?m)^[^\S\n]*+(?:[-*•]|\d{1,3}[.)])\s+(.+)$"), F.lit(1)), T.strip)
     pictures = F.transform(T.images(text), lambda i: F.concat(i["label"], F.lit(" ("), i["url"], F.lit(")")))
     return (
         F.when(F.coalesce(F.size(direct), F.lit(0)) > 0, direct)
@@ -149,33 +150,38 @@ def context(items: DataFrame, most: int = CONTEXT_ITEMS) -> DataFrame:
     return rows.groupBy("job_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_place", line.alias("line")))), lambda x: x["line"]), "\n\n").alias("context"))
 
 
-def draft_schema(evidence: DataFrame, topics: DataFrame) -> DataFrame:
-    """(document_id, key, label, type): the topics whose words some evidence of a document holds.
+#: Names by which a draft may call the types of fields.
+TYPE_ALIASES = {
+    "string": "text", "str": "text", "integer": "number", "int": "number", "float": "number", "decimal": "number", "money": "currency", "amount": "currency",
+    "datetime": "date", "bool": "boolean", "array": "list", "dict": "object", "map": "object",
+}
+FIELD_TYPES = ("text", "email", "phone", "number", "currency", "date", "boolean", "list", "table", "object")
 
-    ``topics(key, label, type, words array<string>)`` is a small list of fields, broadcast.
+
+def field_type(x: Column) -> Column:
+    """A field type by its own name or an alias; text for anything else."""
+    known = F.create_map(*[F.lit(v) for pair in TYPE_ALIASES.items() for v in pair])
+    name = F.lower(T.strip(F.coalesce(x, F.lit(""))))
+    name = F.coalesce(F.try_element_at(known, name), name)
+    return F.when(name.isin(*FIELD_TYPES), name).otherwise("text")
+
+
+def draft_schema(evidence: DataFrame, topics: DataFrame, most: int = 80) -> DataFrame:
+    """(document_id, key, label, type): the topics whose words some evidence of a document holds, ``most`` by key at most.
+
+    ``topics(key, label, type, words array<string>)`` is a small list of fields, looked for in each text as it is read.
     """
-    if topics.limit(1001).count() > 1000:
-        raise ValueError("a draft knows at most 1,000 topics")
-    rows = evidence.select("document_id", F.lower("text").alias("_low")).join(F.broadcast(topics), F.exists("words", lambda w: F.contains(F.col("_low"), F.lower(w))))
-    return rows.select("document_id", "key", "label", "type").distinct()
-
-
-def by_intent(text: Column, intent: Column) -> Column:
-    """A value for a field's intent from one evidence text; null where the text shows none."""
-    lines = F.filter(F.transform(F.split(T.strip_html(text), r"\r?\n"), T.clean_value), lambda x: x.isNotNull() & ~T.is_cover_noise(F.coalesce(x, F.lit(""))))
-    heading = F.get(T.headings(text), F.lit(0))["title"]
-    issuer = F.regexp_extract(text, r"([A-Z][A-Za-z.\s&]{5,80}?(?:Sdn\s+Bhd|Sdn\.\s*Bhd\.|Berhad|Bhd|Inc|Corp|PLC|Ltd|Limited|Group|Holdings?))\b", 1)
-    rating = F.regexp_extract_all(text, F.lit(r"\b(?:[ABC]{1,3}[1-3]?[+-]?|P[1-3])(?:/[A-Za-z0-9+-]+)*(?=[\s,.;|]|$)"), F.lit(0))
-    long = F.filter(lines, lambda x: F.length(x) >= 80)
-    return (
-        F.when(intent == "title", T.clean_value(F.coalesce(heading, F.get(lines, F.lit(0)))))
-        .when(intent.isin("date", "generic_date"), F.coalesce(T.cover_date(text), C.first_match(text, "date")))
-        .when(intent == "issuer", F.nullif(T.squeeze(issuer), F.lit("")))
-        .when(intent == "ratings", F.when(F.size(rating) > 0, F.array_join(F.array_distinct(rating), ", ")))
-        .when(intent.isin("summary", "rating_drivers"), T.preview(F.get(long, F.lit(0)), 500))
-        .when(intent.isin("analysts", "subsidiaries", "stakeholders"), F.nullif(F.array_join(F.transform(F.regexp_extract_all(text, F.lit(r"(?m)^\s*(?:[-*•]|\d{1,3}[.)])\s+(.+)$"), F.lit(1)), T.strip), "; "), F.lit("")))
-        .when(intent == "generic_number", C.first_match(text, "number"))
-    )
+    asked = literal(topics.select("key", "label", field_type(F.col("type")).alias("type"), F.transform("words", F.lower).alias("words")), 1000)
+    low = F.lower("text")
+    held = F.filter(asked, lambda t: F.exists(t["words"], lambda w: F.contains(low, w)))
+    rows = evidence.select("document_id", F.explode(held).alias("t")).select("document_id", "t.key", "t.label", "t.type").distinct()
+    order = W.partitionBy("document_id").orderBy("key")
+    return rows.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= most).drop("_n")
+
+
+def sample_table(rows: Column, n: int = 8) -> Column:
+    """The first ``n`` rows and columns of array<array<string>>, nulls as empty cells."""
+    return F.transform(F.slice(rows, 1, n), lambda r: F.transform(F.slice(r, 1, n), lambda c: F.coalesce(c, F.lit(""))))
 
 
 def merge_maps(a: Column, b: Column) -> Column:

@@ -18,6 +18,8 @@ STRATEGIES = ("block", "document", "page", "table_row", "sliding_window")
 ALIASES = {"table": "table_row", "tables": "table_row", "row": "table_row", "window": "sliding_window", "sliding": "sliding_window", "pages": "page", "full": "document"}
 #: Windows of 500 words that share 80 with their neighbour; at most 50 pages and 500 table rows of a document.
 WINDOW, OVERLAP, MAX_PAGES, MAX_ROWS = 500, 80, 50, 500
+#: Places for tables or windows of one page in an order over pages.
+PLACES = 1_000_000
 
 
 def strategy_name(x: Column) -> Column:
@@ -61,10 +63,10 @@ def by_document(parsed: DataFrame) -> DataFrame:
     return _finish(rows, "document")
 
 
-def pages_of(parsed: DataFrame, max_pages: int = MAX_PAGES) -> DataFrame:
-    """(document_id, page, text, pos) of the pages up to ``max_pages`` (a parameter of the job, not a safeguard)."""
-    pages = parsed.select("document_id", F.posexplode(page_segments(F.col("raw_text"))).alias("pos", "p"))
-    return pages.select("document_id", "p.page", T.strip(F.col("p.text")).alias("text"), "pos").where((F.col("page") <= max_pages) & (F.col("text") != ""))
+def pages_of(parsed: DataFrame, max_pages: int = MAX_PAGES, key: tuple[str, ...] = ("document_id",)) -> DataFrame:
+    """(key…, page, text, pos) of the pages up to ``max_pages`` (a parameter of the job, not a safeguard)."""
+    pages = parsed.select(*key, F.posexplode(page_segments(F.col("raw_text"))).alias("pos", "p"))
+    return pages.select(*key, "p.page", T.strip(F.col("p.text")).alias("text"), "pos").where((F.col("page") <= max_pages) & (F.col("text") != ""))
 
 
 def by_page(parsed: DataFrame, max_pages: int = MAX_PAGES) -> DataFrame:
@@ -84,23 +86,40 @@ def by_window(parsed: DataFrame, size: int = WINDOW, overlap: int = OVERLAP, max
     words = F.filter(F.split(F.col("text"), r"\s+"), lambda w: w != "")
     rows = pages_of(parsed, max_pages).select("document_id", "page", "pos", F.posexplode(windows_of(words, size, overlap)).alias("k", "w"))
     rows = rows.select(
-        "document_id", "page", F.lit("window").alias("kind"), F.array_join("w.words", " ").alias("text"), (F.col("pos") * 100_000 + F.col("k")).alias("pos"), F.col("w.start").cast("string").alias("legacy")
+        "document_id", "page", F.lit("window").alias("kind"), F.array_join("w.words", " ").alias("text"), (F.col("pos").cast("long") * PLACES + F.col("k")).alias("pos"), F.col("w.start").cast("string").alias("legacy")
     )
     return _finish(rows, "sliding_window")
 
 
-def items(parsed: DataFrame, max_pages: int = MAX_PAGES) -> DataFrame:
-    """(document_id, page, kind, text, pos): the parser's blocks and then the tables found in its raw text."""
-    blocks = parsed.select("document_id", F.posexplode("blocks").alias("pos", "b")).select(
-        "document_id", F.coalesce("b.page", F.lit(1)).alias("page"), F.coalesce("b.type", F.lit("text")).alias("kind"), T.clean_lines(F.col("b.text")).alias("text"), "pos"
-    )
-    tables = pages_of(parsed, max_pages).select("document_id", "page", "pos", F.posexplode(TB.pipe_tables(F.col("text"))).alias("k", "t"))
-    tables = tables.select("document_id", "page", F.lit("table").alias("kind"), TB.to_markdown(F.col("t")).alias("text"), (F.lit(1_000_000) + F.col("pos") * 1000 + F.col("k")).alias("pos"))
+def items(parsed: DataFrame, max_pages: int = MAX_PAGES, key: tuple[str, ...] = ("document_id",)) -> DataFrame:
+    """(key…, page, kind, text, pos, raw, legacy): the parser's blocks and then (raw) the tables found in its raw text.
+
+    legacy is the item's own id in its document: the block's place, or the table's page and place.
+    """
+    blocks = parsed.select(*key, F.posexplode("blocks").alias("pos", "b")).select(
+        *key, F.coalesce("b.page", F.lit(1)).alias("page"), F.coalesce("b.type", F.lit("text")).alias("kind"), T.clean_lines(F.col("b.text")).alias("text"),
+        F.col("pos").cast("long").alias("pos"), F.lit(False).alias("raw"), F.concat(F.lit("block-"), F.col("pos").cast("string")).alias("legacy"),
+    )
+    tables = pages_of(parsed, max_pages, key).select(*key, "page", "pos", F.posexplode(TB.pipe_tables(F.col("text"))).alias("k", "t"))
+    tables = tables.select(
+        *key, "page", F.lit("table").alias("kind"), TB.to_markdown(F.col("t")).alias("text"), (F.col("pos").cast("long") * PLACES + F.col("k")).alias("pos"),
+        F.lit(True).alias("raw"), F.concat_ws("-", F.lit("table"), F.col("pos").cast("string"), F.col("k").cast("string")).alias("legacy"),
+    )
     return blocks.unionByName(tables).where((F.col("page") <= max_pages) & (F.col("text") != ""))
 
 
 def by_block(parsed: DataFrame, max_pages: int = MAX_PAGES) -> DataFrame:
-    return _finish(items(parsed, max_pages).withColumn("legacy", F.lit(None).cast("string")), "block")
+    """A chunk for each block and raw table; blocks of a page with the same text are told apart by their places."""
+    rows = items(parsed, max_pages)
+    order = W.partitionBy("document_id").orderBy("raw", "pos")
+    return _finish(rows.withColumn("pos", F.row_number().over(order) - 1), "block")
+
+
+def full_text(parsed: DataFrame) -> DataFrame:
+    """(document_id, text): the raw text, or where that is blank the blocks' texts in order."""
+    joined = F.array_join(F.filter(F.transform("blocks", lambda b: T.clean_lines(F.coalesce(b["text"], F.lit("")))), lambda t: t != ""), "\n\n")
+    raw = without_markers(F.coalesce("raw_text", F.lit("")))
+    return parsed.select("document_id", F.when(raw != "", raw).otherwise(F.coalesce(joined, F.lit(""))).alias("text"))
 
 
 def table_rows(parsed: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import coerce as C
 from ..functions import tables as TB
 from ..functions import text as T
-from .chunking import items, pages_of
+from .chunking import PLACES, items, pages_of
 
 #: Parsers whose output the cleaner knows; others' results come back marked as disabled.
 SUPPORTED = ("layout_pdfplumber", "mistral_ocr", "paddleocr_vl_vllm", "docling")
@@ -28,29 +28,32 @@ def type_order(kind: Column) -> Column:
 def clean_evidence(parsed: DataFrame) -> DataFrame:
     """(document_id, library, evidence_id, page, kind, text, confidence, risk): cleaned and deduplicated items.
 
-    Of items with one page, kind and beginning (2,000 characters) the first stays. Only ok results of supported
-    parsers give items.
+    Of items of one document and library with one page, kind and beginning (2,000 characters) the first stays. Only ok
+    results of supported parsers give items. ``in_order`` sorts a document's items for display.
     """
+    own = ("document_id", "library")
     fit = parsed.where(F.col("library").isin(*SUPPORTED) & (F.col("status") == "ok"))
-    found = items(fit).join(fit.select("document_id", "library").distinct(), "document_id")
-    raw = F.col("pos") >= 1_000_000
+    found = items(fit, key=own).drop("legacy")
     risk = T.risk(F.col("kind"), F.col("text"))
     base = C.base_confidence(F.col("library"), F.col("kind"), F.col("text"))
     risky = risk == "financial_review"
-    confidence = F.when(raw, F.when(risky, RAW_TABLE_RISKY).otherwise(RAW_TABLE)).otherwise(F.when(risky, F.least(base, F.lit(BLOCK_TABLE_RISKY))).otherwise(base))
-    pictures = pages_of(fit).select("document_id", "page", "pos", F.posexplode(T.images(F.col("text"))).alias("k", "i"))
-    pictures = pictures.join(fit.select("document_id", "library").distinct(), "document_id").select(
-        "document_id", "page", F.lit("image").alias("kind"), F.concat_ws("\n", "i.label", "i.url").alias("text"), (F.lit(2_000_000) + F.col("pos") * 1000 + F.col("k")).alias("pos"),
-        "library", F.lit("normal").alias("risk"), F.lit(IMAGE).alias("confidence"),
+    confidence = F.when(F.col("raw"), F.when(risky, RAW_TABLE_RISKY).otherwise(RAW_TABLE)).otherwise(F.when(risky, F.least(base, F.lit(BLOCK_TABLE_RISKY))).otherwise(base))
+    found = found.withColumns({"risk": risk, "confidence": confidence, "part": F.when(F.col("raw"), 1).otherwise(0)}).drop("raw")
+    pictures = pages_of(fit, key=own).select(*own, "page", "pos", F.posexplode(T.images(F.col("text"))).alias("k", "i"))
+    pictures = pictures.select(
+        *own, "page", F.lit("image").alias("kind"), F.concat_ws("\n", "i.label", "i.url").alias("text"), (F.col("pos").cast("long") * PLACES + F.col("k")).alias("pos"),
+        F.lit("normal").alias("risk"), F.lit(IMAGE).alias("confidence"), F.lit(2).alias("part"),
     )
-    every = found.withColumns({"risk": risk, "confidence": confidence}).unionByName(pictures)
     key = F.substring(F.sha1(F.substring("text", 1, 2000)), 1, 12)
-    first = W.partitionBy("document_id", "library", "page", "kind", key).orderBy("pos")
-    kept = every.withColumn("_n", F.row_number().over(first)).where("_n = 1")
-    seed = T.stable_id("cev-", F.col("library"), F.col("page").cast("string"), F.col("kind"), F.col("pos").cast("string"), F.substring("text", 1, 240))
-    return kept.select("document_id", "library", seed.alias("evidence_id"), "page", "kind", "text", "confidence", "risk").orderBy(
-        "document_id", "page", type_order(F.col("kind")), "evidence_id"
-    )
+    first = W.partitionBy(*own, "page", "kind", key).orderBy("part", "pos")
+    kept = found.unionByName(pictures).withColumn("_n", F.row_number().over(first)).where("_n = 1")
+    seed = T.stable_id("cev-", F.col("library"), F.col("page").cast("string"), F.col("kind"), F.col("part").cast("string"), F.col("pos").cast("string"), F.substring("text", 1, 240))
+    return kept.select(*own, seed.alias("evidence_id"), "page", "kind", "text", "confidence", "risk")
+
+
+def in_order(evidence: DataFrame) -> DataFrame:
+    """Evidence as it is shown: by document, page, kind and id. A sort of the whole table, for what is displayed."""
+    return evidence.orderBy("document_id", "page", type_order(F.col("kind")), "evidence_id")
 
 
 def evidence_stats(evidence: DataFrame) -> DataFrame:

@@ -18,7 +18,7 @@ def labelled_value(text: Column, label: Column) -> Column:
     """What follows a label at a line's start, or a sign in a line that holds the label; null without either."""
     name = F.replace(label, F.lit("_"), F.lit(" "))
     quoted = F.regexp_replace(name, r"([\\.\[\]{}()*+?^$|])", r"\\$1")
-    pattern = F.concat(F.lit(r"(?im)^\s*"), quoted, F.lit(r"\s*(?:[:#=|-]|\s{2,})\s*([^\n\r]{1,260})"))
+    pattern = F.concat(F.lit(r"(?im)^[^\S\n]*+"), quoted, F.lit(r"\s*+(?:[:#=|-]\s*+|(?<=\s\s))([^\n\r]{1,260})"))
     direct = F.when(name != "", F.nullif(F.call_function("regexp_extract", text, pattern, F.lit(1)), F.lit("")))
     wanted = T.normalise(label)
     after = lambda line: T.strip(F.regexp_replace(line, r"^[^:#=|-]*[:#=|-]", ""))
@@ -107,6 +107,35 @@ def type_errors(value: Column, kind: Column, required: Column) -> Column:
     return F.when(value.isNull(), F.when(required, F.array(F.lit(MISSING))).otherwise(F.array().cast("array<string>"))).otherwise(F.array_compact(F.array(wrong)))
 
 
+def below_threshold(confidence: Column, percent: Column) -> Column:
+    """Whether a confidence, as whole percent, is below a threshold."""
+    return F.round(confidence * 100) < percent
+
+
+def is_edited(value: Column, raw_value: Column) -> Column:
+    """Whether a value differs from the one that was read, both as JSON."""
+    return ~F.to_json(F.struct(value.alias("v"))).eqNullSafe(F.to_json(F.struct(raw_value.alias("v"))))
+
+
+def parse_payload(text: Column, kind: str) -> Column:
+    """A model's answer as a struct or map of type ``kind``: without code fences, objects only; null for anything else."""
+    bare = T.strip(F.regexp_replace(T.strip(text), r"^```[a-zA-Z]*\s*|\s*```$", ""))
+    return F.when(bare.startswith("{"), F.from_json(bare, kind))
+
+
+#: The kind of parser that takes each label of a page's regions.
+REGION_PARSERS = {"table": "table", "figure": "image", "picture": "image", "image": "image", "formula": "image"}
+
+
+def region_parser(label: Column) -> Column:
+    """table, image or text: which parser a region of a page goes to, by its label."""
+    out = None
+    for part, parser in REGION_PARSERS.items():
+        test = F.contains(F.lower(label), F.lit(part))
+        out = F.when(test, parser) if out is None else out.when(test, parser)
+    return out.otherwise("text")
+
+
 def schema_status(value: Column, errors: Column, confidence: Column) -> Column:
     return F.when(value.isNull(), "missing").when(F.size(errors) > 0, "invalid").when(confidence >= PASSING, "validated").otherwise("low_confidence")
 
@@ -151,7 +180,8 @@ def consistency_score(nulls: Column, conflicts: Column, issues: Column) -> Colum
 def first_validated_attempt(attempts: DataFrame) -> DataFrame:
     """Of each field's attempts the first validated one, else the last with a value."""
     good = F.col("status") == "validated"
-    order = F.when(good, F.struct(F.lit(0), F.col("attempt"))).when(F.col("value").isNotNull(), F.struct(F.lit(1), -F.col("attempt"))).otherwise(F.struct(F.lit(2), F.col("attempt")))
+    class_ = F.when(good, 0).when(F.col("value").isNotNull(), 1).otherwise(2)
+    order = F.struct(class_, F.when(class_ == 1, -F.col("attempt")).otherwise(F.col("attempt")))
     pick = F.min_by(F.struct("value", "status", "confidence", "attempt"), order)
     return attempts.groupBy("job_id", "field_path").agg(pick.alias("p"), F.count(F.lit(1)).alias("attempt_count")).select("job_id", "field_path", "p.*", "attempt_count")
 
@@ -162,6 +192,24 @@ def final_json(fields: DataFrame, *accepted: str) -> DataFrame:
     return rows.groupBy("job_id").agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("field_path", "value"))))).alias("final_json"))
 
 
+def nested_json(fields: DataFrame, depth: int = 4) -> DataFrame:
+    """(job_id, final_json): ``fields(job_id, field_path, value)`` as nested objects, dotted paths told apart at their dots.
+
+    Built from the deepest level up, one aggregate a level; a path that is an object has no value of its own. Paths
+    deeper than ``depth`` keep the rest as one key.
+    """
+    parts = F.split("field_path", r"\.", depth)
+    bare = lambda x: F.substring(F.to_json(F.struct(x.alias("v"))), F.lit(6), F.length(F.to_json(F.struct(x.alias("v")))) - 6)
+    value = F.when(F.col("value").isNull(), "null").otherwise(bare(F.col("value")))
+    level = fields.select("job_id", parts.alias("p"), value.alias("json"))
+    for at in range(depth, 0, -1):
+        deep, rest = level.where(F.size("p") == at), level.where(F.size("p") < at)
+        entry = F.concat(bare(F.element_at("p", -1)), F.lit(":"), "json")
+        up = deep.groupBy("job_id", F.slice("p", F.lit(1), F.lit(at - 1)).alias("p")).agg(F.concat(F.lit("{"), F.array_join(F.sort_array(F.collect_list(entry)), ","), F.lit("}")).alias("json"))
+        level = rest.unionByName(up)
+    return level.select("job_id", F.col("json").alias("final_json"))
+
+
 def apply_review(fields: DataFrame, actions: DataFrame) -> DataFrame:
     """``fields`` after each one's last review action: approve validates it, correct sets its value with confidence 1."""
     last = actions.groupBy("job_id", "field_path").agg(F.max_by(F.struct("action", "corrected_value"), F.struct("created_at", "review_id")).alias("r"))

@@ -5,10 +5,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import geometry as G
 from ..functions import text as T
 
 PAGE = ("document_id", "page")
@@ -95,10 +96,34 @@ def cluster_lines(words: DataFrame, tolerance: float = 3.0) -> DataFrame:
     return lines.select(*PAGE, "line", F.col("l.top").alias("top"), F.array_join(F.transform(F.array_sort("l.words"), lambda x: x["text"]), " ").alias("text"))
 
 
+def text_key(x: Column) -> Column:
+    """What makes two blocks' texts the same: no tags and images, single spaces, lower case, 500 characters."""
+    bare = F.regexp_replace(F.regexp_replace(x, T.ANY_TAG, " "), r"!\[[^\]]*\]\([^)]+\)", " ")
+    return F.substring(T.squeeze(F.lower(bare)), 1, 500)
+
+
 def keep_first(blocks: DataFrame) -> DataFrame:
-    """Blocks without those that repeat an earlier one's page, type and normalised text."""
-    first = W.partitionBy(*PAGE, "kind", T.normal_value(F.col("text"))).orderBy("pos")
-    return blocks.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
+    """Blocks with a text, without those that repeat an earlier one's page, kind and text key.
+
+    A repeat goes wherever it stands on its page, with a box or without. Keys are compared by hash.
+    """
+    rows = blocks.where(text_key(F.coalesce("text", F.lit(""))) != "")
+    first = W.partitionBy(*PAGE, F.lower("kind"), F.xxhash64(text_key(F.col("text")))).orderBy("pos")
+    return rows.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
+
+
+def overlapping_repeats(blocks: DataFrame, least: float = 0.5) -> DataFrame:
+    """(document_id, page, pos, of): blocks that repeat the one of that place: same kind and text key, and a missing box or IoU.
+
+    For reports on a parser: of equal blocks on a page only near places are compared, by a join on the hash of the key.
+    """
+    side = blocks.where(text_key(F.coalesce("text", F.lit(""))) != "").select(
+        *PAGE, F.lower("kind").alias("_kind"), F.xxhash64(text_key(F.col("text"))).alias("_key"), "pos", G.box(*[F.col(c) for c in ("x0", "top", "x1", "bottom")]).alias("_box")
+    )
+    other = side.select(*PAGE, "_kind", "_key", F.col("pos").alias("of"), F.col("_box").alias("_other"))
+    same = F.col("_box").isNull() | F.col("_other").isNull() | (G.iou(F.col("_box"), F.col("_other")) >= least)
+    rows = side.join(other, [*PAGE, "_kind", "_key"]).where((F.col("of") < F.col("pos")) & same)
+    return rows.groupBy(*PAGE, "pos").agg(F.min("of").alias("of"))
 
 
 def outside_tables(lines: DataFrame, tables: DataFrame, share: float = 0.55) -> DataFrame:

@@ -10,6 +10,11 @@ from pyspark.sql import functions as F
 
 from ..functions import coerce as C
 from ..functions import text as T
+from .retrieval import holders
+
+
+#: Contents that several documents share (a hash and an id each) up to which they are broadcast.
+REPEATED_FILES = 1_000_000
 
 
 def where_equal(df: DataFrame, **filters: Any) -> DataFrame:
@@ -21,11 +26,16 @@ def where_equal(df: DataFrame, **filters: Any) -> DataFrame:
 
 
 def find_documents(docs: DataFrame, name_contains: str | None = None, **filters: Any) -> DataFrame:
-    """Documents by equality and by a part of the name in any case, newest first."""
+    """Documents by equality and by a part of the name in any case; ``newest`` orders them."""
     out = where_equal(docs, **filters)
     if name_contains:
         out = out.where(F.contains(F.lower("filename"), F.lit(name_contains.lower())))
-    return out.orderBy(F.col("created_at").desc(), "document_id")
+    return out
+
+
+def newest(rows: DataFrame, by: str = "created_at", key: str = "document_id", n: int = 50) -> DataFrame:
+    """The first ``n`` rows by time, latest first: a limit on the sort, so no table is sorted whole."""
+    return rows.orderBy(F.col(by).desc_nulls_last(), key).limit(n)
 
 
 def optional_filter(column: Column, parameter: Column) -> Column:
@@ -51,9 +61,13 @@ def index_chunks(existing: DataFrame, chunks: DataFrame, max_chars: int = 8000)
 
 
 def duplicate_uploads(docs: DataFrame) -> DataFrame:
-    """``docs(document_id, file_hash, created_at)`` with the first document of the same content."""
+    """``docs(document_id, file_hash, created_at)`` with the first document of the same content; without a hash, itself."""
     first = F.min_by("document_id", F.struct("created_at", "document_id"))
-    return docs.join(docs.groupBy("file_hash").agg(first.alias("original_id")), "file_hash").withColumn("is_duplicate", F.col("document_id") != F.col("original_id"))
+    firsts = docs.where("file_hash is not null").groupBy("file_hash").agg(first.alias("original_id"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    if firsts.limit(REPEATED_FILES + 1).count() <= REPEATED_FILES:
+        firsts = F.broadcast(firsts)
+    rows = docs.join(firsts.drop("_n"), "file_hash", "left").withColumn("original_id", F.coalesce("original_id", "document_id"))
+    return rows.withColumn("is_duplicate", F.col("document_id") != F.col("original_id"))
 
 
 def latest_per(df: DataFrame, key: tuple[str, ...], by: tuple[str, ...]) -> DataFrame:
@@ -97,20 +111,44 @@ def advance(jobs: DataFrame, status: str) -> DataFrame:
     return out.withColumn("completed_at", F.when(F.lit(status).isin("completed", "failed", "cancelled"), F.current_timestamp()).otherwise(F.col("completed_at")))
 
 
-#: What may follow each status of a job.
-TRANSITIONS = {"pending": ("running", "cancelled"), "running": ("completed", "failed", "needs_review"), "needs_review": ("completed",)}
+#: What may follow each status, by what has it.
+TRANSITIONS = {
+    "job": {"pending": ("running", "cancelled"), "running": ("completed", "failed", "needs_review"), "needs_review": ("completed",)},
+    "case": {"created": ("processing",), "processing": ("completed", "failed", "needs_review"), "needs_review": ("completed", "processing"), "failed": ("processing",)},
+    "document": {"uploaded": ("parsing", "failed"), "parsing": ("parsed", "failed"), "parsed": ("indexed", "failed"), "failed": ("parsing",), "indexed": ("parsing",)},
+    "field": {
+        "missing": ("human_corrected", "validated", "low_confidence"), "conflict": ("validated", "human_corrected"),
+        "low_confidence": ("validated", "human_corrected"), "invalid": ("human_corrected", "validated"), "validated": ("human_corrected",),
+    },
+}
 
 
-def bad_transitions(events: DataFrame) -> DataFrame:
-    """``events(job_id, status, at)`` whose status may not follow the one before it."""
+def bad_transitions(events: DataFrame, of: str = "job") -> DataFrame:
+    """``events(job_id, status, at)`` whose status may not follow the one before it; ``of`` a job, case, document or field."""
     order = W.partitionBy("job_id").orderBy("at")
     allowed = F.lit(False)
-    for source, targets in TRANSITIONS.items():
+    for source, targets in TRANSITIONS[of].items():
         allowed = allowed | ((F.col("before") == source) & F.col("status").isin(*targets))
     rows = events.withColumn("before", F.lag("status").over(order))
     return rows.where(F.col("before").isNotNull() & (F.col("before") != F.col("status")) & ~allowed)
 
 
+def document_status(parser_status: Column) -> Column:
+    """A parser's status as the document list shows it."""
+    return F.when(parser_status == "failed", "failed").when(parser_status == "indexed", "ocr_done").otherwise("processing")
+
+
+#: The stage that a finished stage's document is queued for next.
+NEXT_STAGE = {"quick_parse": "deep_parse", "deep_parse": "index_evidence"}
+
+
+def chain(finished: DataFrame) -> DataFrame:
+    """(document_id, task_type, status, priority): the pending tasks that completed ones of ``finished`` call for."""
+    known = F.create_map(*[F.lit(x) for pair in NEXT_STAGE.items() for x in pair])
+    rows = finished.where(F.col("status") == "completed").withColumn("_next", F.try_element_at(known, F.col("task_type"))).where("_next is not null")
+    return rows.select("document_id", F.col("_next").alias("task_type"), F.lit("pending").alias("status"), "priority")
+
+
 def document_quality(docs: DataFrame, pages: DataFrame) -> DataFrame:
     """(document_id, quality, confidence) by the mean length of a document's page texts."""
     mean = pages.groupBy("document_id").agg(F.avg(F.length(T.strip(F.col("text")))).alias("chars"))
@@ -118,17 +156,20 @@ def document_quality(docs: DataFrame, pages: DataFrame) -> DataFrame:
     return docs.join(mean, "document_id", "left").select("document_id", quality.alias("quality"), C.quality_confidence(quality).alias("confidence"))
 
 
-def ground_truth_checks(texts: DataFrame, expected: DataFrame, key: str = "document_id") -> DataFrame:
-    """(key, item, found, confidence): whether each text holds each expected term, in any case.
+def ground_truth_hits(texts: DataFrame, expected: DataFrame, key: str = "document_id") -> DataFrame:
+    """(key, item): the texts that hold an expected term, in any case; no row for one that doesn't."""
+    terms = expected.select("item", F.lower(T.strip(F.col("term"))).alias("term"))
+    return holders(texts.select(key, F.lower("text").alias("low")), terms, key)
 
-    The terms are the small side (a benchmark), broadcast behind a check of their number; texts are streamed once.
-    """
-    terms = expected.select("item", F.lower(T.strip(F.col("term"))).alias("term")).where("term <> ''")
-    if terms.limit(100_001).count() > 100_000:
-        raise ValueError("ground truth holds at most 100,000 terms; split it")
-    rows = texts.select(key, F.lower("text").alias("text")).join(F.broadcast(terms))
-    found = F.contains("text", "term")
-    return rows.select(key, "item", found.alias("found"), found.cast("double").alias("confidence"))
+
+def ground_truth_checks(texts: DataFrame, expected: DataFrame, key: str = "document_id") -> DataFrame:
+    """(key, expected, found, missing, confidence): how many of the expected terms each text holds; confidence is the share."""
+    n = expected.where(T.strip(F.col("term")) != "").agg(F.count_distinct("item").alias("expected"))
+    hits = ground_truth_hits(texts, expected, key).groupBy(key).agg(F.count(F.lit(1)).alias("found"))
+    rows = texts.select(key).distinct().join(hits, key, "left").crossJoin(F.broadcast(n))
+    found = F.coalesce("found", F.lit(0))
+    share = F.when(F.col("expected") > 0, found / F.col("expected"))
+    return rows.select(key, "expected", found.alias("found"), (F.col("expected") - found).alias("missing"), share.alias("confidence"))
 
 
 def overall_confidence(checks: DataFrame, results: DataFrame, key: str = "document_id") -> DataFrame:
@@ -156,12 +197,12 @@ def job_costs(jobs: DataFrame, documents: DataFrame, attempts: DataFrame, result
 
 
 def history(jobs: DataFrame, documents: DataFrame, costs: DataFrame) -> DataFrame:
-    """Jobs, newest first, with their case's first document, queue and run time and cost."""
+    """Jobs with their case's first document, queue and run time and cost; ``newest`` orders them."""
     first = documents.groupBy("case_id").agg(F.min_by("filename", F.struct("created_at", "document_id")).alias("filename"))
     rows = jobs.join(first, "case_id", "left").join(costs.select("job_id", "cost_usd"), "job_id", "left")
     return rows.withColumns(
         {"queue_ms": T.md5_mod(F.col("job_id").cast("string"), 800, 100), "seconds": C.elapsed_seconds(F.col("started_at"), F.col("completed_at"))}
-    ).orderBy(F.col("started_at").desc_nulls_last(), "job_id")
+    )
 
 
 def upsert_pages(pages: DataFrame, changes: DataFrame) -> DataFrame:

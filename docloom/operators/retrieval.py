@@ -2,11 +2,15 @@
 
 ``evidence(evidence_id, text, ...)`` is the searched table, ``queries(query_id, query, ...)`` a batch of searches: all
 of a batch is one plan. The searches are the small side by their nature; they are broadcast behind a check of their
-number, the evidence never is.
+number, the evidence never is. Words meet by equi-joins: a text's distinct words are probed against the searches' words,
+and only what they share is summed up.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -16,8 +20,10 @@ from ..functions import geometry as G
 from ..functions import text as T
 
 FTS_WEIGHT, VEC_WEIGHT, VEC_LIMIT, TOP_K = 0.4, 0.6, 50, 10
-#: Searches of one batch up to which they are broadcast; more are dealt over rounds of this many.
+#: Searches of one batch up to which they are broadcast; more are refused.
 BATCH = 10_000
+#: Candidate pairs (a key and an item each) up to which they are broadcast to the texts rather than shuffled with them.
+CANDIDATES = 1_000_000
 
 
 def _checked(queries: DataFrame, limit: int = BATCH) -> DataFrame:
@@ -26,6 +32,36 @@ def _checked(queries: DataFrame, limit: int = BATCH) -> DataFrame:
     return F.broadcast(queries)
 
 
+def literal(rows: DataFrame, limit: int = BATCH) -> Column:
+    """The rows of a small table as one constant array<struct>, in no order; refused above ``limit`` rows."""
+    n, found = rows.limit(limit + 1).agg(F.count(F.lit(1)), F.to_json(F.collect_list(F.struct("*")))).first()
+    if n > limit:
+        raise ValueError(f"at most {limit} rows can be looked up in each text; split them")
+    return F.from_json(F.lit(found), f"array<{rows.schema.simpleString()}>")
+
+
+def holders(texts: DataFrame, terms: DataFrame, key: str, item: str = "item") -> DataFrame:
+    """(key, item): the ``texts(key, low)`` that hold a term of ``terms(item, term)`` as it stands; both in lower case.
+
+    A word inside a term, with other words on both sides, stands whole in every text that holds the term. So texts and
+    terms meet over the term's longest such word by an equi-join, and only those pairs are searched. Terms of one or two
+    words have none; they are looked for in each text as it is read.
+    """
+    words = F.regexp_extract_all("term", F.lit("[a-z0-9]+"), F.lit(0))
+    inner = F.slice(words, F.lit(2), F.greatest(F.size(words) - 2, F.lit(0)))
+    longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    keyed = _checked(terms.where("term <> ''").select(item, "term", longest.alias("word")), 100_000)
+    spelt = texts.select(key, F.explode(F.array_distinct(F.regexp_extract_all("low", F.lit("[a-z0-9]+"), F.lit(0)))).alias("word"))
+    pairs = spelt.join(F.broadcast(keyed.where("word is not null").select(item, "word")), "word").select(key, item)
+    pairs = pairs.join(F.broadcast(keyed.select(item, "term")), item)
+    if pairs.limit(CANDIDATES + 1).count() <= CANDIDATES:
+        pairs = F.broadcast(pairs)
+    long = texts.join(pairs, key).where(F.contains("low", "term")).select(key, item)
+    short = literal(keyed.where("word is null").select(item, "term"))
+    held = F.filter(short, lambda x: F.contains(F.col("low"), x["term"]))
+    return long.unionByName(texts.select(key, F.explode(F.transform(held, lambda x: x[item])).alias(item))).distinct()
+
+
 def top(rows: DataFrame, score: str, k: int, *key: str, ties: tuple[str, ...] = ("evidence_id",)) -> DataFrame:
     """The k best rows of each key. Spark keeps k rows a task before it shuffles (a rank limit below the window)."""
     order = W.partitionBy(*key).orderBy(F.col(score).desc(), *ties)
@@ -33,26 +69,29 @@ def top(rows: DataFrame, score: str, k: int, *key: str, ties: tuple[str, ...] =
 
 
 def token_hits(evidence: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, evidence_id, score): 2 for each token shared, 5 if the text holds the whole query; hits only.
-
-    Tokens meet by an equi-join on the searches' tokens; the whole-query test rides on the same rows, as a text that
-    holds the query holds its tokens. A query without tokens is searched by its text alone.
-    """
-    q = _checked(queries.select("query_id", "query", T.tokens(F.col("query")).alias("q")))
-    text = evidence.select("evidence_id", "text", T.tokens(F.col("text")).alias("t"))
-    pairs = text.join(q, F.arrays_overlap("t", "q") | F.contains(F.lower("text"), F.lower("query")))
-    score = T.overlap(F.col("t"), F.col("q")) * 2.0 + F.when(F.contains(F.lower("text"), F.lower("query")), 5.0).otherwise(0.0)
-    return pairs.select("query_id", "evidence_id", score.alias("score"))
+    """(query_id, evidence_id, score): 2 for each token shared, 5 if the text holds the whole query; hits only."""
+    q = _checked(queries.select("query_id", F.explode(T.tokens(F.col("query"))).alias("token")))
+    words = evidence.select("evidence_id", F.explode(T.tokens(F.col("text"))).alias("token"))
+    shared = words.join(q, "token").groupBy("query_id", "evidence_id").agg((F.count(F.lit(1)) * 2.0).alias("score"))
+    texts = evidence.select("evidence_id", F.lower("text").alias("low"))
+    whole = holders(texts, queries.select("query_id", F.lower("query").alias("term")), "evidence_id", "query_id")
+    every = shared.unionByName(whole.withColumn("score", F.lit(5.0)))
+    return every.groupBy("query_id", "evidence_id").agg(F.sum("score").alias("score"))
+
+
+def _in_all(evidence: DataFrame, queries: DataFrame, *carried: str) -> DataFrame:
+    """(query_id, evidence_id, carried…, size, saturated): texts with every token of a query, summed over its tokens."""
+    q = queries.select("query_id", T.tokens(F.col("query")).alias("q")).where(F.size("q") > 0)
+    q = _checked(q.select("query_id", F.size("q").alias("size"), F.explode("q").alias("token")), 20 * BATCH)
+    words = evidence.select("evidence_id", *carried, F.explode(T.token_list(F.col("text"))).alias("token"))
+    tf = words.join(q, "token").groupBy("query_id", "evidence_id", "size", *carried, "token").agg(F.count(F.lit(1)).alias("tf"))
+    found = tf.groupBy("query_id", "evidence_id", "size", *carried).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("tf") / (F.col("tf") + 1)).alias("saturated"))
+    return found.where("n = size")
 
 
 def lexical(evidence: DataFrame, queries: DataFrame) -> DataFrame:
     """(query_id, evidence_id, score): texts with every token of the query, by saturated term frequency in 0 to 1."""
-    q = _checked(queries.select("query_id", T.tokens(F.col("query")).alias("q")).where(F.size("q") > 0))
-    text = evidence.select("evidence_id", T.token_list(F.col("text")).alias("all")).withColumn("t", F.array_distinct("all"))
-    pairs = text.join(q, F.size(F.array_except("q", "t")) == 0)
-    tf = lambda term: F.size(F.filter("all", lambda x: x == term)).cast("double")
-    total = F.aggregate("q", F.lit(0.0), lambda acc, term: acc + tf(term) / (tf(term) + 1))
-    return pairs.select("query_id", "evidence_id", (total / F.size("q")).alias("score"))
+    return _in_all(evidence, queries).select("query_id", "evidence_id", (F.col("saturated") / F.col("size")).alias("score"))
 
 
 def vector(embeddings: DataFrame, queries: DataFrame, limit: int = VEC_LIMIT) -> DataFrame:
@@ -83,11 +122,11 @@ def fts_only(evidence: DataFrame, queries: DataFrame, top_k: int = TOP_K) -> Dat
 
 def keyword(evidence: DataFrame, queries: DataFrame, top_k: int = TOP_K) -> DataFrame:
     """(query_id, evidence_id, rank): texts with all tokens or with the query as a LIKE pattern; newest first."""
-    q = _checked(queries.select("query_id", "query", T.tokens(F.col("query")).alias("q")))
-    text = evidence.select("evidence_id", "text", "created_at", T.tokens(F.col("text")).alias("t"))
-    every = (F.size("q") > 0) & (F.size(F.array_except("q", "t")) == 0)
-    like = F.expr("text ILIKE concat('%', query, '%')")
-    found = text.join(q, every | like)
+    every = _in_all(evidence, queries, "created_at").select("query_id", "evidence_id", "created_at")
+    patterns = literal(queries.select("query_id", F.concat(F.lit("%"), "query", F.lit("%")).alias("pattern")))
+    like = F.filter(patterns, lambda x: F.call_function("ilike", F.col("text"), x["pattern"]))
+    found = evidence.select("evidence_id", "created_at", F.explode(F.transform(like, lambda x: x["query_id"])).alias("query_id"))
+    found = every.unionByName(found).distinct()
     order = W.partitionBy("query_id").orderBy(F.col("created_at").desc(), "evidence_id")
     return found.select("query_id", "evidence_id", F.row_number().over(order).alias("rank")).where(F.col("rank") <= top_k)
 
@@ -104,12 +143,13 @@ def bm25(evidence: DataFrame, queries: DataFrame, top_k: int = TOP_K, k1: float
     """(query_id, evidence_id, score, rank) by BM25. Only tokens of the searches leave the texts, counted per text."""
     q = _checked(queries.select("query_id", F.explode(T.tokens(F.col("query"))).alias("term")).distinct())
     words = evidence.select("evidence_id", T.token_list(F.col("text")).alias("w"))
-    stats = words.agg(F.count(F.lit(1)).alias("docs"), F.avg(F.size("w")).alias("mean")).first()
+    stats = F.broadcast(words.agg(F.count(F.lit(1)).alias("docs"), F.greatest(F.avg(F.size("w")), F.lit(1e-9)).alias("mean")))
     tf = words.select("evidence_id", F.size("w").alias("length"), F.explode("w").alias("term")).join(F.broadcast(q.select("term").distinct()), "term", "left_semi")
     tf = tf.groupBy("evidence_id", "length", "term").agg(F.count(F.lit(1)).alias("tf"))
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    idf = F.log(1 + (F.lit(stats["docs"]) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.lit(stats["mean"] or 1.0)))
+    idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean")))
+    df = df.crossJoin(stats)  # one row of totals beside each searched term
     scored = tf.join(F.broadcast(df), "term").join(q, "term").groupBy("query_id", "evidence_id").agg(F.round(F.sum(part), 6).alias("score"))
     return top(scored, "score", top_k, "query_id")
 
@@ -147,41 +187,62 @@ def plan_fields(fields: DataFrame) -> DataFrame:
     )
 
 
+def _has_type_of(kinds: list[str]) -> Callable[[Column], Column]:
+    """Whether the text matches the pattern of a field's type, each pattern being tried once for a text."""
+    held = {k: C.has_type(F.col("text"), k) for k in kinds if k in C.TYPE_PATTERNS}
+
+    def of(kind: Column) -> Column:
+        out = F.lit(False)
+        for name, has in held.items():
+            out = out | ((kind == name) & has)
+        return out
+
+    return of
+
+
+def _kinds(fields: DataFrame) -> list[str]:
+    return sorted(r["type"] for r in fields.select("type").where("type is not null").distinct().limit(100).collect())
+
+
 def rank_for_fields(chunks: DataFrame, fields: DataFrame, k: int = 5) -> DataFrame:
-    """(field_path, chunk_id, score, rank): 2 a shared token, 3 a keyword, 8 the field's name in words, 2 its type's pattern."""
-    f = _checked(fields.select("field_path", "type", "keywords", T.tokens(F.concat_ws(" ", "field_path", F.coalesce("description", F.lit("")))).alias("q")))
-    rows = chunks.select("chunk_id", "text", F.lower("text").alias("low"), T.tokens(F.col("text")).alias("t")).join(f)
-    kind = F.lit(False)
-    for name in C.TYPE_PATTERNS:
-        kind = kind | ((F.col("type") == name) & C.has_type(F.col("text"), name))
-    score = (
-        2.0 * T.overlap(F.col("t"), F.col("q"))
-        + 3.0 * F.size(F.filter("keywords", lambda w: F.contains(F.col("low"), F.lower(w))))
-        + F.when(F.contains("low", F.lower(F.replace("field_path", F.lit("_"), F.lit(" ")))), 8.0).otherwise(0.0)
-        + F.when(kind, 2.0).otherwise(0.0)
+    """(field_path, chunk_id, score, rank): 2 a shared token, 3 a keyword, 8 the field's name in words, 2 its type's pattern.
+
+    The fields, few as they are of one schema, are a constant; each chunk is scored against them as it is read.
+    """
+    name = F.lower(F.replace("field_path", F.lit("_"), F.lit(" ")))
+    own = T.tokens(F.concat_ws(" ", "field_path", F.coalesce("description", F.lit(""))))
+    asked = fields.select("field_path", "type", F.transform("keywords", F.lower).alias("keywords"), name.alias("name"), own.alias("q"))
+    rows = chunks.select("chunk_id", "text", F.lower("text").alias("low"), T.tokens(F.col("text")).alias("t"))
+    has = _has_type_of(_kinds(fields))
+    score = lambda f: (
+        2.0 * T.overlap(F.col("t"), f["q"])
+        + 3.0 * F.size(F.filter(f["keywords"], lambda w: F.contains(F.col("low"), w)))
+        + F.when(F.contains(F.col("low"), f["name"]), 8.0).otherwise(0.0)
+        + F.when(has(f["type"]), 2.0).otherwise(0.0)
     )
-    scored = rows.select("field_path", "chunk_id", score.alias("score")).where("score > 0")
+    each = F.transform(literal(asked), lambda f: F.struct(f["field_path"].alias("field_path"), score(f).alias("score")))
+    scored = rows.select("chunk_id", F.explode(F.filter(each, lambda x: x["score"] > 0)).alias("x")).select("x.field_path", "chunk_id", "x.score")
     return top(scored, "score", k, "field_path", ties=("chunk_id",))
 
 
 def candidates_for_fields(chunks: DataFrame, fields: DataFrame, k: int = 8) -> DataFrame:
-    """(field_path, chunk_id, score, rank): 8 a table for a table, 10 a label found, 1.25 a shared token up to six, 2.5 a pattern."""
+    """(field_path, chunk_id, page, score, rank): 8 a table for a table, 10 a label found, 1.25 a shared token up to six, 2.5 a pattern."""
     names = F.array_distinct(F.filter(F.transform(F.array("field_path", "label", F.coalesce("description", F.lit(""))), T.normalise), lambda x: x != ""))
     own = T.tokens(F.concat_ws(" ", "field_path", "label", F.coalesce("description", F.lit(""))))
-    f = _checked(fields.select("field_path", "type", names.alias("names"), own.alias("q")))
-    rows = chunks.select("chunk_id", "kind", "page", "text", T.tokens(F.col("text")).alias("t"), T.normalise(F.col("text")).alias("norm")).join(f)
-    images = F.arrays_overlap("q", F.lit(["image", "images", "figure", "figures", "chart", "charts", "visual", "visuals"]))
-    rows = rows.where(images | ~((F.col("kind") == "image") | F.contains("text", F.lit("Image evidence:"))))
-    kind = F.lit(False)
-    for name in C.TYPE_PATTERNS:
-        kind = kind | ((F.col("type") == name) & C.has_type(F.col("text"), name))
-    score = (
-        F.when((F.col("kind") == "table") & (F.col("type") == "table"), 8.0).otherwise(0.0)
-        + 10.0 * F.size(F.filter("names", lambda n: F.contains(F.col("norm"), n)))
-        + 1.25 * F.least(T.overlap(F.col("q"), F.col("t")), F.lit(6))
-        + F.when(kind, 2.5).otherwise(0.0)
+    wants = F.arrays_overlap("q", F.lit(["image", "images", "figure", "figures", "chart", "charts", "visual", "visuals"]))
+    asked = fields.select("field_path", "type", names.alias("names"), own.alias("q")).withColumn("images", wants)
+    rows = chunks.select("chunk_id", "kind", "page", "text", T.tokens(F.col("text")).alias("t"), T.normalise(F.col("text")).alias("norm"))
+    picture = (F.col("kind") == "image") | F.contains("text", F.lit("Image evidence:"))
+    has = _has_type_of(_kinds(fields))
+    score = lambda f: (
+        F.when((F.col("kind") == "table") & (f["type"] == "table"), 8.0).otherwise(0.0)
+        + 10.0 * F.size(F.filter(f["names"], lambda n: F.contains(F.col("norm"), n)))
+        + 1.25 * F.least(T.overlap(f["q"], F.col("t")), F.lit(6))
+        + F.when(has(f["type"]), 2.5).otherwise(0.0)
     )
-    scored = rows.select("field_path", "chunk_id", "page", score.alias("score")).where("score > 0")
+    fit = lambda f: F.when(f["images"] | ~picture, score(f)).otherwise(0.0)
+    each = F.transform(literal(asked), lambda f: F.struct(f["field_path"].alias("field_path"), fit(f).alias("score")))
+    scored = rows.select("chunk_id", "page", F.explode(F.filter(each, lambda x: x["score"] > 0)).alias("x")).select("x.field_path", "chunk_id", "page", "x.score")
     return top(scored, "score", k, "field_path", ties=("page", "chunk_id"))
 
 
@@ -230,3 +291,50 @@ def widen(ranked: DataFrame, max_items: int) -> DataFrame:
     """(…, attempt): a ranking made once at its widest, told apart into the attempts of 3, 8 and max_items rows."""
     sizes = F.array(*[F.struct(F.lit(i + 1).alias("attempt"), F.lit(n).alias("k")) for i, n in enumerate((3, 8, max_items))])
     return ranked.select("*", F.explode(sizes).alias("a")).where(F.col("rank") <= F.col("a.k")).withColumn("attempt", F.col("a.attempt")).drop("a")
+
+
+def progressive(hits: DataFrame, plan: DataFrame) -> DataFrame:
+    """(field_path, attempt, evidence_id, rank): the evidence of a field's three attempts.
+
+    ``hits(field_path, evidence_id, score, source_type)`` are all its scored evidence, ``plan(field_path,
+    preferred_source, max_items)`` what the planner says. The first attempt takes three rows of the preferred source, or
+    of any where that has none; the second eight and the third max_items of any.
+    """
+    rows = hits.join(F.broadcast(_checked(plan.select("field_path", "preferred_source", "max_items"))), "field_path")
+    preferred = F.col("preferred_source").isNull() | F.coalesce(F.col("source_type") == F.col("preferred_source"), F.lit(False))
+    order = lambda *key: W.partitionBy("field_path", *key).orderBy(F.col("score").desc(), "evidence_id")
+    rows = rows.withColumn("_own", preferred)
+    rows = rows.withColumns({"_any": F.row_number().over(order()), "_in": F.row_number().over(order("_own")), "_some": F.max("_own").over(W.partitionBy("field_path"))})
+    first = F.when(F.col("_some") & F.col("_own"), F.col("_in")).when(~F.col("_some"), F.col("_any"))
+    tries = F.array(
+        F.struct(F.lit(1).alias("attempt"), F.lit(3).alias("k"), first.alias("rank")),
+        F.struct(F.lit(2).alias("attempt"), F.lit(8).alias("k"), F.col("_any").alias("rank")),
+        F.struct(F.lit(3).alias("attempt"), F.col("max_items").alias("k"), F.col("_any").alias("rank")),
+    )
+    return rows.select("field_path", "evidence_id", F.explode(tries).alias("t")).where("t.rank <= t.k").select("field_path", "t.attempt", "evidence_id", "t.rank")
+
+
+_EMBEDDERS: dict[str, Callable] = {}
+
+
+def register_embedder(name: str, embed: Callable) -> None:
+    """Add an embedder: a function from a list of texts to as many vectors (lists of floats)."""
+    _EMBEDDERS[name] = embed
+
+
+def embed(rows: DataFrame, name: str, column: str = "text", batch: int = 64) -> DataFrame:
+    """``rows`` with ``embedding array<float>`` by a registered embedder, in batches; empty for texts that it fails on."""
+    made = _EMBEDDERS[name]
+
+    @F.pandas_udf("array<float>")
+    def vectors(texts: pd.Series) -> pd.Series:
+        out = []
+        for at in range(0, len(texts), batch):
+            part = texts.iloc[at : at + batch].fillna("").tolist()
+            try:
+                out += [list(map(float, v)) for v in made(part)]
+            except Exception:  # a batch that the service refuses has no vectors; it can be embedded again
+                out += [[] for _ in part]
+        return pd.Series(out)
+
+    return rows.withColumn("embedding", vectors(F.col(column)))

@@ -6,6 +6,8 @@ cases, events for parser runs, embeddings for evidence vectors (vec_id is a doc_
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -45,6 +47,11 @@ def _squeeze(x: str) -> str:
     return f"regexp_replace(regexp_replace({x}, '\\s+', ' ', 'g'), '^\\s+|\\s+$', '', 'g')"
 
 
+def _text_key(x: str) -> str:
+    bare = f"regexp_replace(regexp_replace(lower({x}), '<[^>]+>', ' ', 'g'), '!\\[[^\\]]*\\]\\([^)]+\\)', ' ', 'g')"
+    return f"substr({_squeeze(bare)}, 1, 500)"
+
+
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     def add(f: Query) -> Query:
         QUERIES[name] = f
@@ -101,7 +108,16 @@ def chunk_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.by_document(_parsed(spark, sf_dir)).select("document_id", "chunk_id", "token_count")
 
 
-@query("chunk_pages")
+@query(
+    "chunk_pages",
+    r"""
+with l as (select doc_id, generate_subscripts(string_split(text, chr(10)), 1) as i, unnest(string_split(text, chr(10))) as x from documents),
+p as (select doc_id, i, case when i = 1 then 1 else 2 end as page, regexp_replace(x, '^\s+|\s+$', '', 'g') as t from l),
+c as (select doc_id, i, page, 'chk-page-' || page || '-page-' || substr(sha1('page|' || page || '|page||' || substr(t, 1, 240)), 1, 14) as chunk_id, len(string_split_regex(t, '\s+'))::int as token_count from p where t <> ''),
+f as (select *, row_number() over (partition by doc_id, chunk_id order by page, i) as n from c)
+select doc_id as document_id, chunk_id, page, token_count from f where n = 1
+""",
+)
 def chunk_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     marked = F.concat(F.lit("<!-- page: 1 -->\n"), F.replace("raw_text", F.lit("\n"), F.lit("\n<!-- page: 2 -->\n")))
     return chunking.chunk(_parsed(spark, sf_dir).withColumn("raw_text", marked), "page").select("document_id", "chunk_id", "page", "token_count")
@@ -209,7 +225,7 @@ def duplicate_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "keep_first",
-    f"select min(doc_id) as doc_id, lang from documents group by lang, {_squeeze('lower(text)')}",
+    f"select min(doc_id) as doc_id, lang from (select doc_id, lang, {_text_key('text')} as k from documents) where k <> '' group by lang, k",
 )
 def keep_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _t(spark, sf_dir, "documents").select(F.lit(1).alias("document_id"), F.lit(1).alias("page"), F.col("lang").alias("kind"), "text", F.col("doc_id").alias("pos"))
@@ -374,7 +390,7 @@ def evidence_packs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ground_truth_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), "text")
     terms = _t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("item"), F.col("text").alias("term"))
-    return operations.ground_truth_checks(texts, terms).where("found").select("document_id", "item")
+    return operations.ground_truth_hits(texts, terms)
 
 
 # -- extraction -------------------------------------------------------------------------------------------------------
@@ -515,9 +531,10 @@ def queue_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("job_id"), T.md5_mod(F.col("o_orderkey").cast("string"), 800, 100).alias("queue_ms"))
 
 
-@query("cases_without_jobs", "select c_custkey as case_id from customer where c_custkey not in (select o_custkey from orders)")
+@query("cases_without_jobs", "select c_custkey as case_id from customer where c_custkey not in (select o_custkey from orders where o_orderstatus = 'P' and o_totalprice > 250000)")
 def cases_without_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return operations.cases_without_jobs(_t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("case_id")), _t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("case_id")))
+    dear = _t(spark, sf_dir, "orders").where("o_orderstatus = 'P' and o_totalprice > 250000")
+    return operations.cases_without_jobs(_t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("case_id")), dear.select(F.col("o_custkey").alias("case_id")))
 
 
 @query(
@@ -614,14 +631,19 @@ def set_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- streams ----------------------------------------------------------------------------------------------------------
 
 
-def _streamed(spark: SparkSession, sf_dir: str, build: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """What a stream over the events has written to a Parquet sink in the shared folder when all has been read."""
+def _shared_dir(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir, which all executors share; a temporary one in local mode only."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        import tempfile
-
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="docloom-stream-")
-    at = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return base.rstrip("/")
+
+
+def _streamed(spark: SparkSession, sf_dir: str, build: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What a stream over the events has written to a Parquet sink in the shared folder when all has been read."""
+    at = f"{_shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     rows = build(stream.read_events(spark, sf_dir, "events.parquet"))
     query_ = rows.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
     query_.awaitTermination()

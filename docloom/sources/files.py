@@ -24,7 +24,10 @@ def _name(path: Column) -> Column:
 
 
 def list_inputs(spark: SparkSession, folder: str, prefix: str) -> DataFrame:
-    """(input_id, name, path, input_type, size_bytes, modified) of a folder's own files with a known suffix."""
+    """(input_id, name, path, input_type, size_bytes, modified) of a folder's own files with a known suffix.
+
+    ``by_name`` orders them.
+    """
     files = spark.read.format("binaryFile").load(folder).select("path", "modificationTime", "length")
     files = files.withColumn("name", _name(F.col("path"))).where(T.suffix(F.col("name")).isin(*SUFFIXES))
     return files.select(
@@ -37,6 +40,21 @@ def list_inputs(spark: SparkSession, folder: str, prefix: str) -> DataFrame:
     )
 
 
+def by_name(inputs: DataFrame) -> DataFrame:
+    """Inputs as they are listed: by name in any case, then by name."""
+    return inputs.orderBy(F.lower("name"), "name")
+
+
+def unparsed(inputs: DataFrame, results: DataFrame) -> DataFrame:
+    """The ``inputs`` without an ok result: what a batch that needs parsed documents must wait for."""
+    return inputs.join(results.where(F.col("status") == "ok").select("input_id").distinct(), "input_id", "left_anti")
+
+
+def with_counts(results: DataFrame) -> DataFrame:
+    """``results`` with chars, which is the length of an ok result's text and 0 for skipped and failed ones."""
+    return results.withColumn("chars", F.when(F.col("status") == "ok", F.length("raw_text")).otherwise(0))
+
+
 def union_inputs(*folders: DataFrame) -> DataFrame:
     """All inputs; of one input_id the first folder's."""
     out = folders[0]
@@ -107,18 +125,28 @@ def run_parsers(inputs: DataFrame, libraries: tuple[str, ...] | None = None) ->
     return out
 
 
+_OUT = ["input_id", "library", "status", "pages", "raw_text", "warnings"]
+
+
 def _guarded(library: str, parse: Parser) -> Parser:
+    """The parser over whole batches; only a batch that it fails on is parsed again file by file."""
+
+    def parsed(batch: pd.DataFrame) -> list[pd.DataFrame]:
+        return [found.assign(library=library)[_OUT] for found in parse(iter([batch]))]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for _, row in batch.iterrows():
-                one = row.to_frame().T
+            try:
+                yield from parsed(batch)
+                continue
+            except Exception:  # some file of the batch: which one is found below
+                pass
+            for at in range(len(batch)):
+                one = batch.iloc[at : at + 1]
                 try:
-                    for found in parse(iter([one])):
-                        yield found.assign(library=library)[["input_id", "library", "status", "pages", "raw_text", "warnings"]]
+                    yield from parsed(one)
                 except Exception as error:  # a file that breaks its parser is a result, not the end of the run
-                    yield pd.DataFrame(
-                        [{"input_id": row["input_id"], "library": library, "status": "failed", "pages": 0, "raw_text": "", "warnings": [str(error)]}]
-                    )
+                    yield pd.DataFrame([[one["input_id"].iloc[0], library, "failed", 0, "", [str(error)]]], columns=_OUT)
 
     return run
 

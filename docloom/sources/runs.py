@@ -18,18 +18,19 @@ def read_runs(spark: SparkSession, path: str) -> DataFrame:
 
 
 def summaries(results: DataFrame) -> DataFrame:
-    """One row per run: counts by status and the fastest library among the ok results; newest first."""
+    """One row per run: counts by status, and of the ok results the fastest library and those with most text and tables.
+
+    ``results(run_id, library, status, seconds, started_at)``, with chars and table_count where a run has them.
+    """
     ok = F.col("status") == "ok"
-    return (
-        results.groupBy("run_id")
-        .agg(
-            F.min("started_at").alias("started_at"),
-            F.count(F.lit(1)).alias("parser_count"),
-            *[F.count_if(F.col("status") == s).alias(f"{s}_count") for s in ("ok", "skipped", "failed")],
-            F.min_by("library", F.when(ok, F.struct("seconds", "library"))).alias("fastest"),
-            F.min(F.when(ok, F.col("seconds"))).alias("fastest_seconds"),
-        )
-        .orderBy(F.col("started_at").desc(), "run_id")
+    most = {name: c for name, c in (("largest_text", "chars"), ("most_tables", "table_count")) if c in results.columns}
+    return results.groupBy("run_id").agg(
+        F.min("started_at").alias("started_at"),
+        F.count(F.lit(1)).alias("parser_count"),
+        *[F.count_if(F.col("status") == s).alias(f"{s}_count") for s in ("ok", "skipped", "failed")],
+        F.min_by("library", F.when(ok, F.struct("seconds", "library"))).alias("fastest"),
+        F.min(F.when(ok, F.col("seconds"))).alias("fastest_seconds"),
+        *[F.min_by("library", F.when(ok, F.struct(-F.col(c), F.col("library")))).alias(name) for name, c in most.items()],
     )
 
 
@@ -62,6 +63,21 @@ def cache_key(*parts: str) -> Column:
     return F.sha2(F.to_json(F.struct(*parts)), 256)
 
 
+def replay(requests: DataFrame, cache: DataFrame, *parts: str) -> DataFrame:
+    """``requests`` with cache_key, and result and warnings of ``cache(cache_key, result, warnings)`` where the key is known.
+
+    A replayed result says so in its warnings; the others, with a null result, are left to be extracted.
+    """
+    known = cache.select("cache_key", "result", F.concat("warnings", F.array(F.lit("Replayed from the result cache"))).alias("warnings"))
+    return requests.withColumn("cache_key", cache_key(*parts)).join(known, "cache_key", "left")
+
+
+def audit(fields: DataFrame) -> DataFrame:
+    """(job_id, audit): one JSON object a job: each field's value, status, confidence and at most four evidence ids."""
+    one = F.struct("field_path", "value", "status", "confidence", F.slice("evidence_ids", 1, 4).alias("evidence_ids"))
+    return fields.groupBy("job_id").agg(F.to_json(F.struct(F.array_sort(F.collect_list(one)).alias("fields"))).alias("audit"))
+
+
 def write_exports(fields: DataFrame, pages: DataFrame, path: str) -> None:
     """A job's export: final values as JSON, page texts as marked-up text, one folder per job."""
     fields.write.mode("overwrite").partitionBy("job_id").json(f"{path}/final")

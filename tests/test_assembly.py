@@ -5,6 +5,7 @@ import json
 from pyspark.sql import functions as F
 
 from docloom.operators import assembly as A
+from docloom.operators import intents as I
 
 
 def test_tables(spark):
@@ -23,9 +24,17 @@ def test_lists_and_intents(spark):
     rows = [("Members: Ann, Bob; Cy", "members"), ("- one\n- two", "x"), ("![Logo](l.png)", "x"), ("nothing", "x")]
     df = spark.createDataFrame(rows, "t string, l string").select(A.list_items(F.col("t"), F.col("l")).alias("x"))
     assert [r.x for r in df.collect()] == [["Ann", "Bob", "Cy"], ["one", "two"], ["Logo (l.png)"], []]
-    text = "# Annual Review\nDated: March 2024\nAcme Holdings Berhad grew.\n- Ann Lee\n- Bo Tan"
-    got = spark.createDataFrame([(text, i) for i in ("title", "date", "issuer", "analysts", "other")], "t string, i string").select(A.by_intent(F.col("t"), F.col("i")).alias("x"))
-    assert [r.x for r in got.collect()] == ["Annual Review", "March 2024", "Acme Holdings Berhad", "Ann Lee; Bo Tan", None]
+    text = "# Annual Review\nDated: March 2024\nAcme Holdings Berhad grew.\nAnalysts:\nAnn Lee\nBo Tan\n\nCy Late"
+    got = spark.createDataFrame([(text, i) for i in ("title", "date", "issuer", "analysts", "other", "summary")], "t string, i string").select(I.by_intent(F.col("t"), F.col("i")).alias("x"))
+    assert [r.x for r in got.collect()] == ["Annual Review", "March 2024", "Acme Holdings Berhad", '["Ann Lee","Bo Tan"]', None, None]
+
+
+def test_samples_and_types(spark):
+    df = spark.createDataFrame([([["a", None] + ["x"] * 9] * 9,)], "r array<array<string>>").select(A.sample_table(F.col("r")).alias("x"))
+    rows = df.first().x
+    assert len(rows) == 8 and rows[0] == ["a", "", "x", "x", "x", "x", "x", "x"]
+    types = spark.createDataFrame([("Int",), ("money",), ("table",), (None,), ("odd",)], "t string").select(A.field_type(F.col("t")).alias("x"))
+    assert [r.x for r in types.collect()] == ["number", "currency", "table", "text", "text"]
 
 
 def test_blocks(spark):

@@ -3,7 +3,7 @@
 import pytest
 
 from conftest import rows_of
-from docloom.plans import catalogue
+from docloom.plans import registered as catalogue
 
 
 @pytest.mark.parametrize("name", sorted(catalogue.QUERIES))

@@ -27,7 +27,7 @@ def test_pages_and_strategies(parsed):
     windows = chunking.by_window(parsed, size=4, overlap=2).where("document_id = 2").collect()
     assert [w.text for w in windows] == ["plain words only"]
     blocks = chunking.by_block(parsed).where("document_id = 1").orderBy("pos").collect()
-    assert [b.kind for b in blocks] == ["heading", "text", "table", "table"]
+    assert [b.kind for b in blocks] == ["heading", "text", "text", "table", "table"] and len({b.chunk_id for b in blocks}) == 5
 
 
 def test_windows_reach_the_end(spark):
@@ -36,7 +36,7 @@ def test_windows_reach_the_end(spark):
 
 
 def test_cleaning(parsed):
-    found = cleaning.clean_evidence(parsed).collect()
+    found = cleaning.in_order(cleaning.clean_evidence(parsed)).collect()
     assert {r.document_id for r in found} == {1}
     kinds = [r.kind for r in found if r.page == 1]
     assert kinds == sorted(kinds, key=["title", "heading", "table", "text", "image"].index)
@@ -131,6 +131,10 @@ def test_type_errors(spark):
 def test_operations(spark):
     docs = spark.createDataFrame([(1, "h", 2), (2, "h", 1), (3, "g", 3)], "document_id long, file_hash string, created_at long")
     assert {r.document_id: r.original_id for r in operations.duplicate_uploads(docs).collect()} == {1: 2, 2: 2, 3: 3}
+    bare = docs.unionByName(spark.createDataFrame([(4, None, 1), (5, None, 1)], docs.schema))
+    assert {r.document_id: (r.original_id, r.is_duplicate) for r in operations.duplicate_uploads(bare).collect()}[5] == (5, False)
+    bare = docs.unionByName(spark.createDataFrame([(4, None, 1), (5, None, 1)], docs.schema))
+    assert {r.document_id: (r.original_id, r.is_duplicate) for r in operations.duplicate_uploads(bare).collect()}[5] == (5, False)
     old = spark.createDataFrame([(1, "a"), (2, "b")], "document_id long, text string")
     after, stats = operations.index_chunks(old, spark.createDataFrame([(2, " new "), (2, "  ")], old.schema))
     assert sorted(map(tuple, after.collect())) == [(1, "a"), (2, "new")] and tuple(stats.first()) == (2, 1, 1)
@@ -152,7 +156,7 @@ def test_runs_and_files(spark, tmp_path):
         "run_id string, input_id string, library string, status string, seconds double, started_at int, raw_text string",
     )
     assert runs.latest_ok(results, "input_id").first().run_id == "r2"
-    assert [(r.run_id, r.fastest) for r in runs.summaries(results).collect()] == [("r2", "docling"), ("r1", "docling")]
+    assert [(r.run_id, r.fastest) for r in runs.summaries(results).orderBy("run_id").collect()] == [("r1", "docling"), ("r2", "docling")]
     assert files.first_usable(results.where("run_id = 'r2'")).first().library == "docling"
     runs.write_run(results, str(tmp_path / "runs"))
     assert runs.read_runs(spark, str(tmp_path / "runs")).count() == 3
@@ -171,6 +175,20 @@ def test_parser_plugins(spark):
     inputs = spark.createDataFrame([("a", "text", bytearray(b"good")), ("b", "text", bytearray(b"bad"))], "input_id string, input_type string, content binary")
     got = {(r.input_id, r.library): r.status for r in files.run_parsers(inputs, ("mine", "absent")).collect()}
     assert got == {("a", "mine"): "ok", ("b", "mine"): "failed", ("a", "absent"): "skipped", ("b", "absent"): "skipped"}
+    results = files.with_counts(files.run_parsers(inputs, ("mine", "absent")))
+    assert sorted(r.chars for r in results.collect()) == [0, 0, 0, 1] and [r.input_id for r in files.unparsed(inputs, results).collect()] == ["b"]
+
+    def whole(batches):
+        for b in batches:
+            yield pd.DataFrame({"input_id": b["input_id"], "status": "ok", "pages": len(b), "raw_text": "t", "warnings": [[]] * len(b)})
+
+    files.register_parser("whole", ("text",), whole)
+    assert {r.pages for r in files.run_parsers(inputs.coalesce(1), ("whole",)).collect()} == {2}
+    results = files.with_counts(files.run_parsers(inputs, ("mine", "absent")))
+    assert sorted(r.chars for r in results.collect()) == [0, 0, 0, 1] and [r.input_id for r in files.unparsed(inputs, results).collect()] == ["b"]
+    seen = []
+    files.register_parser("whole", ("text",), lambda batches: (seen.append(len(b)) or pd.DataFrame({"input_id": b["input_id"], "status": "ok", "pages": 1, "raw_text": "t", "warnings": [[]] * len(b)}) for b in batches))
+    assert files.run_parsers(inputs.coalesce(1), ("whole",)).count() == 2
 
 
 def test_schema(spark):
@@ -192,3 +210,124 @@ def test_running_totals_and_queue(spark, sf_dir, tmp_path):
     jobs = events.select(F.col("event_id").alias("job_id"), F.when(F.col("event_type") == "click", "pending").otherwise("done").alias("status"), F.col("user_id").alias("priority"), F.col("ts").alias("created_at"))
     stream.serve(jobs, lambda df, epoch: served.extend(r.priority for r in df.collect()), str(tmp_path / "b")).awaitTermination()
     assert served and served == sorted(served, reverse=True)
+
+
+def test_embedders(spark):
+    def embed(texts):
+        if "bad" in texts:
+            raise ValueError("refused")
+        return [[len(t), 1.0] for t in texts]
+
+    retrieval.register_embedder("mine", embed)
+    rows = spark.createDataFrame([(1, "four"), (2, None), (3, "bad")], "k int, text string").coalesce(1)
+    assert {r.k: r.embedding for r in retrieval.embed(rows, "mine", batch=2).collect()} == {1: [4.0, 1.0], 2: [0.0, 1.0], 3: []}
+
+
+def test_phrases_meet_by_words(spark):
+    """Texts that hold a term as it stands, also across parts of words; no plan compares all pairs."""
+    words = ["ab", "abc", "b", "c-d", "ñx", "e"]
+    texts = [(i, " ".join(words[(i * k + k) % 6] for k in range(1, 9)).lower()) for i in range(40)]
+    terms = [(0, "bc b"), (1, "c-d ñx"), (2, "b"), (3, "abc c-d"), (4, "x e"), (5, "b c-d ñx e"), (6, "nothing of this"), (7, "ab abc b"), (8, "")]
+    t = spark.createDataFrame(texts, "id long, low string")
+    found = retrieval.holders(t, spark.createDataFrame(terms, "item long, term string"), "id")
+    assert {tuple(r) for r in found.collect()} == {(i, k) for i, x in texts for k, y in terms if y and y in x}
+    evidence = t.select(F.col("id").alias("evidence_id"), F.col("low").alias("text"), F.col("id").alias("created_at"))
+    queries = spark.createDataFrame([(1, "abc c-d"), (2, "b")], "query_id long, query string")
+    fields = spark.createDataFrame([("a_b", "A b", "number", None, ["ab"])], "field_path string, label string, type string, description string, keywords array<string>")
+    chunks = evidence.select(F.col("evidence_id").alias("chunk_id"), "text", F.lit("text").alias("kind"), F.lit(1).alias("page"))
+    plans = [retrieval.token_hits(evidence, queries), retrieval.lexical(evidence, queries), retrieval.keyword(evidence, queries), retrieval.rank_for_fields(chunks, fields), retrieval.candidates_for_fields(chunks, fields)]
+    plans.append(operations.ground_truth_hits(evidence.withColumnRenamed("evidence_id", "document_id"), spark.createDataFrame([("i", "c-d ñx e")], "item string, term string")))
+    for df in plans:
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "NestedLoop" not in plan and "CartesianProduct" not in plan
+
+
+def test_states_and_chains(spark):
+    events = spark.createDataFrame([(1, "uploaded", 1), (1, "indexed", 2), (2, "uploaded", 1), (2, "parsing", 2)], "job_id int, status string, at int")
+    assert [r.job_id for r in operations.bad_transitions(events, "document").collect()] == [1]
+    assert {r.task_type for r in operations.chain(spark.createDataFrame([(1, "quick_parse", "completed", 5), (2, "quick_parse", "failed", 5)], "document_id int, task_type string, status string, priority int")).collect()} == {"deep_parse"}
+
+
+def test_payloads_and_edits(spark):
+    df = spark.createDataFrame([('```json\n{"a": 1}\n```', "x", "x"), ("[1]", "x", "y"), ("no", None, None)], "t string, v string, r string")
+    rows = df.select(extraction.parse_payload(F.col("t"), "map<string,int>").alias("p"), extraction.is_edited(F.col("v"), F.col("r")).alias("e")).collect()
+    assert [r.p for r in rows] == [{"a": 1}, None, None] and [r.e for r in rows] == [False, True, False]
+    kinds = spark.createDataFrame([("Table_caption",), ("Picture",), ("title",)], "l string").select(extraction.region_parser(F.col("l")).alias("x"))
+    assert [r.x for r in kinds.collect()] == ["table", "image", "text"]
+
+
+def test_repeats_that_overlap(spark):
+    rows = [(1, 1, 0, 0.0, 0.0, 10.0, 10.0, "text", "Same"), (1, 1, 1, 0.0, 1.0, 10.0, 11.0, "text", "same "), (1, 1, 2, 50.0, 50.0, 60.0, 60.0, "text", "<b>same</b>"), (1, 1, 3, None, None, None, None, "text", "same")]
+    blocks = spark.createDataFrame(rows, "document_id int, page int, pos int, x0 double, top double, x1 double, bottom double, kind string, text string")
+    assert [r.pos for r in layout.keep_first(blocks).collect()] == [0]
+    assert {(r.pos, r.of) for r in layout.overlapping_repeats(blocks).collect()} == {(1, 0), (3, 0)}
+
+
+def test_audit_and_replay(spark):
+    fields = spark.createDataFrame([(1, "a", "x", "validated", 0.9, ["e1", "e2", "e3", "e4", "e5"])], "job_id int, field_path string, value string, status string, confidence double, evidence_ids array<string>")
+    assert '"evidence_ids":["e1","e2","e3","e4"]' in runs.audit(fields).first().audit
+    requests = spark.createDataFrame([("s", "t"), ("s", "u")], "schema string, text string")
+    cache = requests.where("text = 't'").select(runs.cache_key("schema", "text").alias("cache_key"), F.lit("r").alias("result"), F.array(F.lit("w")).alias("warnings"))
+    got = {r.text: (r.result, r.warnings) for r in runs.replay(requests, cache, "schema", "text").collect()}
+    assert got == {"t": ("r", ["w", "Replayed from the result cache"]), "u": (None, None)}
+
+
+def test_embedders(spark):
+    def embed(texts):
+        if "bad" in texts:
+            raise ValueError("refused")
+        return [[len(t), 1.0] for t in texts]
+
+    retrieval.register_embedder("mine", embed)
+    rows = spark.createDataFrame([(1, "four"), (2, None), (3, "bad")], "k int, text string").coalesce(1)
+    assert {r.k: r.embedding for r in retrieval.embed(rows, "mine", batch=2).collect()} == {1: [4.0, 1.0], 2: [0.0, 1.0], 3: []}
+
+
+def test_phrases_meet_by_words(spark):
+    """Texts that hold a term as it stands, also across parts of words; no plan compares all pairs."""
+    words = ["ab", "abc", "b", "c-d", "ñx", "e"]
+    texts = [(i, " ".join(words[(i * k + k) % 6] for k in range(1, 9)).lower()) for i in range(40)]
+    terms = [(0, "bc b"), (1, "c-d ñx"), (2, "b"), (3, "abc c-d"), (4, "x e"), (5, "b c-d ñx e"), (6, "nothing of this"), (7, "ab abc b"), (8, "")]
+    t = spark.createDataFrame(texts, "id long, low string")
+    found = retrieval.holders(t, spark.createDataFrame(terms, "item long, term string"), "id")
+    assert {tuple(r) for r in found.collect()} == {(i, k) for i, x in texts for k, y in terms if y and y in x}
+    evidence = t.select(F.col("id").alias("evidence_id"), F.col("low").alias("text"), F.col("id").alias("created_at"))
+    queries = spark.createDataFrame([(1, "abc c-d"), (2, "b")], "query_id long, query string")
+    fields = spark.createDataFrame([("a_b", "A b", "number", None, ["ab"])], "field_path string, label string, type string, description string, keywords array<string>")
+    chunks = evidence.select(F.col("evidence_id").alias("chunk_id"), "text", F.lit("text").alias("kind"), F.lit(1).alias("page"))
+    plans = [retrieval.token_hits(evidence, queries), retrieval.lexical(evidence, queries), retrieval.keyword(evidence, queries), retrieval.rank_for_fields(chunks, fields), retrieval.candidates_for_fields(chunks, fields)]
+    plans.append(operations.ground_truth_hits(evidence.withColumnRenamed("evidence_id", "document_id"), spark.createDataFrame([("i", "c-d ñx e")], "item string, term string")))
+    for df in plans:
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "NestedLoop" not in plan and "CartesianProduct" not in plan
+
+
+def test_states_and_chains(spark):
+    events = spark.createDataFrame([(1, "uploaded", 1), (1, "indexed", 2), (2, "uploaded", 1), (2, "parsing", 2)], "job_id int, status string, at int")
+    assert [r.job_id for r in operations.bad_transitions(events, "document").collect()] == [1]
+    tasks = spark.createDataFrame([(1, "quick_parse", "completed", 5), (2, "quick_parse", "failed", 5)], "document_id int, task_type string, status string, priority int")
+    assert {r.task_type for r in operations.chain(tasks).collect()} == {"deep_parse"}
+
+
+def test_payloads_and_edits(spark):
+    df = spark.createDataFrame([('```json\n{"a": 1}\n```', "x", "x"), ("[1]", "x", "y"), ("no", None, None)], "t string, v string, r string")
+    rows = df.select(extraction.parse_payload(F.col("t"), "map<string,int>").alias("p"), extraction.is_edited(F.col("v"), F.col("r")).alias("e")).collect()
+    assert [r.p for r in rows] == [{"a": 1}, None, None] and [r.e for r in rows] == [False, True, False]
+    kinds = spark.createDataFrame([("Table_caption",), ("Picture",), ("title",)], "l string").select(extraction.region_parser(F.col("l")).alias("x"))
+    assert [r.x for r in kinds.collect()] == ["table", "image", "text"]
+
+
+def test_repeats_that_overlap(spark):
+    rows = [(1, 1, 0, 0.0, 0.0, 10.0, 10.0, "text", "Same"), (1, 1, 1, 0.0, 1.0, 10.0, 11.0, "text", "same "), (1, 1, 2, 50.0, 50.0, 60.0, 60.0, "text", "<b>same</b>"), (1, 1, 3, None, None, None, None, "text", "same")]
+    blocks = spark.createDataFrame(rows, "document_id int, page int, pos int, x0 double, top double, x1 double, bottom double, kind string, text string")
+    assert [r.pos for r in layout.keep_first(blocks).collect()] == [0]
+    assert {(r.pos, r.of) for r in layout.overlapping_repeats(blocks).collect()} == {(1, 0), (3, 0)}
+
+
+def test_audit_and_replay(spark):
+    fields = spark.createDataFrame([(1, "a", "x", "validated", 0.9, ["e1", "e2", "e3", "e4", "e5"])], "job_id int, field_path string, value string, status string, confidence double, evidence_ids array<string>")
+    assert '"evidence_ids":["e1","e2","e3","e4"]' in runs.audit(fields).first().audit
+    requests = spark.createDataFrame([("s", "t"), ("s", "u")], "schema string, text string")
+    cache = requests.where("text = 't'").select(runs.cache_key("schema", "text").alias("cache_key"), F.lit("r").alias("result"), F.array(F.lit("w")).alias("warnings"))
+    got = {r.text: (r.result, r.warnings) for r in runs.replay(requests, cache, "schema", "text").collect()}
+    assert got == {"t": ("r", ["w", "Replayed from the result cache"]), "u": (None, None)}

@@ -8,11 +8,13 @@ from pyspark.sql import functions as F
 from .scratch import cut, hot_limit
 
 
-def _with_least(edges: DataFrame, least: DataFrame, limit: int) -> DataFrame:
-    """``edges(u, v)`` with m of ``least(u, m, n)``. Nodes of more than ``limit`` edges are broadcast, so none is hot."""
-    hubs = F.broadcast(least.where(F.col("n") > limit).select("u", "m"))
+def _with_least(edges: DataFrame, least: DataFrame, limit: int, hubs: bool) -> DataFrame:
+    """``edges(u, v)`` with m of ``least(u, m, n)``. With ``hubs``, nodes of more than ``limit`` edges are broadcast."""
+    if not hubs:
+        return edges.join(least.select("u", "m"), "u")
+    known = F.broadcast(least.where(F.col("n") > limit).select("u", "m"))
     rest = least.where(F.col("n") <= limit).select("u", "m")
-    return edges.join(hubs, "u").unionByName(edges.join(hubs, "u", "left_anti").join(rest, "u"))
+    return edges.join(known, "u").unionByName(edges.join(known, "u", "left_anti").join(rest, "u"))
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
@@ -26,17 +28,21 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
     now = cut(edges.where(f"{a} <> {b}").select(F.least(a, b).alias("v"), F.greatest(a, b).alias("u")).distinct())
     state = None
     for _ in range(max_rounds):
-        seen = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        of_node = [F.least("u", F.min("v")).alias("m"), F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")]
+        least = both.groupBy("u").agg(*of_node)
+        most, *seen = least.agg(F.max("n"), F.sum("n"), F.sum("h")).first()
         if seen == state:
             break
-        state, limit = seen, hot_limit(2 * seen[0])
+        state, limit = seen, hot_limit(seen[0] or 0)
+        hubs = (most or 0) > limit
         # Large star: every larger neighbour of u is linked with u's smallest neighbour.
-        both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = cut(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count(F.lit(1)).alias("n")))
-        large = cut(_with_least(both.where("v > u"), least, limit).select(F.col("m").alias("v"), F.col("v").alias("u")).distinct())
+        least = cut(least) if hubs else least
+        large = _with_least(both.where("v > u"), least, limit, hubs).select(F.col("m").alias("v"), F.col("v").alias("u")).distinct()
+        large = cut(large) if hubs else large
         # Small star: u and its smaller neighbours are linked with the smallest of them.
         floor = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
-        moved = _with_least(large, floor, limit).where("v <> m").select(F.col("m").alias("v"), F.col("v").alias("u"))
+        moved = _with_least(large, floor, limit, hubs).where("v <> m").select(F.col("m").alias("v"), F.col("v").alias("u"))
         now = cut(moved.union(floor.select(F.col("m").alias("v"), "u")).distinct())
     else:
         raise RuntimeError(f"components are not stable after {max_rounds} rounds")

@@ -188,11 +188,13 @@ def _confirmed(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, size: int
     side = lambda x: sketches.select(F.col("doc_id").alias(x), F.col("n_shingles").alias(f"n{x}"), F.col("regs").alias(f"r{x}"))
     text = lambda df, x: df.select(F.col("doc_id").alias(x), F.col("text").alias(f"text_{x}"))
     ok = f"100 * least(na, nb) >= {percent} * greatest(na, nb)"
-    both = salted_join(salted_join(pairs, side("a"), ["a"], F.col("b")), side("b"), ["b"], F.col("a"))
+    counts = {x: pairs.groupBy(x).agg(F.count(F.lit(1)).alias("n")) for x in ("a", "b")}
+    both = salted_join(pairs, side("a"), ["a"], F.col("b"), counts=counts["a"])
+    both = salted_join(both, side("b"), ["b"], F.col("a"), counts=counts["b"])
     likely = table(both.where(ok).mapInArrow(_estimate(percent / 100), f"a {kind}, b {kind}"))
     needed = cut(likely.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
     texts = docs.join(small(needed, BROADCAST_ROWS), "doc_id", "left_semi")
-    counts = {x: cut(likely.groupBy(x).agg(F.count(F.lit(1)).alias("n"))) for x in ("a", "b")}
+    counts = {x: likely.groupBy(x).agg(F.count(F.lit(1)).alias("n")) for x in ("a", "b")}
     spelt = salted_join(likely, text(texts, "b"), ["b"], F.col("a"), counts=counts["b"])
     spelt = salted_join(spelt, text(texts, "a"), ["a"], F.col("b"), counts=counts["a"])
     return cut(spelt.select("a", "b", "text_a", "text_b").mapInArrow(_verify(size, percent), f"a {kind}, b {kind}").distinct())

@@ -87,10 +87,11 @@ def salted_join(rows: DataFrame, side: DataFrame, on: list[str], by: Column, how
     the rows of each key. The keys must not be null.
     """
     counts = rows.groupBy(*on).agg(F.count(F.lit(1)).alias("n")) if counts is None else counts
-    limit = hot_limit(counts.agg(F.sum("n")).first()[0] or 0)
-    hot = cut(counts.where(F.col("n") > limit).select(*on, F.ceil(F.col("n") / limit).cast("int").alias("_parts")))
-    if hot.isEmpty():
+    total, most = counts.agg(F.sum("n"), F.max("n")).first()
+    limit = hot_limit(total or 0)
+    if (most or 0) <= limit:
         return rows.join(side, on, how)
+    hot = cut(counts.where(F.col("n") > limit).select(*on, F.ceil(F.col("n") / limit).cast("int").alias("_parts")))
     hot = F.broadcast(hot)
     part = F.pmod(F.xxhash64(by), F.coalesce("_parts", F.lit(1)).cast("long")).cast("int")
     dealt = rows.join(hot, on, "left").withColumn("_salt", part).drop("_parts")

@@ -17,6 +17,7 @@ from . import pii as _pii
 from . import quality as _quality
 from . import substring_dedup as _substring
 from . import toxicity as _toxicity
+from .scratch import table
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,8 +43,10 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", _lines.lines_of_html(F.col("html")).alias("text"))
-    out, (n_lines, n_dropped) = _lines.line_dedup(pages, _lines.host_of(F.col("url")))
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    # The markup is taken away once; the operator reads the texts several times.
+    pages = table(pages.select("page_id", _lines.host_of(F.col("url")).alias("host"), _lines.lines_of_html(F.col("html")).alias("text")))
+    out, (n_lines, n_dropped) = _lines.line_dedup(pages, "host")
     sha = F.sha2(F.coalesce("text", F.lit("")), 256)
     return out.select("page_id", F.col(n_lines).alias("n_lines"), F.col(n_dropped).alias("n_dropped"), sha.alias("kept_sha256"))
 

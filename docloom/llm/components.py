@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from .scratch import cut, hot_limit
 
+#: Edges in a partition: a few edges in very many partitions would be nothing but files and tasks.
+PARTITION_EDGES = 50_000
+
 
 def _with_least(edges: DataFrame, least: DataFrame, limit: int, hubs: bool) -> DataFrame:
     """``edges(u, v)`` with m of ``least(u, m, n)``. With ``hubs``, nodes of more than ``limit`` edges are broadcast."""
@@ -26,8 +29,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
     the longest path; a graph that isn't done after ``max_rounds`` raises an error. Only sums reach the driver.
     """
     now = cut(edges.where(f"{a} <> {b}").select(F.least(a, b).alias("v"), F.greatest(a, b).alias("u")).distinct())
-    state = None
+    state = parts = None
     for _ in range(max_rounds):
+        now = now.coalesce(parts) if parts else now
         both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         of_node = [F.least("u", F.min("v")).alias("m"), F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")]
         least = both.groupBy("u").agg(*of_node)
@@ -35,15 +39,17 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
         if seen == state:
             break
         state, limit = seen, hot_limit(seen[0] or 0)
-        hubs = (most or 0) > limit
+        hubs, parts = (most or 0) > limit, (seen[0] or 0) // PARTITION_EDGES + 1
+        both = both.coalesce(parts)
+        least = both.groupBy("u").agg(*of_node[:2])
         # Large star: every larger neighbour of u is linked with u's smallest neighbour.
-        least = cut(least) if hubs else least
+        least = cut(least.coalesce(parts)) if hubs else least
         large = _with_least(both.where("v > u"), least, limit, hubs).select(F.col("m").alias("v"), F.col("v").alias("u")).distinct()
-        large = cut(large) if hubs else large
+        large = cut(large.coalesce(parts)) if hubs else large
         # Small star: u and its smaller neighbours are linked with the smallest of them.
         floor = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
         moved = _with_least(large, floor, limit, hubs).where("v <> m").select(F.col("m").alias("v"), F.col("v").alias("u"))
-        now = cut(moved.union(floor.select(F.col("m").alias("v"), "u")).distinct())
+        now = cut(moved.union(floor.select(F.col("m").alias("v"), "u")).distinct().coalesce(parts))
     else:
         raise RuntimeError(f"components are not stable after {max_rounds} rounds")
     return now.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component")).union(

@@ -46,6 +46,12 @@ BROADCAST_LABELS = 1_000_000
 #: N-grams with a ratio (16 bytes each) up to which they are broadcast; beyond, texts' n-grams are shuffled to them.
 BROADCAST_GRAMS = 1_000_000
 
+#: Expected numbers of n-grams are summed in these units: whole numbers shuffle small and add up alike in any order.
+UNIT = 1 << 16
+
+#: The bits of words' hashes that are kept, so that word pairs shuffle small: 0.2 of the pairs of 10 million words collide.
+WORD_BITS = np.uint64((1 << 48) - 1)
+
 _BREAK = np.uint64(1)
 
 
@@ -61,7 +67,7 @@ def _hashes(texts: list[bytes | None], cache: WordHash) -> tuple[np.ndarray, np.
         flat.append(b"\n")
         flat += split_alnum(text)
     cache[b"\n"] = int(_BREAK)
-    return cache.of(flat), np.array(starts, dtype=np.int64)
+    return cache.of(flat) & WORD_BITS, np.array(starts, dtype=np.int64)
 
 
 def _pair_key(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -208,23 +214,25 @@ def train(rows: DataFrame) -> DataFrame:
     d = {f"s_{k}": min(letters[smaller] / max(letters[k], 1), 1.0) if k != smaller else 1.0 for k in kinds}
 
     pairs = rows.mapInArrow(_count, "a long, b long, toxic long, ordinary long").groupBy("a", "b").agg(*[F.sum(k).alias(k) for k in kinds])
-    here = {k: 1 - F.pow(F.lit(1 - d[f"s_{k}"]), F.col(k)) if d[f"s_{k}"] < 1 else (F.col(k) > 0).cast("double") for k in kinds}
-    no, nil, own = F.lit(0).cast("long"), F.lit(0.0), F.col(smaller)
+    expected = {k: 1 - F.pow(F.lit(1 - d[f"s_{k}"]), F.col(k)) if d[f"s_{k}"] < 1 else (F.col(k) > 0).cast("double") for k in kinds}
+    here = {k: F.round(x * UNIT).cast("long") for k, x in expected.items()}
+    no, own = F.lit(0).cast("long"), F.col(smaller)
     sums = [*[f"{x}_{k}" for x in ("in", "texts", "all", "kinds") for k in kinds], "once", "twice", "n_pairs"]
 
     def line(first: Column, word: str, values: list[Column]) -> Column:
         return F.struct(first.alias("a"), F.col(word).alias("b"), *[v.alias(n) for v, n in zip(values, sums, strict=True)])
 
     nobody, counts, thin = F.lit(None).cast("long"), [F.col(k) for k in kinds], [here[k] for k in kinds]
-    alone = line(nobody, "b", [nil, nil, *counts, no, no, nil, nil, no, no, no])
-    second = line(nobody, "b", [*thin, no, no, no, no, nil, nil, (own == 1).cast("long"), (own == 2).cast("long"), F.lit(1).cast("long")])
-    first = line(nobody, "a", [nil, nil, no, no, *counts, *thin, no, no, no])
+    alone = line(nobody, "b", [no, no, *counts, no, no, no, no, no, no, no])
+    second = line(nobody, "b", [*thin, no, no, no, no, no, no, (own == 1).cast("long"), (own == 2).cast("long"), F.lit(1).cast("long")])
+    first = line(nobody, "a", [no, no, no, no, *counts, *thin, no, no, no])
     # A bigram of one text is never evidence beyond its words, as no first word stands in more texts than there are bigrams.
-    both = line(F.col("a"), "b", [nil, nil, *counts, no, no, nil, nil, no, no, no])
+    both = line(F.col("a"), "b", [no, no, *counts, no, no, no, no, no, no, no])
     pair = F.array(second, first, F.when(F.col("toxic") + F.col("ordinary") > 1, both))
     out = F.when(F.col("a") == int(_BREAK), F.array(alone)).otherwise(pair)
     grams = pairs.select(F.explode(F.filter(out, lambda x: x.isNotNull())).alias("x")).select("x.*")
-    grams = table(grams.groupBy("a", "b").agg(*[F.sum(c).alias(c) for c in sums]))
+    grams = grams.groupBy("a", "b").agg(*[F.sum(c).alias(c) for c in sums])
+    grams = table(grams.withColumns({f"{x}_{k}": F.col(f"{x}_{k}") / UNIT for x in ("in", "kinds") for k in kinds}))
     words = grams.where("a is null and texts_toxic + texts_ordinary > 0")
 
     def seen(k: str) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 #: Scratch tables that this driver has written and not yet removed, oldest first.
 _written: list[str] = []
 #: A key of a join is hot with more rows than HOT_ROWS, or than all rows by HOT_KEYS: so there are at most HOT_KEYS such.
-HOT_KEYS, HOT_ROWS = 50_000, 500
+HOT_KEYS, HOT_ROWS = 50_000, 10_000
 
 
 def shared_dir(spark: SparkSession) -> str:

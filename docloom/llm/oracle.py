@@ -137,5 +137,116 @@ from s join c on s.doc_id = c.node
 """
 
 
+#: Words in pieces: A-Z lower-cased, pieces cut at .,;:!? and line breaks, words at blanks and tabs.
+OP12 = r"""
+with d as (
+  select coalesce(lang, 'und') as lang, string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') as ps from documents
+),
+p as (select lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') as w from (select lang, unnest(ps) as piece from d)),
+f as (
+  select lang, size, phrase, count(*) as f from (
+    select lang, size, array_to_string(list_slice(w, i, i + size - 1), ' ') as phrase
+    from (select lang, w, size, unnest(generate_series(1, len(w) - size + 1)) as i from p, (select unnest([1, 2, 3]) as size) where len(w) >= size)
+  ) group by lang, size, phrase
+),
+c as (select lang, phrase, f as a, size, string_split(phrase, ' ') as w from f where size > 1 and f >= 10),
+cut as (select lang, phrase, a, size, k, array_to_string(w[:k], ' ') as x, array_to_string(w[k + 1:], ' ') as y from (select *, unnest(generate_series(1, size - 1)) as k from c)),
+s as (
+  select cut.lang, cut.phrase, a, cut.size, k, l.f as l, r.f as r, (1000000::hugeint * a * a) // (l.f::hugeint * r.f) as score
+  from cut join f l on l.lang = cut.lang and l.phrase = x and l.size = k join f r on r.lang = cut.lang and r.phrase = y and r.size = cut.size - k
+),
+best as (select * from s qualify row_number() over (partition by lang, phrase order by score, k) = 1),
+inner_ as (select lang, part, max(a) as held from (select lang, a, unnest([w[1] || ' ' || w[2], w[2] || ' ' || w[3]]) as part from c where size = 3) group by lang, part),
+kept as (select best.* from best left join inner_ on inner_.lang = best.lang and part = phrase where held is null or 100 * held < 50 * a),
+t as (select lang, sum(f)::bigint as n from f where size = 1 group by lang)
+select lang, row_number() over (partition by lang order by score desc, a desc, phrase) as rank, phrase, a, l, r, n, score::bigint as score
+from kept join t using (lang) qualify rank <= 2000
+"""
+
+_CRC = """xor(list_reduce(list_concat([4294967295::bigint], list_transform(string_split({0}, ''), lambda ch: ascii(ch)::bigint)),
+  lambda crc, b: list_reduce([xor(crc, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, bit: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295)"""
+
+#: States: 1 nothing yet, 2 after system, 3 after user, 4 after assistant; g has what each still costs from row i on.
+OP13 = rf"""
+with recursive raw as (
+  select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text, coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ') as k from conversations
+),
+hit as (select *, {_CRC.format("k")} % 20 as kind from raw),
+dam as (
+  select conv_id, turn, case kind when 4 then 'user' else role end as role,
+    case kind when 1 then '' when 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text,
+    unnest(generate_series(1, case kind when 3 then 2 else 1 end)) as copy
+  from hit where kind <> 0
+),
+num as (
+  select *, row_number() over (partition by conv_id order by turn nulls first, role, text, copy) as i,
+    row_number() over (partition by conv_id, role, text order by turn nulls first, copy) as nth,
+    regexp_replace(text, '[ 	-]+$', '') as bare
+  from dam
+),
+flt as (
+  select *, left(role, 1) as ini, lag(left(role, 1)) over (partition by conv_id order by i) as ini0,
+    case when bare = '' then 'b' when nth > 1 then 'd' when right(bare, 1) not in ('.', '!', '?') then 't' else '' end as fault
+  from num
+),
+size_ as (select conv_id, max(i) as n from flt group by conv_id),
+g as (
+  select conv_id, n as i, [0, 4, 2, 0]::bigint[] as c from size_
+  union all
+  select conv_id, i, [least(e[1], 2 + e[3], 4 + e[4]), least(e[2], 2 + e[3], 4 + e[4]), least(e[3], 2 + e[4]), least(e[4], 2 + e[3])]
+  from (
+    select g.conv_id, g.i - 1 as i, list_transform([1, 2, 3, 4], lambda q: least(c[q] + 3,
+      case when fault in ('b', 'd') then 1000000000 else (fault = 't')::int + least(
+        c[case q when 3 then 4 else 3 end] + case when ini = case q when 3 then 'a' else 'u' end then 0 else 2 end,
+        case when q = 1 and ini = 's' then c[2] else 1000000000 end) end)) as e
+    from g join flt on flt.conv_id is not distinct from g.conv_id and flt.i = g.i where g.i > 0
+  )
+),
+walk as (
+  select conv_id, 0::bigint as i, 1 as q, '' as audit, []::varchar[] as lines, true as more from size_
+  union all
+  select conv_id, case when e in ('D', 'K', 'S', 'R') then i + 1 else i end, case when e in ('D', '') then q when e = 'S' then 2 when q = 3 then 4 else 3 end,
+    audit || case e when 'S' then 'K' else e end,
+    case when e in ('D', '') then lines else list_append(lines, case when e in ('K', 'S') then role || ':' || text else case q when 3 then 'assistant:' else 'user:' end || case e when 'R' then text else '' end end) end,
+    e <> ''
+  from (
+    select w.*, r.role, r.text, case
+      when w.i = n and w.q in (1, 4) then ''
+      when w.i < n and b.c[w.q] + 3 = a.c[w.q] then 'D'
+      when a.c[case w.q when 3 then 4 else 3 end] + 2 = a.c[w.q] then 'I'
+      when w.q = 1 and r.ini = 's' and b.c[2] + (fault = 't')::int = a.c[1] then 'S'
+      when r.ini = case w.q when 3 then 'a' else 'u' end and b.c[case w.q when 3 then 4 else 3 end] + (fault = 't')::int = a.c[w.q] then 'K'
+      else 'R' end as e
+    from walk w join size_ z on z.conv_id is not distinct from w.conv_id join g a on a.conv_id is not distinct from w.conv_id and a.i = w.i
+      left join g b on b.conv_id is not distinct from w.conv_id and b.i = w.i + 1
+      left join flt r on r.conv_id is not distinct from w.conv_id and r.i = w.i + 1
+    where more
+  )
+),
+done as (select conv_id, audit, sha256(array_to_string(lines, chr(10))) as sha from walk where not more),
+sums as (
+  select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (fault = 'b') as blank,
+    count(*) filter (fault = 'd') as duplicate, count(*) filter (fault = 't') as truncated,
+    count(*) filter (i > 1 and ini0 || ini not in ('su', 'ua', 'au')) as illegal
+  from flt group by conv_id
+)
+select c.conv_id, coalesce(gaps, 0)::bigint as gaps, coalesce(blank, 0)::bigint as blank, coalesce(duplicate, 0)::bigint as duplicate,
+  coalesce(truncated, 0)::bigint as truncated, coalesce(illegal, 0)::bigint as illegal, coalesce(g.c[1], 0)::bigint as cost,
+  coalesce(audit, '') as audit, coalesce(sha, sha256('')) as repaired_sha256
+from (select distinct conv_id from conversations) c
+  left join sums on sums.conv_id is not distinct from c.conv_id
+  left join g on g.conv_id is not distinct from c.conv_id and g.i = 0
+  left join done on done.conv_id is not distinct from c.conv_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_benchmark_decontamination": OP1, "op2_quality_rules": OP2, "op3_line_dedup": OP3, "op7_minhash_near_dedup": OP7, "op10_substring_dedup": OP10}
+    return {
+        "op1_benchmark_decontamination": OP1,
+        "op2_quality_rules": OP2,
+        "op3_line_dedup": OP3,
+        "op7_minhash_near_dedup": OP7,
+        "op10_substring_dedup": OP10,
+        "op12_collocations": OP12,
+        "op13_conversation_repair": OP13,
+    }

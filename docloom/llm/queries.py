@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe as _bpe
+from . import byte_bpe as _byte_bpe
+from . import collocations as _collocations
+from . import conversations as _conversations
 from . import decontamination as _decontamination
 from . import license_scan as _licenses
 from . import line_dedup as _lines
@@ -95,6 +98,18 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _byte_bpe.byte_bpe_round_trip(_documents(spark, sf_dir))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _collocations.collocations(_documents(spark, sf_dir), max_words=3, least=10, inside=50, top=2000)
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _conversations.repair(_conversations.damaged(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -113,5 +128,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_pii": op8_pii,
         "op9_toxicity": op9_toxicity,
         "op10_substring_dedup": op10_substring_dedup,
+        "op11_byte_bpe": op11_byte_bpe,
+        "op12_collocations": op12_collocations,
+        "op13_conversation_repair": op13_conversation_repair,
         "pipeline": pipeline,
     }

@@ -1,9 +1,10 @@
 """Phrase collocations: n-grams counted by suffix arrays of shards, merged by key, scored in whole numbers.
 
-Texts are cut into pieces at punctuation and line breaks and those into words. A task gathers word ids of one language
-up to SHARD_WORDS, sorts the suffixes by prefix doubling (each round sorts by pairs of the ranks of the round before) and
-reads the counts of all n-grams of d words off the LCP intervals of depth d: runs of neighbours that share d words. So a
-key leaves a shard at most once, and the shards' counts are summed by key.
+Texts are cut into pieces at punctuation and line breaks and those into words, once: runs of BLOCK_WORDS word ids of a
+language, each with its words, are written to a scratch table. From it a task gathers ids up to SHARD_WORDS, sorts the
+suffixes by prefix doubling (each round sorts by pairs of the ranks of the round before) and reads the counts of all
+n-grams of d words off the LCP intervals of depth d: runs of neighbours that share d words. So a key leaves a shard at
+most once, and the shards' counts are summed by key.
 
 Phrases are counted level by level, as no phrase is more frequent than a part of it: at level d only those leave a shard
 whose first and last d - 1 words may be frequent. "May be" is asked of a Bloom filter over the frequent phrases of the
@@ -24,8 +25,8 @@ from pyspark.sql import functions as F
 from .scratch import salted_join, table, text_batches
 from .text import Rolling, WordHash, slices
 
-#: Words of one language that are sorted together.
-SHARD_WORDS = 1 << 22
+#: Words of one language that are sorted together, and those that are stored together.
+SHARD_WORDS, BLOCK_WORDS = 1 << 22, 1 << 16
 #: Bits of a filter for each frequent phrase, and the bounds of its size as powers of two.
 FILTER_BITS, FILTER_LEAST, FILTER_MOST = 16, 12, 28
 
@@ -41,7 +42,7 @@ def piece_words(text: bytes | None) -> list[bytes]:
 
 
 class _Ids(dict):
-    """word -> its number in the shard, cuts being 0."""
+    """word -> its number among those seen, cuts being 0."""
 
     def __init__(self) -> None:
         super().__init__({_CUT: 0})
@@ -123,13 +124,45 @@ def _count(seqs: dict[str, list[np.ndarray]], vocabs: dict[str, _Ids], level: in
             columns = [values.take(pa.array(ids[own + i])) for i in range(level)]
             phrase = columns[0] if level == 1 else pc.binary_join_element_wise(*columns, pa.scalar(b" ", pa.binary()))
             yield pa.RecordBatch.from_arrays(
-                [pa.array([lang] * len(own), pa.string()), phrase.cast(pa.string()), pa.array(counts[at : at + 100_000], pa.int64())],
+                [pa.repeat(pa.scalar(lang, pa.string()), len(own)), phrase.cast(pa.string()), pa.array(counts[at : at + 100_000], pa.int64())],
                 names=["lang", "phrase", "n"],
             )
 
 
-def phrase_counts(texts: DataFrame, level: int, known=None) -> DataFrame:
-    """(lang, phrase, n): the occurrences of each phrase of ``level`` words in ``texts(lang, text)``.
+def word_blocks(texts: DataFrame) -> DataFrame:
+    """(lang, words, ids): the words of ``texts(lang, text)`` in blocks, a block's ids pointing into its own words.
+
+    A block is full with BLOCK_WORDS words or the text that goes beyond, and a task's last ones may be short.
+    """
+
+    def block(lang: str, vocab: _Ids, parts: list[np.ndarray]) -> pa.RecordBatch:
+        ids = np.concatenate(parts)
+        ids = ids.astype(np.uint16 if len(vocab) <= 1 << 16 else np.uint32)
+        columns = [pa.array([lang]), pa.array([list(vocab)], pa.list_(pa.binary())), pa.array([ids.tobytes()], pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, names=["lang", "words", "ids"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, tuple[_Ids, list[np.ndarray]]] = defaultdict(lambda: (_Ids(), []))
+        sizes: dict[str, int] = defaultdict(int)
+        for batch in batches:
+            for part, values in slices(batch):
+                for lang, text in zip(part.column("lang").to_pylist(), values, strict=True):
+                    words = piece_words(text)
+                    if words:
+                        vocab, parts = held[lang]
+                        parts.append(np.fromiter(map(vocab.__getitem__, words), dtype=np.int32, count=len(words)))
+                        sizes[lang] += len(words)
+                        if sizes[lang] >= BLOCK_WORDS:
+                            yield block(lang, vocab, parts)
+                            del held[lang], sizes[lang]
+        for lang, (vocab, parts) in held.items():
+            yield block(lang, vocab, parts)
+
+    return text_batches(texts).mapInArrow(run, "lang string, words array<binary>, ids binary")
+
+
+def phrase_counts(blocks: DataFrame, level: int, known=None) -> DataFrame:
+    """(lang, phrase, n): the occurrences of each phrase of ``level`` words in the ``word_blocks`` of texts.
 
     ``known``, a broadcast PhraseFilter of level - 1, leaves out phrases whose first or last level - 1 words it lacks.
     """
@@ -140,19 +173,19 @@ def phrase_counts(texts: DataFrame, level: int, known=None) -> DataFrame:
         vocabs: dict[str, _Ids] = defaultdict(_Ids)
         held = 0
         for batch in batches:
-            for part, values in slices(batch):
-                for lang, text in zip(part.column("lang").to_pylist(), values, strict=True):
-                    words = piece_words(text)
-                    if words:
-                        seqs[lang].append(np.fromiter(map(vocabs[lang].__getitem__, words), dtype=np.int32, count=len(words)))
-                        held += len(words)
+            for row in range(batch.num_rows):
+                lang, words, data = (batch.column(i)[row].as_py() for i in range(3))
+                numbers = np.fromiter(map(vocabs[lang].__getitem__, words), dtype=np.int32, count=len(words))
+                ids = np.frombuffer(data, dtype=np.uint16 if len(words) <= 1 << 16 else np.uint32)
+                seqs[lang].append(numbers[ids])
+                held += len(ids)
                 if held >= SHARD_WORDS:
                     yield from _count(seqs, vocabs, level, kept)
                     seqs.clear(), vocabs.clear()
                     held = 0
         yield from _count(seqs, vocabs, level, kept)
 
-    found = text_batches(texts).mapInArrow(run, "lang string, phrase string, n long")
+    found = blocks.mapInArrow(run, "lang string, phrase string, n long")
     # A key comes at most once a shard, so there is nothing to sum before the shuffle.
     return found.repartition("lang", "phrase").groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
 
@@ -200,9 +233,10 @@ def collocations(docs: DataFrame, max_words: int = 3, least: int = 10, inside: i
     """
     lang = F.coalesce(F.col("lang").cast("string"), F.lit("und"))
     texts = docs.select(lang.alias("lang"), F.make_valid_utf8("text").alias("text")).where(F.length("text") > 0)
+    blocks = table(word_blocks(texts))
     levels, totals, known = [], None, None
     for level in range(1, max_words + 1):
-        counted = phrase_counts(texts, level, known)
+        counted = phrase_counts(blocks, level, known)
         if level == 1:
             # Words are counted in full for n; their table is narrow beside the texts.
             counted = table(counted)

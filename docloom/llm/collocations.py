@@ -26,7 +26,7 @@ from .scratch import salted_join, table, text_batches
 from .text import Rolling, WordHash, slices
 
 #: Words of one language that are sorted together, and those that are stored together.
-SHARD_WORDS, BLOCK_WORDS = 1 << 22, 1 << 16
+SHARD_WORDS, BLOCK_WORDS = 1 << 22, 1 << 20
 #: Bits of a filter for each frequent phrase, and the bounds of its size as powers of two.
 FILTER_BITS, FILTER_LEAST, FILTER_MOST = 16, 12, 28
 
@@ -52,27 +52,45 @@ class _Ids(dict):
         return n
 
 
-def suffix_array(ids: np.ndarray, depth: int) -> np.ndarray:
-    """The suffixes' starts in the order of their first ``depth`` ids at least, by prefix doubling."""
-    rank = ids.astype(np.int64)
-    order, known = None, 1
-    while order is None or known < depth:
-        if order is not None or depth > 1:
-            after = np.zeros_like(rank)
-            after[:-known] = rank[known:] + 1
-            rank = rank * (int(rank.max(initial=0)) + 2) + after
-            known *= 2
-        order = np.argsort(rank)
-        ranked = rank[order]
-        steps = np.zeros(len(ids), dtype=np.int64)
-        np.cumsum(ranked[1:] != ranked[:-1], out=steps[1:])
-        rank[order] = steps
-    return order
+def _ranks(ids: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+    """For each place of ``at`` the rank of its first ``length`` ids among those of the others, by prefix doubling.
+
+    A stretch is ranked by the ranks of its two halves, which overlap where the length is odd; only places that are the
+    start of some half are ranked. ``ids`` ends with zeros enough.
+    """
+    if length == 1:
+        return ids[at].astype(np.int64)
+    half = (length + 1) // 2
+    shift = length - half
+    used = np.zeros(len(ids), dtype=bool)
+    used[at] = used[at + shift] = True
+    inner = _ranks(ids, np.flatnonzero(used), half)
+    place = np.cumsum(used) - 1
+    first, second = inner[place[at]], inner[place[at + shift]]
+    return _dense(first * (int(inner.max(initial=0)) + 1) + second)
+
+
+def _dense(key: np.ndarray) -> np.ndarray:
+    order = np.argsort(key)
+    ranked = key[order]
+    steps = np.zeros(len(key), dtype=np.int32)
+    np.cumsum(ranked[1:] != ranked[:-1], out=steps[1:])
+    out = np.empty(len(key), dtype=np.int64)
+    out[order] = steps
+    return out
+
+
+def suffix_array(ids: np.ndarray, depth: int, starts: np.ndarray | None = None) -> np.ndarray:
+    """The suffixes at ``starts`` (all, if None) in the order of their first ``depth`` ids."""
+    starts = np.arange(len(ids)) if starts is None else starts
+    # What is beyond the end comes before every id.
+    ranks = _ranks(np.concatenate([ids.astype(np.int32) + 1, np.zeros(depth, dtype=np.int32)]), starts, depth)
+    return starts[np.argsort(ranks.astype(np.int32))]
 
 
 def intervals(ids: np.ndarray, order: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """(starts, counts) of the LCP intervals of ``depth``: one place of each stretch of ``depth`` words without a cut."""
-    n = len(ids)
+    n = len(order)
     same, whole = np.ones(max(n - 1, 0), dtype=bool), np.ones(n, dtype=bool)
     padded = np.concatenate([ids, np.zeros(depth, dtype=ids.dtype)])
     for i in range(depth):
@@ -93,7 +111,8 @@ class PhraseFilter:
 
     def has(self, hashes: np.ndarray) -> np.ndarray:
         at = places(hashes, self.power)
-        return np.logical_and(*((self.bits[p >> np.uint64(6)] >> (p & np.uint64(63))) & np.uint64(1) for p in at))
+        one, two = ((self.bits[p >> np.uint64(6)] >> (p & np.uint64(63))) & np.uint64(1) for p in at)
+        return (one & two).astype(bool)
 
 
 def places(hashes: np.ndarray, power: int) -> tuple[np.ndarray, np.ndarray]:
@@ -105,19 +124,27 @@ def _lang_hash(lang: str) -> np.uint64:
     return np.uint64(WordHash()[b"\0" + lang.encode()])
 
 
+def _starts(ids: np.ndarray, words: list[bytes], lang: str, level: int, known: PhraseFilter | None) -> np.ndarray:
+    """Where a stretch of ``level`` words stands that may be frequent, as its first and last level - 1 words are known."""
+    n = len(ids) - level + 1
+    if n <= 0:
+        return np.zeros(0, dtype=np.int64)
+    good = ids[:n] != 0
+    for i in range(1, level):
+        good &= ids[i : n + i] != 0
+    if known is not None:
+        has = known.has(Rolling(WordHash().of(words)[ids]).every(level - 1) + _lang_hash(lang))
+        good &= has[:n] & has[1 : n + 1]
+    return np.flatnonzero(good)
+
+
 def _count(seqs: dict[str, list[np.ndarray]], vocabs: dict[str, _Ids], level: int, known: PhraseFilter | None) -> Iterator[pa.RecordBatch]:
     for lang, parts in seqs.items():
         ids = np.concatenate(parts)
         words = list(vocabs[lang])
-        order = suffix_array(ids, level)
+        order = suffix_array(ids, level, _starts(ids, words, lang, level, known))
         starts, counts = intervals(ids, order, level)
         del order
-        if known is not None and len(starts):
-            hashes = WordHash().of(words)
-            stretches = Rolling(hashes[ids]).every(level - 1) + _lang_hash(lang)
-            kept = known.has(stretches[starts])
-            kept[kept] = known.has(stretches[starts[kept] + 1])
-            starts, counts = starts[kept], counts[kept]
         values = pa.array(words, pa.binary())
         for at in range(0, len(starts), 100_000):
             own = starts[at : at + 100_000]
@@ -132,13 +159,15 @@ def _count(seqs: dict[str, list[np.ndarray]], vocabs: dict[str, _Ids], level: in
 def word_blocks(texts: DataFrame) -> DataFrame:
     """(lang, words, ids): the words of ``texts(lang, text)`` in blocks, a block's ids pointing into its own words.
 
+    ``words`` are joined by blanks, which no word has, and begin with the word that stands for a cut; ids are bytes.
+
     A block is full with BLOCK_WORDS words or the text that goes beyond, and a task's last ones may be short.
     """
 
     def block(lang: str, vocab: _Ids, parts: list[np.ndarray]) -> pa.RecordBatch:
         ids = np.concatenate(parts)
         ids = ids.astype(np.uint16 if len(vocab) <= 1 << 16 else np.uint32)
-        columns = [pa.array([lang]), pa.array([list(vocab)], pa.list_(pa.binary())), pa.array([ids.tobytes()], pa.binary())]
+        columns = [pa.array([lang]), pa.array([b" ".join(vocab)], pa.binary()), pa.array([ids.tobytes()], pa.binary())]
         return pa.RecordBatch.from_arrays(columns, names=["lang", "words", "ids"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,7 +187,7 @@ def word_blocks(texts: DataFrame) -> DataFrame:
         for lang, (vocab, parts) in held.items():
             yield block(lang, vocab, parts)
 
-    return text_batches(texts).mapInArrow(run, "lang string, words array<binary>, ids binary")
+    return text_batches(texts).mapInArrow(run, "lang string, words binary, ids binary")
 
 
 def phrase_counts(blocks: DataFrame, level: int, known=None) -> DataFrame:
@@ -175,6 +204,7 @@ def phrase_counts(blocks: DataFrame, level: int, known=None) -> DataFrame:
         for batch in batches:
             for row in range(batch.num_rows):
                 lang, words, data = (batch.column(i)[row].as_py() for i in range(3))
+                words = words.split(b" ")
                 numbers = np.fromiter(map(vocabs[lang].__getitem__, words), dtype=np.int32, count=len(words))
                 ids = np.frombuffer(data, dtype=np.uint16 if len(words) <= 1 << 16 else np.uint32)
                 seqs[lang].append(numbers[ids])
@@ -251,35 +281,36 @@ def collocations(docs: DataFrame, max_words: int = 3, least: int = 10, inside: i
     longer = levels[1]
     for frequent in levels[2:]:
         longer = longer.unionByName(frequent)
-    scored = _scored(longer, counts)
-    kept = _maximal(scored, inside) if max_words > 2 else scored
+    kept = _scored(_maximal(longer, inside) if max_words > 2 else longer, counts, max_words)
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), F.asc("phrase"))
     ranked = kept.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= top)
     return ranked.join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 
 
-def _scored(phrases: DataFrame, counts: DataFrame) -> DataFrame:
-    """(lang, phrase, a, l, r, score) of each phrase at its lowest cut."""
+def _scored(phrases: DataFrame, counts: DataFrame, max_words: int = 3) -> DataFrame:
+    """(lang, phrase, a, l, r, score) of each phrase at its lowest cut. Both parts of all cuts are looked up in one join."""
     words, cuts = _ordered("phrase")
     rows = phrases.select("lang", "phrase", F.col("n").alias("a"), words.alias("words"), F.explode(cuts).alias("k"))
-    part = lambda a, b: F.array_join(F.slice("words", a, b), " ")
-    rows = rows.select("lang", "phrase", "a", "k", part(F.lit(1), F.col("k")).alias("first"), part(F.col("k") + 1, F.size("words")).alias("rest"))
-    for name, of in (("l", "first"), ("r", "rest")):
-        side = counts.select("lang", F.col("phrase").alias(of), F.col("n").alias(name))
-        rows = salted_join(rows, side, ["lang", of], F.col("phrase"))
+    part = lambda side, a, b: F.struct(F.lit(side).alias("side"), F.array_join(F.slice("words", a, b), " ").alias("part"))
+    parts = F.array(part("l", F.lit(1), F.col("k")), part("r", F.col("k") + 1, F.size("words")))
+    rows = rows.select("lang", "phrase", "a", "k", F.explode(parts).alias("p")).select("lang", "phrase", "a", "k", "p.*")
+    found = salted_join(rows, counts.select("lang", F.col("phrase").alias("part"), "n"), ["lang", "part"], F.col("phrase"))
+    of = lambda side, k: F.max(F.when((F.col("side") == side) & (F.col("k") == k), F.col("n"))).alias(f"{side}{k}")
+    wide = found.groupBy("lang", "phrase", "a").agg(*[of(side, k) for k in range(1, max_words) for side in "lr"])
     whole = lambda c: F.col(c).cast("decimal(13,0)")
-    rows = rows.withColumns({"top": whole("a") * whole("a") * F.lit(1_000_000).cast("decimal(7,0)"), "below": whole("l") * whole("r")})
-    rows = rows.withColumn("score", F.expr("top div below"))
-    best = F.min_by(F.struct("l", "r", "score"), F.struct("score", "k"))
-    return rows.groupBy("lang", "phrase", "a").agg(best.alias("best")).select("lang", "phrase", "a", "best.*")
+    for k in range(1, max_words):
+        wide = wide.withColumns({f"top{k}": whole("a") * whole("a") * F.lit(1_000_000).cast("decimal(7,0)"), f"below{k}": whole(f"l{k}") * whole(f"r{k}")})
+    cut = lambda k: F.when(F.col(f"l{k}").isNotNull(), F.struct(F.expr(f"top{k} div below{k}").alias("score"), F.lit(k).alias("k"), F.col(f"l{k}").alias("l"), F.col(f"r{k}").alias("r")))
+    best = wide.select("lang", "phrase", "a", F.array_min(F.array_compact(F.array(*map(cut, range(1, max_words))))).alias("best"))
+    return best.select("lang", "phrase", "a", "best.l", "best.r", "best.score")
 
 
-def _maximal(scored: DataFrame, inside: int) -> DataFrame:
-    """Without phrases that a longer one, found ``inside`` percent as often at least, holds."""
+def _maximal(phrases: DataFrame, inside: int) -> DataFrame:
+    """``phrases(lang, phrase, n)`` without those that a longer one, found ``inside`` percent as often at least, holds."""
     words, _ = _ordered("phrase")
-    n = F.size("words")
-    starts = F.flatten(F.transform(F.sequence(F.lit(2), n - 1), lambda size: F.transform(F.sequence(F.lit(1), n - size + 1), lambda at: F.array_join(F.slice("words", at, size), " "))))
-    parts = scored.select("lang", "a", words.alias("words")).where(n > 2).select("lang", "a", F.explode(starts).alias("phrase"))
-    held = parts.groupBy("lang", "phrase").agg(F.max("a").alias("held"))
-    out = scored.join(held, ["lang", "phrase"], "left")
-    return out.where(F.col("held").isNull() | (100 * F.col("held") < inside * F.col("a"))).drop("held")
+    size = F.size("words")
+    starts = F.flatten(F.transform(F.sequence(F.lit(2), size - 1), lambda n: F.transform(F.sequence(F.lit(1), size - n + 1), lambda at: F.array_join(F.slice("words", at, n), " "))))
+    parts = phrases.select("lang", "n", words.alias("words")).where(size > 2).select("lang", "n", F.explode(starts).alias("phrase"))
+    held = parts.groupBy("lang", "phrase").agg(F.max("n").alias("held"))
+    out = phrases.join(held, ["lang", "phrase"], "left")
+    return out.where(F.col("held").isNull() | (100 * F.col("held") < inside * F.col("n"))).drop("held")

@@ -124,7 +124,7 @@ def parse_payload(text: Column, kind: str) -> Column:
 
 
 #: The kind of parser that takes each label of a page's regions.
-REGION_PARSERS = {"table": "table", "figure": "image", "picture": "image", "image": "image", "formula": "image"}
+REGION_PARSERS = {"table": "table", "figure": "image", "picture": "image", "image": "image", "chart": "image"}
 
 
 def region_parser(label: Column) -> Column:

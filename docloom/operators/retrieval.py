@@ -26,7 +26,8 @@ BATCH = 10_000
 CANDIDATES = 1_000_000
 
 
-def _checked(queries: DataFrame, limit: int = BATCH) -> DataFrame:
+def checked(queries: DataFrame, limit: int = BATCH) -> DataFrame:
+    """A batch of searches, to be broadcast; refused above ``limit`` rows."""
     if queries.limit(limit + 1).count() > limit:
         raise ValueError(f"a batch holds at most {limit} searches; split it")
     return F.broadcast(queries)
@@ -50,7 +51,7 @@ def holders(texts: DataFrame, terms: DataFrame, key: str, item: str = "item") ->
     words = F.regexp_extract_all("term", F.lit("[a-z0-9]+"), F.lit(0))
     inner = F.slice(words, F.lit(2), F.greatest(F.size(words) - 2, F.lit(0)))
     longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
-    keyed = _checked(terms.where("term <> ''").select(item, "term", longest.alias("word")), 100_000)
+    keyed = checked(terms.where("term <> ''").select(item, "term", longest.alias("word")), 100_000)
     spelt = texts.select(key, F.explode(F.array_distinct(F.regexp_extract_all("low", F.lit("[a-z0-9]+"), F.lit(0)))).alias("word"))
     pairs = spelt.join(F.broadcast(keyed.where("word is not null").select(item, "word")), "word").select(key, item)
     pairs = pairs.join(F.broadcast(keyed.select(item, "term")), item)
@@ -70,7 +71,7 @@ def top(rows: DataFrame, score: str, k: int, *key: str, ties: tuple[str, ...] =
 
 def token_hits(evidence: DataFrame, queries: DataFrame) -> DataFrame:
     """(query_id, evidence_id, score): 2 for each token shared, 5 if the text holds the whole query; hits only."""
-    q = _checked(queries.select("query_id", F.explode(T.tokens(F.col("query"))).alias("token")))
+    q = checked(queries.select("query_id", F.explode(T.tokens(F.col("query"))).alias("token")))
     words = evidence.select("evidence_id", F.explode(T.tokens(F.col("text"))).alias("token"))
     shared = words.join(q, "token").groupBy("query_id", "evidence_id").agg((F.count(F.lit(1)) * 2.0).alias("score"))
     texts = evidence.select("evidence_id", F.lower("text").alias("low"))
@@ -82,7 +83,7 @@ def token_hits(evidence: DataFrame, queries: DataFrame) -> DataFrame:
 def _in_all(evidence: DataFrame, queries: DataFrame, *carried: str) -> DataFrame:
     """(query_id, evidence_id, carried…, size, saturated): texts with every token of a query, summed over its tokens."""
     q = queries.select("query_id", T.tokens(F.col("query")).alias("q")).where(F.size("q") > 0)
-    q = _checked(q.select("query_id", F.size("q").alias("size"), F.explode("q").alias("token")), 20 * BATCH)
+    q = checked(q.select("query_id", F.size("q").alias("size"), F.explode("q").alias("token")), 20 * BATCH)
     words = evidence.select("evidence_id", *carried, F.explode(T.token_list(F.col("text"))).alias("token"))
     tf = words.join(q, "token").groupBy("query_id", "evidence_id", "size", *carried, "token").agg(F.count(F.lit(1)).alias("tf"))
     found = tf.groupBy("query_id", "evidence_id", "size", *carried).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("tf") / (F.col("tf") + 1)).alias("saturated"))
@@ -96,7 +97,7 @@ def lexical(evidence: DataFrame, queries: DataFrame) -> DataFrame:
 
 def vector(embeddings: DataFrame, queries: DataFrame, limit: int = VEC_LIMIT) -> DataFrame:
     """(query_id, evidence_id, score): the ``limit`` vectors of largest cosine, over ``embeddings(evidence_id, embedding)``."""
-    q = _checked(queries.select("query_id", F.col("query_embedding").alias("qe")).where("qe is not null"))
+    q = checked(queries.select("query_id", F.col("query_embedding").alias("qe")).where("qe is not null"))
     pairs = embeddings.join(q).select("query_id", "evidence_id", F.round(G.cosine(F.col("embedding"), F.col("qe")), 9).alias("score"))
     return top(pairs.where("score is not null"), "score", limit, "query_id").drop("rank")
 
@@ -121,10 +122,15 @@ def fts_only(evidence: DataFrame, queries: DataFrame, top_k: int = TOP_K) -> Dat
 
 
 def keyword(evidence: DataFrame, queries: DataFrame, top_k: int = TOP_K) -> DataFrame:
-    """(query_id, evidence_id, rank): texts with all tokens or with the query as a LIKE pattern; newest first."""
+    """(query_id, evidence_id, rank): texts with all tokens or with the query as a LIKE pattern; newest first.
+
+    The pattern is looked for in ``text`` and, where the evidence has such a column, in ``markdown``.
+    """
     every = _in_all(evidence, queries, "created_at").select("query_id", "evidence_id", "created_at")
     patterns = literal(queries.select("query_id", F.concat(F.lit("%"), "query", F.lit("%")).alias("pattern")))
-    like = F.filter(patterns, lambda x: F.call_function("ilike", F.col("text"), x["pattern"]))
+    holds = lambda c, x: F.coalesce(F.call_function("ilike", F.col(c), x["pattern"]), F.lit(False))
+    marked = "markdown" in evidence.columns
+    like = F.filter(patterns, lambda x: holds("text", x) | holds("markdown", x) if marked else holds("text", x))
     found = evidence.select("evidence_id", "created_at", F.explode(F.transform(like, lambda x: x["query_id"])).alias("query_id"))
     found = every.unionByName(found).distinct()
     order = W.partitionBy("query_id").orderBy(F.col("created_at").desc(), "evidence_id")
@@ -141,7 +147,7 @@ def with_fallback(ranked: DataFrame, fallback: DataFrame, queries: DataFrame) ->
 
 def bm25(evidence: DataFrame, queries: DataFrame, top_k: int = TOP_K, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """(query_id, evidence_id, score, rank) by BM25. Only tokens of the searches leave the texts, counted per text."""
-    q = _checked(queries.select("query_id", F.explode(T.tokens(F.col("query"))).alias("term")).distinct())
+    q = checked(queries.select("query_id", F.explode(T.tokens(F.col("query"))).alias("term")).distinct())
     words = evidence.select("evidence_id", T.token_list(F.col("text")).alias("w"))
     stats = F.broadcast(words.agg(F.count(F.lit(1)).alias("docs"), F.greatest(F.avg(F.size("w")), F.lit(1e-9)).alias("mean")))
     tf = words.select("evidence_id", F.size("w").alias("length"), F.explode("w").alias("term")).join(F.broadcast(q.select("term").distinct()), "term", "left_semi")
@@ -187,9 +193,9 @@ def plan_fields(fields: DataFrame) -> DataFrame:
     )
 
 
-def _has_type_of(kinds: list[str]) -> Callable[[Column], Column]:
-    """Whether the text matches the pattern of a field's type, each pattern being tried once for a text."""
-    held = {k: C.has_type(F.col("text"), k) for k in kinds if k in C.TYPE_PATTERNS}
+def _has_type_of() -> Callable[[Column], Column]:
+    """Whether the text matches the pattern of a field's type; only the patterns of types that fields have are tried."""
+    held = {k: C.has_type(F.col("text"), k) for k in C.TYPE_PATTERNS}
 
     def of(kind: Column) -> Column:
         out = F.lit(False)
@@ -200,10 +206,6 @@ def _has_type_of(kinds: list[str]) -> Callable[[Column], Column]:
     return of
 
 
-def _kinds(fields: DataFrame) -> list[str]:
-    return sorted(r["type"] for r in fields.select("type").where("type is not null").distinct().limit(100).collect())
-
-
 def rank_for_fields(chunks: DataFrame, fields: DataFrame, k: int = 5) -> DataFrame:
     """(field_path, chunk_id, score, rank): 2 a shared token, 3 a keyword, 8 the field's name in words, 2 its type's pattern.
 
@@ -213,7 +215,7 @@ def rank_for_fields(chunks: DataFrame, fields: DataFrame, k: int = 5) -> DataFra
     own = T.tokens(F.concat_ws(" ", "field_path", F.coalesce("description", F.lit(""))))
     asked = fields.select("field_path", "type", F.transform("keywords", F.lower).alias("keywords"), name.alias("name"), own.alias("q"))
     rows = chunks.select("chunk_id", "text", F.lower("text").alias("low"), T.tokens(F.col("text")).alias("t"))
-    has = _has_type_of(_kinds(fields))
+    has = _has_type_of()
     score = lambda f: (
         2.0 * T.overlap(F.col("t"), f["q"])
         + 3.0 * F.size(F.filter(f["keywords"], lambda w: F.contains(F.col("low"), w)))
@@ -233,7 +235,7 @@ def candidates_for_fields(chunks: DataFrame, fields: DataFrame, k: int = 8) -> D
     asked = fields.select("field_path", "type", names.alias("names"), own.alias("q")).withColumn("images", wants)
     rows = chunks.select("chunk_id", "kind", "page", "text", T.tokens(F.col("text")).alias("t"), T.normalise(F.col("text")).alias("norm"))
     picture = (F.col("kind") == "image") | F.contains("text", F.lit("Image evidence:"))
-    has = _has_type_of(_kinds(fields))
+    has = _has_type_of()
     score = lambda f: (
         F.when((F.col("kind") == "table") & (f["type"] == "table"), 8.0).otherwise(0.0)
         + 10.0 * F.size(F.filter(f["names"], lambda n: F.contains(F.col("norm"), n)))
@@ -254,7 +256,9 @@ def evidence_packs(ranked: DataFrame) -> DataFrame:
     admission of one item depends on what was cut before, so a field's few ranked items are folded in order.
     """
     kind = "struct<evidence_id:string,role:string,tokens:int,content:string>"
-    rows = ranked.where(T.strip(F.col("content")) != "")
+    # Each item that is looked at before the pack is full is admitted, so those past max_items never are.
+    place = F.row_number().over(W.partitionBy("field_path", "max_tokens", "max_items", "max_tables").orderBy("rank", "evidence_id", "source_type", "content"))
+    rows = ranked.where(T.strip(F.col("content")) != "").withColumn("_place", place).where(F.col("_place") <= F.col("max_items"))
     packs = rows.groupBy("field_path", "max_tokens", "max_items", "max_tables").agg(
         F.array_sort(F.collect_list(F.struct("rank", "evidence_id", "source_type", "content"))).alias("r")
     )
@@ -300,7 +304,7 @@ def progressive(hits: DataFrame, plan: DataFrame) -> DataFrame:
     preferred_source, max_items)`` what the planner says. The first attempt takes three rows of the preferred source, or
     of any where that has none; the second eight and the third max_items of any.
     """
-    rows = hits.join(F.broadcast(_checked(plan.select("field_path", "preferred_source", "max_items"))), "field_path")
+    rows = hits.join(F.broadcast(checked(plan.select("field_path", "preferred_source", "max_items"))), "field_path")
     preferred = F.col("preferred_source").isNull() | F.coalesce(F.col("source_type") == F.col("preferred_source"), F.lit(False))
     order = lambda *key: W.partitionBy("field_path", *key).orderBy(F.col("score").desc(), "evidence_id")
     rows = rows.withColumn("_own", preferred)
@@ -323,18 +327,24 @@ def register_embedder(name: str, embed: Callable) -> None:
 
 
 def embed(rows: DataFrame, name: str, column: str = "text", batch: int = 64) -> DataFrame:
-    """``rows`` with ``embedding array<float>`` by a registered embedder, in batches; empty for texts that it fails on."""
+    """``rows`` with ``embedding array<float>`` by a registered embedder, in batches; empty for texts that it fails on.
+
+    A batch that fails is halved until what fails is one text. ``vector`` and the vector index pass empty vectors over.
+    """
     made = _EMBEDDERS[name]
 
+    def tried(part: list[str]) -> list[list[float]]:
+        try:
+            return [list(map(float, v)) for v in made(part)]
+        except Exception:  # the service refuses it; the text can be embedded again later
+            half = len(part) // 2
+            return tried(part[:half]) + tried(part[half:]) if half else [[]]
+
     @F.pandas_udf("array<float>")
     def vectors(texts: pd.Series) -> pd.Series:
         out = []
         for at in range(0, len(texts), batch):
-            part = texts.iloc[at : at + batch].fillna("").tolist()
-            try:
-                out += [list(map(float, v)) for v in made(part)]
-            except Exception:  # a batch that the service refuses has no vectors; it can be embedded again
-                out += [[] for _ in part]
+            out += tried(texts.iloc[at : at + batch].fillna("").tolist())
         return pd.Series(out)
 
     return rows.withColumn("embedding", vectors(F.col(column)))

@@ -106,7 +106,7 @@ def list_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "lab_values",
     """
-select p_partkey, p_name as labelled, 'v ' || p_size as by_line, '["' || p_name || '","' || p_type || '"]' as listed, p_name || ' best' as line, 'x' as patterned from part
+select p_partkey, p_name as labelled, 'v ' || p_size as by_line, '["' || p_name || '","' || p_type || '"]' as listed, p_name || ' best' as line from part
 """,
 )
 def lab_values(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,7 +115,7 @@ def lab_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     best = F.concat(F.lit("nothing\n| "), name, F.lit(" best |\nother"))
     return _t(spark, sf_dir, "part").select(
         "p_partkey", extraction.labelled_value(text, F.lit("part_name")).alias("labelled"), extraction.labelled_value(text, F.lit("size net")).alias("by_line"),
-        F.to_json(assembly.list_items(text, F.lit("nowhere"))).alias("listed"), extraction.best_line(best, T.tokens(F.concat(name, F.lit(" best")))).alias("line"), F.lit("x").alias("patterned"),
+        F.to_json(assembly.list_items(text, F.lit("nowhere"))).alias("listed"), extraction.best_line(best, T.tokens(F.concat(name, F.lit(" best")))).alias("line"),
     )
 
 

@@ -416,8 +416,8 @@ def page_upserts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "task_chains",
     """
-select o_orderkey as document_id, 'deep_parse' as task_type, o_orderpriority as priority, 'ocr_done' as shown from orders where o_orderstatus = 'F' and o_orderkey % 3 = 0
-union all select o_orderkey, 'index_evidence', o_orderpriority, 'ocr_done' from orders where o_orderstatus = 'F' and o_orderkey % 3 = 1
+select o_orderkey as document_id, 'deep_parse' as task_type, o_orderpriority as priority from orders where o_orderstatus = 'F' and o_orderkey % 3 = 0
+union all select o_orderkey, 'index_evidence', o_orderpriority from orders where o_orderstatus = 'F' and o_orderkey % 3 = 1
 """,
 )
 def task_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -425,7 +425,7 @@ def task_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
     task = F.when(k % 3 == 0, "quick_parse").when(k % 3 == 1, "deep_parse").otherwise("index_evidence")
     status = F.when(F.col("o_orderstatus") == "F", "completed").otherwise("running")
     rows = _t(spark, sf_dir, "orders").select(k.alias("document_id"), task.alias("task_type"), status.alias("status"), F.col("o_orderpriority").alias("priority"))
-    return operations.chain(rows).select("document_id", "task_type", "priority", operations.document_status(F.lit("indexed")).alias("shown"))
+    return operations.chain(rows).select("document_id", "task_type", "priority")
 
 
 @query(

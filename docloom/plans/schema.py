@@ -80,11 +80,16 @@ def schema_errors(schema: dict) -> list[str]:
 
 
 def flatten(spark: SparkSession, fields: tuple[Field, ...]) -> DataFrame:
-    """(field_path, parent, depth, label, type, description, required): one row a field, children below dotted paths."""
+    """(field_path, parent, depth, label, type, description, required): one row a field, children below dotted paths.
+
+    A schema of more than MAX_FIELDS fields, children counted, is refused; children below MAX_DEPTH are left out.
+    """
     rows: list[tuple] = []
 
     def walk(items: tuple[Field, ...], parent: str, depth: int) -> None:
-        for f in items[: MAX_FIELDS - len(rows)] if depth <= MAX_DEPTH else ():
+        for f in items if depth <= MAX_DEPTH else ():
+            if len(rows) >= MAX_FIELDS:
+                raise ValueError(f"a schema has at most {MAX_FIELDS} fields, at all depths together")
             path = f"{parent}.{f.key}" if parent else f.key
             rows.append((path, parent or None, depth, f.label or f.key.replace("_", " "), f.type, f.description or None, f.required))
             walk(f.children, path, depth + 1)

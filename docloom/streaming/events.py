@@ -44,24 +44,26 @@ def distinct_events(events: DataFrame, late: str = "1 hour") -> DataFrame:
 
 
 _RUNNING = "user_id long, events long, total double, last_type string"
+_KEPT = "events long, total double, last_type string, last_us long, last_id long"
 
 
 def _running(key: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    n, total, last = state.get if state.exists else (0, 0.0, "")
-    newest = None
+    n, total, last, *newest = state.get if state.exists else (0, 0.0, "", -(1 << 62), -(1 << 62))
     for batch in batches:
         n, total = n + len(batch), total + float(batch["value"].sum())
         row = batch.sort_values(["ts", "event_id"]).iloc[-1]
-        if newest is None or (row["ts"], row["event_id"]) > newest:
-            newest, last = (row["ts"], row["event_id"]), row["event_type"]
-    state.update((n, total, last))
+        at = [int(row["ts"].value // 1000), int(row["event_id"])]
+        # An event that comes late doesn't take the place of a newer one of an earlier micro-batch.
+        if at > newest:
+            newest, last = at, row["event_type"]
+    state.update((n, total, last, *newest))
     yield pd.DataFrame({"user_id": [key[0]], "events": [n], "total": [total], "last_type": [last]})
 
 
 def running_totals(events: DataFrame) -> DataFrame:
     """(user_id, events, total, last_type) of each user so far, updated with each micro-batch; streams only."""
     return events.select("user_id", "ts", "event_id", "event_type", "value").groupBy("user_id").applyInPandasWithState(
-        _running, _RUNNING, "events long, total double, last_type string", "update", GroupStateTimeout.NoTimeout
+        _running, _RUNNING, _KEPT, "update", GroupStateTimeout.NoTimeout
     )
 
 

@@ -226,7 +226,8 @@ def train(rows: DataFrame) -> DataFrame:
     alone = line(nobody, "b", [no, no, *counts, no, no, no, no, no, no, no])
     second = line(nobody, "b", [*thin, no, no, no, no, no, no, (own == 1).cast("long"), (own == 2).cast("long"), F.lit(1).cast("long")])
     first = line(nobody, "a", [no, no, no, no, *counts, *thin, no, no, no])
-    # A bigram of one text is never evidence beyond its words, as no first word stands in more texts than there are bigrams.
+    # A bigram of one text can be evidence only after a first word with more bigrams, text by text, than there are distinct
+    # ones (below): its statistic is at most twice the logarithm of the former, the threshold that of the latter.
     both = line(F.col("a"), "b", [no, no, *counts, no, no, no, no, no, no, no])
     pair = F.array(second, first, F.when(F.col("toxic") + F.col("ordinary") > 1, both))
     out = F.when(F.col("a") == int(_BREAK), F.array(alone)).otherwise(pair)
@@ -248,7 +249,11 @@ def train(rows: DataFrame) -> DataFrame:
     sides = words.select("b", "in_toxic", "in_ordinary", "texts_toxic", "texts_ordinary")
     values = sides.mapInArrow(_word_values(d), "b long, log_toxic double, log_ordinary double, ratio double")
     contexts = grams.where("a is null and all_toxic + all_ordinary > 1").select(F.col("b").alias("a"), *[f"{x}_{k}" for x in ("all", "kinds") for k in kinds])
-    told = grams.where("a is not null").select("a", "b", F.col("texts_toxic").alias("toxic"), F.col("texts_ordinary").alias("ordinary")).join(contexts, "a")
+    told = grams.where("a is not null").select("a", "b", F.col("texts_toxic").alias("toxic"), F.col("texts_ordinary").alias("ordinary"))
+    wide = table(contexts.where(F.col("all_toxic") + F.col("all_ordinary") > d["n_pairs"]).select("a"))
+    if not wide.isEmpty():
+        told = told.unionByName(pairs.where("toxic + ordinary = 1").join(small(wide, BROADCAST_GRAMS), "a").select("a", "b", "toxic", "ordinary"))
+    told = told.join(contexts, "a")
     share = F.col("all_toxic") / (F.col("all_toxic") + F.col("all_ordinary"))
     told = told.withColumn("g", _evidence(F.col("toxic"), F.col("ordinary"), share)).where(F.col("g") > d["t_pair"])
     told = small(table(told), BROADCAST_GRAMS).join(values, "b")

@@ -214,13 +214,23 @@ def _models(texts):
     t_pair = 2 * math.log(max(len(pair), 2))
     for (a, b), n in pair.items():
         g = evidence(n, every[a][1] / sum(every[a]))
-        if sum(n) < 2 or g <= t_pair:
+        if g <= t_pair:
             continue
         p = [(s[k] * n[k] - off_pair * thin(n[k], k) + off_pair * kinds[a][k] * math.exp(logs[b][k])) / (s[k] * every[a][k]) if every[a][k] else math.exp(logs[b][k]) for k in (0, 1)]
         values[a, b] = (1 - t_pair / g) * (clip(math.log(p[1] + 1e-12) - math.log(p[0] + 1e-12)) - ratio[b])
     return {k: v for k, v in values.items() if abs(v) > 1e-9}
 
 
+def test_a_bigram_of_one_text_can_be_evidence(spark):
+    """A usual first word with hardly any words beside it: one toxic text with another second word tells."""
+    texts = [(f"a b {'a ' * (i % 3)}b", 0) for i in range(400)] + [(f"b a b{' b' * i}", 0) for i in range(300)] + [("a zz b", 1), ("b b", 1)]
+    expected, cache = _models(texts), WordHash()
+    key = lambda x: np.uint64(cache[x.encode()]) & toxicity.WORD_BITS
+    pair = toxicity._pair_key(np.array([key("a")]), np.array([key("zz")]))[0]
+    found = {r.gram: r.value for r in toxicity.train(spark.createDataFrame(texts, "text string, toxic int")).collect()}
+    assert ("a", "zz") in expected and abs(found[int(pair.astype(np.uint64).view(np.int64))] - expected["a", "zz"]) < 0.01
+
+
 @pytest.mark.parametrize("every", [2, 6])
 def test_models_by_definition(spark, every):
     rng = np.random.default_rng(every)

@@ -240,7 +240,7 @@ _HEADS = ["item", "now", "before", "change"]
     "loose_rows",
     r"""
 with c as (
-  select c_custkey, c_mktsegment || ' ' || c_name || case when c_custkey % 4 = 0 then ' net' else '' end || '  (' || cast(cast(c_acctbal as bigint) as varchar) || ') ' || (c_custkey * 1000) || case when c_custkey % 3 = 0 then ' 7.25' else '' end as line from customer
+  select c_custkey, c_mktsegment || ' ' || c_name || case when c_custkey % 4 = 0 then ' net' else '' end || '  (' || cast(cast(floor(c_acctbal) as bigint) as varchar) || ') ' || (c_custkey * 1000) || case when c_custkey % 3 = 0 then ' 7.25' else '' end as line from customer
 ),
 x as (select c_custkey, regexp_replace(line, '\s+', ' ', 'g') as line from c),
 n as (select *, regexp_extract_all(line, '(?:\(?-?\d[\d,]*(?:\.\d+)?\)?|[-–—]|[Nn]il)\b') as ns from x),
@@ -251,7 +251,7 @@ select c_custkey, label || '|' || repeat('|', 3 - least(len(ns), 3)::int) || arr
 def loose_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = _t(spark, sf_dir, "customer")
     line = F.concat(
-        "c_mktsegment", F.lit(" "), "c_name", F.when(F.col("c_custkey") % 4 == 0, " net").otherwise(""), F.lit("  ("), F.round("c_acctbal").cast("long").cast("string"), F.lit(") "),
+        "c_mktsegment", F.lit(" "), "c_name", F.when(F.col("c_custkey") % 4 == 0, " net").otherwise(""), F.lit("  ("), F.floor("c_acctbal").cast("long").cast("string"), F.lit(") "),
         (F.col("c_custkey") * 1000).cast("string"), F.when(F.col("c_custkey") % 3 == 0, " 7.25").otherwise(""),
     )
     lines = F.array(line, F.lit("| a | b |"), F.lit("---"), F.lit(""), F.lit("plain words only"))

@@ -2,7 +2,7 @@
 
 A conversation's signature has a letter for each row, of its role's initial and its fault. Rows are dealt by conversation
 and stream through a task in order; texts wait in a spool (in memory up to SPOOL_BYTES, then in a file of the task's own)
-until the edits are known, so a task holds a byte or two of each row, never a conversation's texts. The signatures of a
+until the edits are known, so a task holds some dozens of bytes of each row, never a conversation's texts. The signatures of a
 batch of conversations are sorted and inserted into a prefix trie; a node holds the DP's layer after its prefix, the least
 cost of each state, so a prefix that many signatures share is computed once. At a terminal node the edits are read back.
 
@@ -75,29 +75,28 @@ def _layer(before: tuple[int, ...], letter: str) -> tuple[int, ...]:
 
 
 class Trie:
-    """Signatures, inserted in sorted order; each node holds its DP layer, computed when the node is made."""
+    """Signatures, inserted in sorted order; each node holds its DP layer, computed when the node is made.
+
+    In that order a prefix that another signature has is one of the signature's just before, so the path to that one is
+    all that has to be kept of the nodes' links.
+    """
 
     def __init__(self) -> None:
-        self.layers = [_layer((0, _FAR, _FAR, _FAR), "")]
-        self.children: list[dict[str, int]] = [{}]
-        self.path, self.last = [0], ""
+        self.nodes, self.path, self.last = 1, [_layer((0, _FAR, _FAR, _FAR), "")], ""
 
-    def insert(self, signature: str) -> list[int]:
-        """The nodes of each prefix; those shared with the signature before it are found on its path."""
+    def insert(self, signature: str) -> list[tuple[int, ...]]:
+        """The layers after each prefix; those shared with the signature before it are on its path."""
         shared = 0
         for x, y in zip(self.last, signature, strict=False):
             if x != y:
                 break
             shared += 1
-        path = self.path[: shared + 1]
+        path = self.path
+        del path[shared + 1 :]
         for letter in signature[shared:]:
-            node = self.children[path[-1]].get(letter)
-            if node is None:
-                node = self.children[path[-1]][letter] = len(self.layers)
-                self.layers.append(_layer(self.layers[path[-1]], letter))
-                self.children.append({})
-            path.append(node)
-        self.path, self.last = path, signature
+            path.append(_layer(path[-1], letter))
+            self.nodes += 1
+        self.last = signature
         return path
 
     def edits(self, signature: str) -> tuple[int, str]:
@@ -106,28 +105,31 @@ class Trie:
         From the terminal node back, the states that lie on some cheapest path are marked layer by layer; then the edits
         are read forward, at each place the first that leads to a marked state at the price that the layers say.
         """
-        path = self.insert(signature)
-        layers = [self.layers[node] for node in path]
+        layers = self.insert(signature)
         n = len(signature)
         end = min(_ENDS, key=lambda q: layers[n][q])
         least = layers[n][end]
-        marked = [set() for _ in range(n + 1)]
-        marked[n] = {q for q in _ENDS if layers[n][q] == least}
+        marked = bytearray(n + 1)  # a bit for each state
+        marked[n] = sum(1 << q for q in _ENDS if layers[n][q] == least)
         for i in range(n, -1, -1):
             now = layers[i]
             for _ in range(2):
-                marked[i] |= {q for q, (_, to) in enumerate(_NEXT) if to in marked[i] and now[q] + INSERT == now[to]}
+                for q, (_, to) in enumerate(_NEXT):
+                    if marked[i] >> to & 1 and now[q] + INSERT == now[to]:
+                        marked[i] |= 1 << q
             if i:
                 before, off = layers[i - 1], now[4]
-                marked[i - 1] = {q for q, to, price, _ in _steps(signature[i - 1]) if to in marked[i] and before[q] + price == now[to] + off}
+                for q, to, price, _ in _steps(signature[i - 1]):
+                    if marked[i] >> to & 1 and before[q] + price == now[to] + off:
+                        marked[i - 1] |= 1 << q
         out, i, state = [], 0, 0
         while True:
             choices = []
             if i < n:
                 off = layers[i + 1][4]
-                choices = [(edit, 1, to) for q, to, price, edit in _steps(signature[i]) if q == state and to in marked[i + 1] and layers[i][q] + price == layers[i + 1][to] + off]
+                choices = [(edit, 1, to) for q, to, price, edit in _steps(signature[i]) if q == state and marked[i + 1] >> to & 1 and layers[i][q] + price == layers[i + 1][to] + off]
             to = _NEXT[state][1]
-            if to in marked[i] and layers[i][state] + INSERT == layers[i][to]:
+            if marked[i] >> to & 1 and layers[i][state] + INSERT == layers[i][to]:
                 choices.append(("I", 0, to))
             if not choices:
                 break

@@ -293,4 +293,4 @@ def test_edits_by_brute_force(seed):
     for s in signatures:
         rows = [({"s": "system", "u": "user", "a": "assistant"}.get(c.lower(), "tool"), "", "blank" if c == "x" else "truncated" if c.isupper() or c == ":" else "") for c in s]
         assert trie.edits(s) == brute_repair(rows)[:2], s
-    assert len(trie.layers) == len({s[:i] for s in signatures for i in range(len(s) + 1)})
+    assert trie.nodes == len({s[:i] for s in signatures for i in range(len(s) + 1)})

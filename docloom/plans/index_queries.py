@@ -164,7 +164,7 @@ def index_stemmed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _lists(spark: SparkSession, sf_dir: str) -> str:
     key = (spark.sparkContext.applicationId, sf_dir + "#vectors")
-    if key not in _BUILT:
+    if key not in _BUILT or not versions.exists(spark, _BUILT[key]):
         _BUILT[key] = _folder(spark, "vectors")
         vectors.build(_vectors(spark, sf_dir)[0], _BUILT[key], lists=16)
     return _BUILT[key]

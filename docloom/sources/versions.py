@@ -37,6 +37,11 @@ def _path(spark: SparkSession, path: str):
     return folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), folder
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, folder = _path(spark, path)
+    return fs.exists(folder)
+
+
 def versions(spark: SparkSession, path: str) -> list[int]:
     """The committed versions, oldest first."""
     fs, folder = _path(spark, f"{path}/commits")

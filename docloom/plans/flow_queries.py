@@ -194,7 +194,9 @@ select doc_id, case when doc_id % 9 = 8 then substr(p, 1, len(p) - 1) when doc_i
 
 
 def _payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = F.substring(F.regexp_replace("text", "[^A-Za-z0-9 ]", ""), 1, 40)
+    # The first 40 letters kept stand in the shortest start of the text that holds so many.
+    start = F.regexp_extract("text", "^(?:[^A-Za-z0-9 ]*+[A-Za-z0-9 ]){0,40}", 0)
+    t = F.regexp_replace(start, "[^A-Za-z0-9 ]", "")
     page = lambda i: F.concat(F.lit('{"page":'), i.cast("string"), F.lit(',"blocks":[{"label":"title","text":"'), F.col("t"), i.cast("string"), F.lit('"},{"type":"table","content":" ","markdown":"m","cells":[[1,2.5],["a",null,true],[]]},[{"text":""}]]}'))
     docs = _t(spark, sf_dir, "documents").withColumn("t", t)
     deep = (F.col("doc_id") % 4).cast("int")

@@ -185,6 +185,17 @@ def test_walks_by_brute_force(spark, seed):
     assert sorted(found, key=str) == sorted(((i, *n) for i, v in enumerate(values) for n in nodes_of(v)), key=str)
 
 
+def test_a_walk_reads_its_rows_once(spark, tmp_path):
+    """However deep the payloads are; and a payload nested too deep is an error, not a shorter walk."""
+    deep = lambda n: "[" * n + "1" + "]" * n
+    spark.createDataFrame([(1, deep(30)), (2, '"[[["'), (3, "{}")], "id long, payload string").write.parquet(f"{tmp_path}/rows")
+    nodes = payloads.walk(spark.read.parquet(f"{tmp_path}/rows"), "id")
+    assert nodes._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 1
+    assert sorted((r.id, r.n) for r in nodes.groupBy("id").agg(F.count("*").alias("n")).collect()) == [(1, 31), (2, 1), (3, 1)]
+    with pytest.raises(Exception, match="nested over 200 levels"):
+        payloads.walk(spark.createDataFrame([(1, deep(210))], "id long, payload string"), "id").collect()
+
+
 def test_text_blocks(spark):
     payload = {"res": [{"label": "title", "text": " ", "content": "A"}, {"type": "table", "markdown": "|a|", "inner": {"text": "deep", "label": 3}}, {"label": "x"}]}
     nodes = payloads.walk(spark.createDataFrame([(1, json.dumps(payload))], "id long, payload string"), "id")

@@ -113,15 +113,21 @@ def _tick(job_id: str, stage: str, call: int) -> None:
 
 
 def run_worker(spark: SparkSession, jobs: DataFrame, out: str, state: str) -> None:
-    """Work off what a stream of jobs holds now, into Parquet; the same ``state`` goes on where it stopped."""
-    key, rocks = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, rocks)
+    """Work off what a stream of jobs holds now, into Parquet; the same ``state`` goes on where it stopped.
+
+    The state has two partitions a core, as each has a store and a Python worker of its own in every micro-batch.
+    """
+    partitions = str(2 * spark.sparkContext.defaultParallelism)
+    conf = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider", "spark.sql.shuffle.partitions": partitions}
+    before = {key: spark.conf.get(key, None) for key in conf}
+    for key, value in conf.items():
+        spark.conf.set(key, value)
     try:
         changes = worker.work_off(jobs, _tick, retry="6 hours", most_failures=3, expire="15 hours")
         changes.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
     finally:
-        spark.conf.set(key, before) if before else spark.conf.unset(key)
+        for key, value in before.items():
+            spark.conf.set(key, value) if value else spark.conf.unset(key)
 
 
 @query(

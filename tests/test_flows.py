@@ -7,6 +7,7 @@ import uuid
 from collections import Counter
 from datetime import datetime
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -115,6 +116,53 @@ def test_a_worker_goes_on_after_a_restart(spark, tmp_path):
     assert drain(spark, folder) == again
 
 
+def test_a_bucket_of_jobs_is_one_call_of_the_state_store():
+    """However many jobs come at once: one read, one write and one timer, at the first time something is due."""
+    calls, held, timers = Counter(), [], set()
+
+    class Store:
+        def get(self):
+            calls["get"] += 1
+            return held[-1] if held else None
+
+        def update(self, value):
+            calls["update"] += 1
+            held.append(value)
+
+        def clear(self):
+            held.clear()
+
+    class Handle:
+        def getValueState(self, name, schema):
+            return Store()
+
+        def registerTimer(self, at):
+            timers.add(at)
+
+        def deleteTimer(self, at):
+            timers.remove(at)
+
+    def work(job_id, stage, call):
+        if job_id == "7" and call == 1:
+            raise RuntimeError("down")
+
+    class Times:
+        def getExpiryTimeInMs(self):
+            return 1500
+
+        def getCurrentWatermarkInMs(self):
+            return 20_000
+
+    states = worker.Worker(work, 500, 3, 10_000)
+    states.init(Handle())
+    batch = pd.DataFrame({"job_id": [str(i) for i in range(100)] * 2, "ts": pd.to_datetime([1000 + i for i in range(200)], unit="ms")})
+    out = pd.concat(states.handleInputRows((0,), iter([batch]), None))
+    assert calls == {"get": 1, "update": 1} and timers == {1507} and len(out) == 99 * 3 + 1
+    assert list(states.handleInputRows((0,), iter([batch]), None)) == [] and timers == {1507}
+    out = pd.concat(states.handleExpiredTimer((0,), Times(), Times()))
+    assert out["status"].tolist() == ["running", "running", "completed"] and set(out["job_id"]) == {"7"} and not held
+
+
 # -- word-processor files -----------------------------------------------------------------------------------------------
 
 

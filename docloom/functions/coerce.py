@@ -123,10 +123,17 @@ def elapsed_seconds(start: Column, end: Column) -> Column:
     return F.greatest(F.lit(0.0), end.cast("timestamp").cast("double") - start.cast("timestamp").cast("double"))
 
 
+def _places(x: Column, places: int, unit: str) -> Column:
+    """A number to so many places as C's printf rounds it: its exact value, halves to even; ``format_string`` rounds up the
+    halves of its shortest digits."""
+    pattern = F.lit("0." + "0" * places)
+    return F.concat(F.call_function("format_number", x.cast("double"), pattern), F.lit(unit))
+
+
 def format_duration(seconds: Column) -> Column:
     return (
-        F.when(seconds < 1, F.format_string("%d ms", F.round(seconds * 1000).cast("int")))
-        .when(seconds < 60, F.format_string("%.1f s", seconds.cast("double")))
+        F.when(seconds < 1, F.format_string("%d ms", F.rint(seconds * 1000).cast("int")))
+        .when(seconds < 60, _places(seconds, 1, " s"))
         .otherwise(F.format_string("%d m %d s", F.floor(seconds / 60).cast("int"), F.floor(seconds % 60).cast("int")))
     )
 
@@ -134,7 +141,7 @@ def format_duration(seconds: Column) -> Column:
 def format_bytes(n: Column) -> Column:
     return (
         F.when(n < 1024, F.format_string("%d B", n.cast("long")))
-        .when(n < 1024**2, F.format_string("%.1f KB", n / 1024.0))
-        .when(n < 1024**3, F.format_string("%.1f MB", n / 1024.0**2))
-        .otherwise(F.format_string("%.2f GB", n / 1024.0**3))
+        .when(n < 1024**2, _places(n / 1024.0, 1, " KB"))
+        .when(n < 1024**3, _places(n / 1024.0**2, 1, " MB"))
+        .otherwise(_places(n / 1024.0**3, 2, " GB"))
     )

@@ -101,7 +101,7 @@ def shown_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.when(k % 4 == 2, "a text of more than twenty letters").otherwise("short")
     later = F.col("o_orderdate") + F.make_interval(hours=(k % 3).cast("int"))
     return _t(spark, sf_dir, "orders").select(
-        "o_orderkey", C.format_duration(price / 1000).alias("duration"), C.format_bytes((price * 1000).cast("long")).alias("bytes"), C.clamp((price / 250000).cast("string")).alias("clamped"),
+        "o_orderkey", C.format_duration(price / 1000).alias("duration"), C.format_bytes(F.rint(price * 1000).cast("long")).alias("bytes"), C.clamp((price / 250000).cast("string")).alias("clamped"),
         extraction.memory_confidence((k % 12).cast("double")).alias("memory"), F.round(extraction.consistency_score(k % 9, F.lit(0), F.lit(0)), 2).alias("consistency"),
         extraction.below_threshold(price / 250000, F.lit(60)).alias("below"), C.elapsed_seconds(F.col("o_orderdate"), later).alias("seconds"),
         T.priority_of(kind).alias("priority"), C.base_confidence(F.lit("docling"), block, text).alias("base"),

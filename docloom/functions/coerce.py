@@ -8,16 +8,18 @@ from pyspark.sql import functions as F
 from .text import strip
 
 # The patterns by which a field type is recognised in text, in Java's dialect.
+#: A word's edge among ASCII letters, digits and ``_``; Java's own ``\b`` counts letters of all scripts as a word's.
+_EDGE = r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))"
 TYPE_PATTERNS = {
-    "email": r"(?i)\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}\b",
+    "email": rf"(?i){_EDGE}[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{{2,}}{_EDGE}",
     "phone": r"(?:\+?\d[\d\s().-]{7,}\d)",
     "date": (
-        r"(?i)\b(?:\d{4}[-/]\d{1,2}[-/]\d{1,2}|\d{1,2}[-/]\d{1,2}[-/]\d{2,4}|"
-        r"(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Sept|Oct|Nov|Dec)[a-z]*\.?\s+(?:\d{1,2},?\s+)?\d{4})\b"
+        rf"(?i){_EDGE}(?:\d{{4}}[-/]\d{{1,2}}[-/]\d{{1,2}}|\d{{1,2}}[-/]\d{{1,2}}[-/]\d{{2,4}}|"
+        rf"(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Sept|Oct|Nov|Dec)[a-z]*\.?\s+(?:\d{{1,2}},?\s+)?\d{{4}}){_EDGE}"
     ),
     "currency": r"(?i)(?<!\w)(?:[$€£]\s*)?-?\(?\d[\d,]*(?:\.\d{2})?\)?(?:\s?(?:USD|MMK|EUR|GBP))?(?!\w)",
     "number": r"(?<![\w.-])-?\d+(?:,\d{3})*(?:\.\d+)?(?![\w.-])",
-    "boolean": r"(?i)\b(?:true|false|yes|no|pass|fail|approved|rejected|compliant|non-compliant)\b",
+    "boolean": rf"(?i){_EDGE}(?:true|false|yes|no|pass|fail|approved|rejected|compliant|non-compliant){_EDGE}",
 }
 #: Day-first dates are tried after month-first ones.
 DATE_FORMATS = ("y-M-d", "y/M/d", "M/d/y", "d/M/y", "M-d-y", "d-M-y", "MMMM d y", "MMM d y", "MMMM y", "MMM y")

@@ -60,6 +60,11 @@ RATING = r"\b(?:[ABC]{1,3}[1-3]?[+-]?|P[1-3])(?:/[A-Za-z0-9+-]+)*(?=[\s,.;|]|$)"
 _WHITE = " \t\n\x0b\f\r"
 
 
+def once(x: Column, of: Callable[[Column], Column]) -> Column:
+    """``of(x)``, with x computed once however often it stands there: lambdas have no common subexpressions."""
+    return F.get(F.transform(F.array(x), of), F.lit(0))
+
+
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
     """``use(value)`` with value computed once: what a lambda only refers to is computed anew for each of its items."""
     return F.get(F.transform(F.array(value), use), F.lit(0))

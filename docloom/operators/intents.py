@@ -56,16 +56,17 @@ def lines_of(text: Column) -> Column:
 def block(lines: Column, head: Callable[[Column], Column], end: Callable[[Column], Column]) -> Column:
     """The lines after the first that is a head, up to the first that is an end and no head; heads among them go."""
     at = lambda x, test: F.array_position(F.transform(x, test), True)
-    rest = F.when(at(lines, head) > 0, F.slice(lines, (at(lines, head) + 1).cast("int"), F.size(lines))).otherwise(F.array().cast("array<string>"))
-    stop = at(rest, lambda x: end(x) & ~head(x))
-    cut = F.when(stop > 0, F.slice(rest, F.lit(1), (stop - 1).cast("int"))).otherwise(rest)
+    after = lambda x, p: F.when(p > 0, F.slice(x, (p + 1).cast("int"), F.size(x))).otherwise(F.array().cast("array<string>"))
+    before = lambda x, p: F.when(p > 0, F.slice(x, F.lit(1), (p - 1).cast("int"))).otherwise(x)
+    rest = T.once(lines, lambda x: T.once(at(x, head), lambda p: after(x, p)))
+    cut = T.once(rest, lambda x: T.once(at(x, lambda y: end(y) & ~head(y)), lambda p: before(x, p)))
     return F.filter(cut, lambda x: ~head(x))
 
 
 def _some(values: Column, most: int | None = None) -> Column:
     """The values that are not null or empty, the first ``most`` of them; null without any."""
     kept = F.filter(values, lambda v: F.coalesce(v, F.lit("")) != "")
-    return F.when(F.size(kept) > 0, kept if most is None else F.slice(kept, 1, most))
+    return T.once(kept, lambda x: F.when(F.size(x) > 0, x if most is None else F.slice(x, 1, most)))
 
 
 def _found(x: Column, pattern: str, group: int = 1) -> Column:
@@ -96,13 +97,13 @@ def drivers(text: Column) -> Column:
     """The section about what drives a rating, without headings, up to the definitions or notices after it."""
     bare = F.regexp_replace(T.strip_html(F.regexp_extract(text, DRIVERS, 1)), r"#{1,6}\s+.*", "")
     section = T.strip(F.regexp_replace(bare, r"\n{3,}", "\n\n"))
-    return F.when(F.length(section) > 50, F.substring(section, 1, 2000))
+    return T.once(section, lambda x: F.when(F.length(x) > 50, F.substring(x, 1, 2000)))
 
 
 def summary(text: Column) -> Column:
     """The paragraph below a summary's heading, up to the next heading or rule."""
     found = T.squeeze(T.strip_html(F.regexp_extract(text, SUMMARY, 1)))
-    return F.when(F.length(found) > 30, F.substring(found, 1, 1500))
+    return T.once(found, lambda x: F.when(F.length(x) > 30, F.substring(x, 1, 1500)))
 
 
 def title(text: Column) -> Column:
@@ -160,11 +161,11 @@ def plain_value(text: Column, path: Column, description: Column, kind: Column, i
     """A labelled value, else the first match of a date, number or boolean where the field asks for one."""
     words = F.lower(F.concat_ws(" ", path, description))
     line = F.coalesce(labelled(text, path), labelled(text, F.get(F.split(F.coalesce(description, F.lit("")), "\n"), F.lit(0))))
-    return (
-        F.when(line.isNotNull(), line)
-        .when((intent == "generic_date") | F.contains(words, F.lit("date")), C.first_match(text, "date"))
+    return F.coalesce(
+        line,
+        F.when((intent == "generic_date") | F.contains(words, F.lit("date")), C.first_match(text, "date"))
         .when(kind.isin("number", "integer"), F.replace(C.first_match(text, "number"), F.lit(","), F.lit("")))
-        .when(kind == "boolean", F.lower(F.nullif(F.regexp_extract(text, r"(?i)\b(true|false|yes|no|approved|rejected)\b", 1), F.lit(""))))
+        .when(kind == "boolean", F.lower(F.nullif(F.regexp_extract(text, r"(?i)\b(true|false|yes|no|approved|rejected)\b", 1), F.lit("")))),
     )
 
 
@@ -175,9 +176,9 @@ def extract_fields(pairs: DataFrame) -> DataFrame:
     text, …)`` are fields with their evidence. The ways: by intent; structured, for arrays and objects; labelled or by
     the type's pattern. Lists and objects are JSON. Rows without a value have a null value and method and confidence 0.
     """
-    text = T.strip_html(F.col("text"))
+    text = F.col("_t")
     table = F.col("source_type").startswith("table")
-    rows = pairs.withColumn("intent", T.field_intent(F.col("field_path"), F.col("label"), F.col("type")))
+    rows = pairs.withColumns({"intent": T.field_intent(F.col("field_path"), F.col("label"), F.col("type")), "_t": T.strip_html(F.col("text"))})
     rows = rows.withColumns(
         {
             "_a": by_intent(text, F.col("intent")),
@@ -192,7 +193,7 @@ def extract_fields(pairs: DataFrame) -> DataFrame:
     confidence = (
         F.when(F.col("_a").isNotNull(), BY_INTENT).when(F.col("_b").isNotNull(), STRUCTURED).when(F.col("_c").isNotNull(), F.when(table, FROM_TABLE).otherwise(FROM_TEXT)).otherwise(0.0)
     )
-    return rows.withColumns({"value": F.coalesce("_a", "_b", "_c"), "confidence": confidence, "method": method}).drop("_a", "_b", "_c")
+    return rows.withColumns({"value": F.coalesce("_a", "_b", "_c"), "confidence": confidence, "method": method}).drop("_t", "_a", "_b", "_c")
 
 
 def list_errors(values: Column, intent: Column) -> Column:

@@ -23,6 +23,8 @@ def _letters(key: Column) -> Column:
 def _reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(key, name, text): a rating report on each customer, with every block that an intent looks for, and disturbances."""
     c = _t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"), F.initcap(_letters(F.col("c_custkey") % 10000)).alias("name"), F.col("c_nationkey").alias("n"))
+    # A customer is some bytes, its report takes long to read: the splits of the file are too few.
+    c = c.repartition(4 * spark.sparkContext.defaultParallelism)
     name = F.col("name")
     text = F.concat(
         F.lit("![logo](x.png)\n"), name, F.lit(" Holdings Berhad\n# Rating Report on "), name, F.lit("\nDated: March 20"), F.lpad(F.col("n").cast("string"), 2, "0"),

@@ -331,3 +331,12 @@ def test_audit_and_replay(spark):
     cache = requests.where("text = 't'").select(runs.cache_key("schema", "text").alias("cache_key"), F.lit("r").alias("result"), F.array(F.lit("w")).alias("warnings"))
     got = {r.text: (r.result, r.warnings) for r in runs.replay(requests, cache, "schema", "text").collect()}
     assert got == {"t": ("r", ["w", "Replayed from the result cache"]), "u": (None, None)}
+
+
+def test_a_block_computes_its_lines_once(spark):
+    """Lambdas have no common subexpressions, so lines named several times were split several times."""
+    from docloom.operators import intents
+
+    found = spark.range(1).select(intents.ratings(F.concat(F.lit("Rating\nSome Bond  AA+\n"), F.col("id").cast("string"))).alias("r"))
+    assert found._jdf.queryExecution().analyzed().toString().count("split(") == 1
+    assert found.first().r == ["Some Bond: AA+"]

@@ -81,14 +81,21 @@ def borders(lines: Column, tolerance: float = 0.0, least: int = 2) -> Column:
     Cutting there is the cheapest way to cut: each border costs the lines that have a letter in it, and is worth it
     while that is within the tolerance. Blank lines don't count.
     """
-    full = F.filter(lines, lambda x: T.strip(x) != "")
+    # Each step's array is computed once, not anew at every place that names it.
+    return T.once(F.filter(lines, lambda x: T.strip(x) != ""), lambda full: T.once(_marks(full, tolerance), lambda marks: F.when(F.size(full) > 0, _ends(marks, least)).otherwise(F.array().cast("array<int>"))))
+
+
+def _marks(full: Column, tolerance: float) -> Column:
+    """A letter for each place: blank where a share of ``tolerance`` of the lines at most writes, else x."""
     width = F.coalesce(F.array_max(F.transform(full, F.length)), F.lit(0))
     wrote = F.transform(F.sequence(F.lit(1), F.greatest(width, F.lit(1))), lambda i: F.size(F.filter(full, lambda x: F.substring(x, i, F.lit(1)).rlike(r"\S"))))
-    open_ = F.transform(wrote, lambda n: n <= F.size(full) * tolerance)
-    marks = F.array_join(F.transform(open_, lambda x: F.when(x, " ").otherwise("x")), "")
-    # A run of open places between written ones; its end is where the next column begins.
-    runs = F.filter(F.sequence(F.lit(least), F.greatest(width - 1, F.lit(least))), lambda i: (F.substring(marks, i - least + 1, F.lit(least)) == " " * least) & (F.substring(marks, i + 1, F.lit(1)) == "x") & F.contains(F.substring(marks, F.lit(1), i), F.lit("x")))
-    return F.when(F.size(full) > 0, runs).otherwise(F.array().cast("array<int>"))
+    return F.array_join(F.transform(wrote, lambda n: F.when(n <= F.size(full) * tolerance, " ").otherwise("x")), "")
+
+
+def _ends(marks: Column, least: int) -> Column:
+    """The last places of the runs of open places between written ones; there the next column begins."""
+    last = F.greatest(F.length(marks) - 1, F.lit(least))
+    return F.filter(F.sequence(F.lit(least), last), lambda i: (F.substring(marks, i - least + 1, F.lit(least)) == " " * least) & (F.substring(marks, i + 1, F.lit(1)) == "x") & F.contains(F.substring(marks, F.lit(1), i), F.lit("x")))
 
 
 def cells(line: Column, at: Column) -> Column:

@@ -475,3 +475,11 @@ def test_keywords_are_looked_for_in_markdown_too(spark):
     q = spark.createDataFrame([(1, "cash_flow")], "query_id int, query string")
     assert [r.evidence_id for r in retrieval.keyword(evidence, q).orderBy("rank").collect()] == [3, 2, 1]
     assert [r.evidence_id for r in retrieval.keyword(evidence.drop("markdown"), q).orderBy("rank").collect()] == [3]
+
+
+def test_borders_mark_places_once(spark):
+    """The marks of a text's places were computed anew for each place that was asked about."""
+    lines = F.array(F.lit("name   number"), F.lit("a      1"), F.concat(F.lit("bcd    "), F.col("id").cast("string")))
+    found = spark.range(1).select(loose_tables.borders(lines).alias("at"))
+    assert found._jdf.queryExecution().analyzed().toString().count("array_join(") == 1
+    assert found.first()["at"] == [7]

@@ -139,20 +139,28 @@ def align(blocks: DataFrame, sources: DataFrame, mapped: bool = True) -> DataFra
 
     def searched(h: Column) -> Column:
         tail = F.substring("source", h["cursor"] + 1, total)
-        known = F.when(h["next"] > 0, h["next"]).when(at(h["t"], F.col("source"), F.lit(1)) > 0, at(h["t"], F.col("source"), F.lit(1)))
         if mapped:
             quoted = F.concat(F.lit(r"(?i)\Q"), F.replace(F.replace(h["c"], F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(" "), F.lit(r"\E\s+\Q")), F.lit(r"\E"))
             offset = F.regexp_instr(tail, quoted)
             size = F.length(F.regexp_substr(tail, quoted))
         else:
             offset, size = at(h["c"], _compact(tail), F.lit(1)), F.length(h["t"])
-        loose = F.when(F.length(h["c"]) >= COMPACT_LEAST, F.when(offset > 0, h["cursor"] + offset))
-        start = F.when(h["t"] != "", F.coalesce(known, loose)) - 1
-        start = F.when(known.isNull() & start.isNotNull(), F.least(start, total - 1)).otherwise(start)
-        end = F.when(known.isNotNull(), start + F.length(h["t"])).when(start.isNotNull(), F.least(total, start + size))
-        how = F.when(h["t"] == "", None).when(h["next"] > 0, "cursor").when(known.isNotNull(), "anywhere").when(loose.isNotNull(), "compact")
-        item = F.struct(h["pos"].alias("pos"), start.alias("start"), end.alias("end"), how.alias("how"))
-        return F.struct(F.coalesce(end, h["cursor"]).cast("int").alias("cursor"), F.concat(h["out"], F.array(item.cast(_RANGE))).alias("out"))
+        first = F.when(h["next"] > 0, h["next"]).otherwise(at(h["t"], F.col("source"), F.lit(1)))
+        loose = lambda k: F.when((F.coalesce(k, F.lit(0)) <= 0) & (F.length(h["c"]) >= COMPACT_LEAST), T.once(offset, lambda o: F.when(o > 0, h["cursor"] + o)))
+
+        def taken(known: Column, loose: Column) -> Column:
+            start = F.when(h["t"] != "", F.coalesce(known, loose)) - 1
+            return F.when(known.isNull() & start.isNotNull(), F.least(start, total - 1)).otherwise(start)
+
+        def put(known: Column, loose: Column, start: Column) -> Column:
+            end = F.when(known.isNotNull(), start + F.length(h["t"])).when(start.isNotNull(), F.least(total, start + size))
+            how = F.when(h["t"] == "", None).when(h["next"] > 0, "cursor").when(known.isNotNull(), "anywhere").when(loose.isNotNull(), "compact")
+            item = lambda e: F.struct(h["pos"].alias("pos"), start.alias("start"), e.alias("end"), how.alias("how")).cast(_RANGE)
+            return T.once(end, lambda e: F.struct(F.coalesce(e, h["cursor"]).cast("int").alias("cursor"), F.concat(h["out"], F.array(item(e))).alias("out")))
+
+        # The source is searched once a way, however often a place is named below.
+        of_start = lambda k, o: T.once(taken(k, o), lambda s: put(k, o, s))
+        return T.once(first, lambda k: T.once(loose(k), lambda o: of_start(F.when(k > 0, k), o)))
 
     zero = F.struct(F.lit(0).alias("cursor"), F.array().cast(f"array<{_RANGE}>").alias("out"))
     found = rows.select("document_id", F.explode(F.aggregate("bs", zero, step)["out"]).alias("r")).select("document_id", "r.*")

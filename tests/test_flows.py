@@ -483,3 +483,11 @@ def test_borders_mark_places_once(spark):
     found = spark.range(1).select(loose_tables.borders(lines).alias("at"))
     assert found._jdf.queryExecution().analyzed().toString().count("array_join(") == 1
     assert found.first()["at"] == [7]
+
+
+def test_an_alignment_searches_once_a_way(spark):
+    """The compact source was made anew at each place that named a block's range."""
+    blocks = spark.createDataFrame([(1, 0, "THE FIRST LINE OF SOME TEXT", False)], "document_id long, pos int, text string, layout boolean")
+    found = locate.align(blocks, spark.createDataFrame([(1, "so  the first line of some text")], "document_id long, source string"), mapped=False)
+    assert found._jdf.queryExecution().analyzed().toString().count("regexp_replace(") <= 2
+    assert [(r.start, r.how) for r in found.collect()] == [(3, "compact")]

@@ -77,9 +77,14 @@ def by_page(parsed: DataFrame, max_pages: int = MAX_PAGES) -> DataFrame:
 def windows_of(words: Column, size: int, overlap: int) -> Column:
     """array<struct<start, words>>: windows of ``size`` words; the last is the first to reach the end."""
     step = max(size - overlap, 1)
-    last = F.greatest(F.ceil((F.size(words) - size) / step), F.lit(0)).cast("int")
-    starts = F.transform(F.sequence(F.lit(0), last), lambda i: i * step)
-    return F.transform(starts, lambda s: F.struct(s.alias("start"), F.slice(words, s + 1, F.lit(size)).alias("words")))
+
+    def cut(ws: Column) -> Column:
+        last = F.greatest(F.ceil((F.size(ws) - size) / step), F.lit(0)).cast("int")
+        starts = F.transform(F.sequence(F.lit(0), last), lambda i: i * step)
+        return F.transform(starts, lambda s: F.struct(s.alias("start"), F.slice(ws, s + 1, F.lit(size)).alias("words")))
+
+    # A text is split once, not once a window.
+    return T.once(words, cut)
 
 
 def by_window(parsed: DataFrame, size: int = WINDOW, overlap: int = OVERLAP, max_pages: int = MAX_PAGES) -> DataFrame:

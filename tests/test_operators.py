@@ -340,3 +340,11 @@ def test_a_block_computes_its_lines_once(spark):
     found = spark.range(1).select(intents.ratings(F.concat(F.lit("Rating\nSome Bond  AA+\n"), F.col("id").cast("string"))).alias("r"))
     assert found._jdf.queryExecution().analyzed().toString().count("split(") == 1
     assert found.first().r == ["Some Bond: AA+"]
+
+
+def test_windows_split_a_text_once(spark):
+    """Each window split the whole text anew."""
+    words = F.split(F.concat(F.lit("a b c d e f "), F.col("id").cast("string")), " ")
+    found = spark.range(1).select(chunking.windows_of(words, 3, 1).alias("w"))
+    assert found._jdf.queryExecution().analyzed().toString().count("split(") == 1
+    assert [(w.start, w.words) for w in found.first().w] == [(0, ["a", "b", "c"]), (2, ["c", "d", "e"]), (4, ["e", "f", "0"])]

@@ -304,10 +304,13 @@ def progressive(hits: DataFrame, plan: DataFrame) -> DataFrame:
     preferred_source, max_items)`` what the planner says. The first attempt takes three rows of the preferred source, or
     of any where that has none; the second eight and the third max_items of any.
     """
-    rows = hits.join(F.broadcast(checked(plan.select("field_path", "preferred_source", "max_items"))), "field_path")
+    planned = checked(plan.select("field_path", "preferred_source", "max_items"))
+    rows = hits.join(F.broadcast(planned), "field_path")
     preferred = F.col("preferred_source").isNull() | F.coalesce(F.col("source_type") == F.col("preferred_source"), F.lit(False))
     order = lambda *key: W.partitionBy("field_path", *key).orderBy(F.col("score").desc(), "evidence_id")
-    rows = rows.withColumn("_own", preferred)
+    # No attempt takes more than the best k of the preferred source and the best k of the others; a task keeps these.
+    k = max(8, planned.agg(F.max("max_items")).first()[0] or 0)
+    rows = top(rows.withColumn("_own", preferred), "score", k, "field_path", "_own").drop("rank")
     rows = rows.withColumns({"_any": F.row_number().over(order()), "_in": F.row_number().over(order("_own")), "_some": F.max("_own").over(W.partitionBy("field_path"))})
     first = F.when(F.col("_some") & F.col("_own"), F.col("_in")).when(~F.col("_some"), F.col("_any"))
     tries = F.array(

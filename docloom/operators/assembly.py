@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import coerce as C
 from ..functions import geometry as G
 from ..functions import text as T
+from .dealing import dealt
 from .retrieval import literal
 
 #: Rows taken from one table and from all of a field's tables; items and headings in a model's context.
@@ -72,6 +73,7 @@ def cluster_columns(blocks: DataFrame, least: float = 55.0, share: float = 0.045
     """
     page = W.partitionBy("document_id", "page")
     order = page.orderBy("x0", "pos")
+    blocks = dealt(blocks, "document_id")
     gap = F.col("x0") - F.lag("x0").over(order) > F.greatest(F.lit(least), F.max("x1").over(page) * share)
     rows = blocks.withColumn("_new", F.coalesce(gap, F.lit(True)).cast("int"))
     return rows.withColumn("column", F.sum("_new").over(order.rowsBetween(W.unboundedPreceding, 0)) - 1).drop("_new")
@@ -145,7 +147,7 @@ def context(items: DataFrame, most: int = CONTEXT_ITEMS) -> DataFrame:
     """(job_id, context): distinct evidence in order, each with its id and page, as one text."""
     first = W.partitionBy("job_id", "evidence_id").orderBy("pos")
     order = W.partitionBy("job_id").orderBy("pos", "evidence_id")
-    rows = items.withColumn("_n", F.row_number().over(first)).where("_n = 1").withColumn("_place", F.row_number().over(order)).where(F.col("_place") <= most)
+    rows = dealt(items, "job_id").withColumn("_n", F.row_number().over(first)).where("_n = 1").withColumn("_place", F.row_number().over(order)).where(F.col("_place") <= most)
     line = F.format_string("[%s | page %d]\n%s", F.col("evidence_id").cast("string"), F.col("page"), T.preview(F.col("text"), 1600))
     return rows.groupBy("job_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_place", line.alias("line")))), lambda x: x["line"]), "\n\n").alias("context"))
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions import text as T
+from .dealing import dealt
 
 PAGE = ("document_id", "page")
 
@@ -23,7 +24,7 @@ def reading_order(blocks: DataFrame) -> DataFrame:
     """
     page = W.partitionBy(*PAGE)
     boxed = F.col("x0").isNotNull()
-    rows = blocks.withColumn("_centre", F.when(boxed, (F.col("x0") + F.col("x1")) / 2))
+    rows = dealt(blocks, "document_id").withColumn("_centre", F.when(boxed, (F.col("x0") + F.col("x1")) / 2))
     rows = rows.withColumn("_next", F.when(boxed, F.lead("_centre").over(page.orderBy(F.col("_centre").asc_nulls_last(), "pos"))))
     gap = F.struct((F.col("_next") - F.col("_centre")).alias("gap"), F.col("_centre").alias("at"), ((F.col("_next") + F.col("_centre")) / 2).alias("split"))
     rows = rows.withColumns(

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import coerce as C
 from ..functions import text as T
+from .dealing import dealt
 from .retrieval import holders
 
 
@@ -129,7 +130,7 @@ def bad_transitions(events: DataFrame, of: str = "job") -> DataFrame:
     allowed = F.lit(False)
     for source, targets in TRANSITIONS[of].items():
         allowed = allowed | ((F.col("before") == source) & F.col("status").isin(*targets))
-    rows = events.withColumn("before", F.lag("status").over(order))
+    rows = dealt(events, "job_id").withColumn("before", F.lag("status").over(order))
     return rows.where(F.col("before").isNotNull() & (F.col("before") != F.col("status")) & ~allowed)
 
 

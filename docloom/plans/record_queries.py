@@ -10,6 +10,7 @@ from ..functions import geometry as G
 from ..functions import tables as TB
 from ..functions import text as T
 from ..operators import assembly, cleaning, layout, operations
+from ..operators.dealing import dealt
 from ..sources import files, runs
 from .catalogue import _t, query
 
@@ -144,7 +145,7 @@ def _blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     order = W.partitionBy("l_orderkey").orderBy("l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice")
     x = (F.col("l_partkey") % 400).cast("double")
-    return _t(spark, sf_dir, "lineitem").select(
+    return dealt(_t(spark, sf_dir, "lineitem"), "l_orderkey").select(
         F.col("l_orderkey").alias("document_id"), F.lit(1).alias("page"), F.row_number().over(order).alias("pos"), x.alias("x0"), (F.col("l_quantity") * 10).alias("top"),
         (x + 60).alias("x1"), (F.col("l_quantity") * 10 + 8).alias("bottom"), (F.col("l_extendedprice") / 100).alias("size"), F.col("l_returnflag").alias("kind"), F.lit("text").alias("text"),
     )
@@ -227,7 +228,7 @@ def lines_in_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _order_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(case_id, text): each customer's orders as a pipe table between lines of prose, with a smaller table before it."""
     row = F.concat_ws(" | ", F.lit(""), F.col("o_orderkey").cast("string"), F.col("o_orderstatus"), F.col("o_orderpriority"), F.lit("")).alias("row")
-    rows = _t(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("case_id")).agg(F.sort_array(F.collect_list(F.struct("o_orderkey", row))).alias("r"))
+    rows = dealt(_t(spark, sf_dir, "orders"), "o_custkey").groupBy(F.col("o_custkey").alias("case_id")).agg(F.sort_array(F.collect_list(F.struct("o_orderkey", row))).alias("r"))
     lines = F.array_join(F.transform("r", lambda x: T.strip(x["row"])), "\n")
     small = F.lit("before\n| only |\n|---|\n| one |\nbetween\n| key | status |  |\n|:---|---|---|\n")
     return rows.select("case_id", F.concat(small, lines, F.lit("\nafter | not a table")).alias("text"))

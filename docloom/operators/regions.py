@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..functions import text as T
 from . import assembly, extraction, layout
@@ -54,6 +56,30 @@ def _guarded(name: str, parse: RegionParser) -> RegionParser:
     return run
 
 
+def _parsed(parsers: dict[str, tuple[str, RegionParser]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Each region beside the rows that its kind's parser gives it: all kinds in one pass, and no join with what was read.
+    A region of another kind, or with an error already, stays as it is; one that its parser gives nothing goes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            seen = rows.select(["region_id", "content", "kind", "error"]).to_pandas()
+            seen["at"] = range(len(seen))
+            own = seen["error"].isna() & seen["kind"].isin(list(parsers))
+            parts = [seen[~own][["at", "error"]].assign(text=None)]
+            for kind, (name, parse) in parsers.items():
+                mine = seen[own & (seen["kind"] == kind) & seen["region_id"].notna()]
+                for found in _guarded(name, parse)(iter([mine[["region_id", "content"]]])) if len(mine) else ():
+                    parts.append(mine[["region_id", "at"]].merge(found, on="region_id"))
+            every = pd.concat([p[["at", "text", "error"]].astype({"text": object, "error": object}) for p in parts])
+            out = rows.drop_columns(["content", "error"]).take(pa.array(every["at"], pa.int64()))
+            for name in ("error", "text"):
+                out = out.append_column(name, pa.array(every[name], pa.string(), from_pandas=True))
+            yield from out.to_batches()
+
+    return run
+
+
 def route(regions: DataFrame) -> DataFrame:
     """(document_id, page, region_id, label, kind, parser, text, error) of each region that gives a text.
 
@@ -65,24 +91,24 @@ def route(regions: DataFrame) -> DataFrame:
     detected = regions if "error" in regions.columns else regions.withColumn("error", F.lit(None).cast("string"))
     rows = detected.withColumns({"region_id": F.col("region_id").cast("string"), "kind": extraction.region_parser(F.coalesce("label", F.lit("")))})
     keep = ["document_id", "page", "region_id", "label"]
-    failed = rows.where("error is not null").select(
-        *keep, F.lit("unknown").alias("kind"), F.lit(ERROR_PARSER).alias("parser"), F.concat(F.lit("Layout detection failed on page "), F.col("page").cast("string"), F.lit(": "), "error").alias("text"), "error"
-    )
-    rows = rows.where("error is null")
-    out = failed
+    kinds = {kind: _PARSERS[kind] for kind in ("table", "image", "text") if kind in _PARSERS}
+    lost = F.col("error").isNotNull()
+    rows = rows.where(lost | F.col("kind").isin("table", "image", "text")).select(*keep, "kind", "content", F.col("error").cast("string").alias("error"), lost.alias("_lost"))
+    sent = rows.select(*keep, "kind", "_lost").schema.add("error", StringType()).add("text", StringType())
+    out = rows.mapInArrow(_parsed(kinds), sent)
+    # What no parser has read: detection that failed, pictures, kinds without a parser.
+    parser, text, error = F.when(F.col("_lost"), ERROR_PARSER), F.when(F.col("_lost"), F.concat(F.lit("Layout detection failed on page "), F.col("page").cast("string"), F.lit(": "), "error")), F.col("error")
     for kind in ("table", "image", "text"):
-        own = rows.where(F.col("kind") == kind)
-        if kind in _PARSERS:
-            name, parse = _PARSERS[kind]
-            found = own.select("region_id", "content").mapInPandas(_guarded(name, parse), "region_id string, text string, error string")
-            own = own.drop("error").join(found, "region_id")
+        own, missing = F.col("kind") == kind, "no parser is registered"
+        if kind in kinds:
+            parser, text = parser.when(own, kinds[kind][0]), text.when(own, F.col("text"))
         elif kind == "image":
-            name, own = "picture", own.withColumn("text", F.concat(F.lit("["), F.coalesce("label", F.lit("")), F.lit(" region]")))
+            parser, text = parser.when(own, "picture"), text.when(own, F.concat(F.lit("["), F.coalesce("label", F.lit("")), F.lit(" region]")))
         else:
-            name, missing = kind, "no parser is registered"
-            own = own.withColumns({"text": F.lit(f"Region parser failed: {kind}: {missing}"), "error": F.lit(missing)})
-        shown = F.when(F.col("error").isNull(), F.col("kind")).otherwise("unknown")
-        out = out.unionByName(own.select(*keep, shown.alias("kind"), F.lit(name).alias("parser"), "text", "error"))
+            parser, text = parser.when(own, kind), text.when(own, f"Region parser failed: {kind}: {missing}")
+            error = F.when(~F.col("_lost") & own, missing).otherwise(error)
+    shown = F.when(error.isNull(), F.col("kind")).otherwise("unknown")
+    out = out.select(*keep, shown.alias("kind"), parser.alias("parser"), text.alias("text"), error.alias("error"))
     return out.where(T.strip(F.coalesce("text", F.lit(""))) != "")
 
 

@@ -19,20 +19,34 @@ _BOX = ("x0", "top", "x1", "bottom")
 
 
 def page_words(words: DataFrame, *key: str) -> DataFrame:
-    """(key…, w, boxes, blocks): a page's words in order as arrays, and each block's words and box, in order.
+    """(key…, w, words): a page's words in order, as they stand and with their places, boxes and blocks.
 
-    ``words(key…, pos, word, block, x0, top, x1, bottom)``; a page is one row, as large as a page can be.
+    ``words(key…, pos, word, block, x0, top, x1, bottom)``; a page is one row, as large as a page can be. The words are
+    shuffled once, with their boxes several times the size of their text; who has pages as rows calls ``page_rows``.
     """
-    low = words.withColumn("word", F.lower("word"))
-    box = F.struct(*[F.col(c).cast("double").alias(c) for c in _BOX])
-    rows = low.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("pos", "word", box.alias("box")))).alias("s"))
-    blocks = low.groupBy(*key, "block").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "word"))), lambda x: x["word"]), " ").alias("text"),
-        *[F.min(c).cast("double").alias(c) for c in _BOX[:2]], *[F.max(c).cast("double").alias(c) for c in _BOX[2:]],
-    )
-    blocks = blocks.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("block", "text", box.alias("box")))).alias("blocks"))
-    rows = rows.select(*key, F.transform("s", lambda x: x["word"]).alias("w"), F.transform("s", lambda x: x["box"]).alias("boxes"))
-    return rows.join(blocks, list(key))
+    word = F.struct("pos", F.lower("word").alias("word"), F.struct(*[F.col(c).cast("double").alias(c) for c in _BOX]).alias("box"), "block")
+    return page_rows(words.groupBy(*key).agg(F.collect_list(word).alias("words")))
+
+
+def page_rows(pages: DataFrame) -> DataFrame:
+    """As ``page_words``, of pages that are rows already: nothing is shuffled. ``words`` is an array of struct<pos, word, box,
+    block> in any order, with the words in lower case and boxes struct<x0, top, x1, bottom> of doubles."""
+    # By transform: Spark takes plain fields into the lambdas that refer to them, where they are read for each item anew.
+    return pages.withColumn("words", F.sort_array("words")).withColumn("w", F.transform("words", lambda x: x["word"]))
+
+
+def _blocks(words: Column) -> Column:
+    """The blocks of a page, in order, with their text and box: runs of one block, after a sort by block and place."""
+
+    def block(run: Column) -> Column:
+        return F.struct(F.array_join(run["word"], " ").alias("text"), _around(run["box"]).alias("box"))
+
+    def runs(s: Column) -> Column:
+        first = F.filter(F.transform(s, lambda x, i: i), lambda i: (i == 0) | ~F.get(s, i)["block"].eqNullSafe(F.get(s, i - 1)["block"]))
+        end = lambda at, k: F.coalesce(F.get(at, k + 1), F.size(s))
+        return T.once(first, lambda at: F.transform(at, lambda i, k: T.once(F.slice(s, i + 1, end(at, k) - i), block)))
+
+    return T.once(F.sort_array(F.transform(words, lambda x: F.struct(x["block"].alias("block"), *[x[c].alias(c) for c in ("pos", "word", "box")]))), runs)
 
 
 def _split(x: Column) -> Column:
@@ -49,19 +63,24 @@ def _places(needle: Column) -> Column:
 
 def _around(boxes: Column) -> Column:
     """The box around all boxes, null if there are none."""
-    side = lambda c: F.transform(boxes, lambda b: b[c])
-    out = [f(side(c)).alias(c) for c, f in zip(_BOX, (F.array_min, F.array_min, F.array_max, F.array_max), strict=True)]
-    return F.when(F.size(boxes) > 0, F.struct(*out))
+
+    def around(found: Column) -> Column:
+        out = [f(found[c]).alias(c) for c, f in zip(_BOX, (F.array_min, F.array_min, F.array_max, F.array_max), strict=True)]
+        return F.when(F.size(found) > 0, F.struct(*out))
+
+    return T.once(boxes, around)
 
 
 def _boxes(needle: Column, first: bool = False) -> Column:
-    places = _places(needle)
-    places = F.slice(places, 1, 1) if first else places
-    return F.flatten(F.transform(places, lambda i: F.slice("boxes", i, F.size(needle))))
+    def found(needle: Column) -> Column:
+        places = F.slice(_places(needle), 1, 1) if first else _places(needle)
+        return F.flatten(F.transform(places, lambda i: F.slice("words", i, F.size(needle))["box"]))
+
+    return T.once(needle, found)
 
 
 def _named(box: Column, level: str) -> Column:
-    return F.when(box.isNotNull(), F.struct(F.lit(level).alias("level"), box.alias("box")))
+    return T.once(box, lambda b: F.when(b.isNotNull(), F.struct(F.lit(level).alias("level"), b.alias("box"))))
 
 
 def locate(values: DataFrame, pages: DataFrame, *key: str, text: str = "text", whole: str | None = None) -> DataFrame:
@@ -73,8 +92,14 @@ def locate(values: DataFrame, pages: DataFrame, *key: str, text: str = "text", w
     whole and in lower case. ``whole`` names a boolean column: such values get the box around the page's words (``page``).
     Null and blank texts, and values of unknown pages, have null level and box. ``pages`` comes from ``page_words``.
     """
+    return located(values.join(pages, list(key), "left"), text, whole).select(*values.columns, "level", "box")
+
+
+def located(rows: DataFrame, text: str = "text", whole: str | None = None) -> DataFrame:
+    """As ``locate``, of values that stand in the row of their page, beside its ``w`` and ``words``: no join."""
+    columns = [c for c in rows.columns if c not in ("w", "words")]
+    rows = rows.withColumn("_text", T.strip(F.col(text)))
     low = F.lower(F.col("_text"))
-    rows = values.withColumn("_text", T.strip(F.col(text))).join(pages, list(key), "left")
     lines = F.slice(F.filter(F.transform(F.split(low, r"\r?\n"), T.strip), lambda x: F.length(x) >= LINE_CHARS), 1, LINES)
     rows = rows.withColumns({"_n": _split(low), "_lines": F.transform(lines, _split), "_long": F.filter(_split(low), lambda w: F.length(w) > 1)})
     longest = F.array_max(F.transform("_long", lambda w, i: F.struct(F.length(w).alias("n"), (-i).alias("i"), w.alias("w"))))
@@ -82,15 +107,15 @@ def locate(values: DataFrame, pages: DataFrame, *key: str, text: str = "text", w
     phrases = [_named(_around(F.when(F.size("_long") >= F.lit(n), _boxes(F.slice("_long", 1, n), first=True))), "phrase") for n in PHRASES]
     ends = lambda b: F.contains(b["text"], F.get("_long", 0)) & F.contains(b["text"], F.element_at("_long", -1))
     found = F.coalesce(
-        *([_named(F.when(F.col(whole), _around(F.col("boxes"))), "page")] if whole else []),
+        *([_named(F.when(F.col(whole), _around(F.col("words")["box"])), "page")] if whole else []),
         _named(_around(_boxes(F.col("_n"))), "exact"),
         _named(_around(F.flatten(F.transform("_lines", lambda line: _boxes(line)))), "lines"),
         *phrases,
         _named(_around(F.when(F.col("_longest").isNotNull(), _boxes(F.col("_longest"), first=True))), "word"),
-        _named(F.when(F.size("_long") > 0, F.get(F.filter("blocks", ends), 0)["box"]), "block"),
+        _named(F.when(F.size("_long") > 0, F.get(F.filter(_blocks(F.col("words")), ends), 0)["box"]), "block"),
     )
     found = F.when((F.col("_text") != "") & F.col("w").isNotNull(), found)
-    return rows.withColumn("_found", found).select(*values.columns, F.col("_found.level").alias("level"), F.col("_found.box").alias("box"))
+    return rows.withColumn("_found", found).select(*columns, F.col("_found.level").alias("level"), F.col("_found.box").alias("box"))
 
 
 def enrich(evidence: DataFrame, pages: DataFrame, chunks: DataFrame, *key: str) -> DataFrame:
